@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .langid import op2_language_id
 from .linededup import ORACLE as LINE_DEDUP_SQL
 from .linededup import op8_line_dedup
+from .packing import op4_packing
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
