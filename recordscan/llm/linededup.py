@@ -67,13 +67,15 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     return words.groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """doc_id, kept text, n_lines, n_dropped of every row of docs."""
-    joined = _identity(docs).alias("d").join(bitmaps.alias("b"), F.expr("d.doc_id <=> b.doc_id AND d.version = b.version"), "left").select("d.doc_id", "d.text", "b.dropped")
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, kept text, n_lines, n_dropped and the extra columns of every row of docs."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).withColumn("version", F.xxhash64("text"))
+    joined = rows.alias("d").join(bitmaps.alias("b"), F.expr("d.doc_id <=> b.doc_id AND d.version = b.version"), "left").select("d.doc_id", "d.text", "b.dropped", *(F.col(f"d.`{c}`") for c in extra))
     n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT coalesce(getbit(element_at(dropped, shiftright(i, 6)), i & 63) = 1, false)), '\\n')")
     n_dropped = F.coalesce(F.aggregate(F.map_values("dropped"), F.lit(0).cast("long"), lambda acc, x: acc + F.bit_count(x)), F.lit(0).cast("long"))
-    return joined.select("doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("kept"), n_lines.cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
+    extra_columns = [F.col(f"`{c}`") for c in extra]
+    return joined.select("doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("kept"), n_lines.cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), *extra_columns)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -91,6 +93,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs))
 
 
+def replace_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """docs, in their own columns, with the texts that dedup_lines keeps; n_chars, if there, follows.
+
+    A document that loses lines and has nothing but white space left goes;
+    one without text from the start stays as it is.
+    """
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    keep = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)), *(["n_chars"] if "n_chars" in docs.columns else []))
+    extra = [c for c in keep.columns if c not in ("doc_id", "text")]
+    # a null text stays null: it is told from an empty one by a flag of its own
+    out = apply_bitmaps(keep.withColumn("had_text", F.col("text").isNotNull()), drop_bitmaps(docs, min_chars, min_docs), *extra, "had_text")
+    out = out.filter((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(SPACE)) != ""))
+    text = F.when(F.col("had_text"), F.col("kept")).alias("text")
+    made = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"own_{i}").alias(c) for i, c in enumerate(own)}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select(*(made[c] for c in docs.columns))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
