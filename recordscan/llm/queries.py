@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE as CHAT_SQL
+from .chat import op1_chat_format
 from .decontaminate import op9_decontamination
+from .embeddings import op6_embedding_dedup
 from .langid import op2_language_id
 from .linededup import ORACLE as LINE_DEDUP_SQL
 from .linededup import op8_line_dedup
@@ -10,11 +13,13 @@ from .packing import op4_packing
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
 
-ORACLES = {"op8_line_dedup": LINE_DEDUP_SQL}
+ORACLES = {"op1_chat_format": CHAT_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
