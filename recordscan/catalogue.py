@@ -20,7 +20,7 @@ from .operators import advanced, context, evidence, grouping, match, provenance,
 from .options import SafetyLimits, SearchOptions
 from .plans import index as ix
 from .sources.archives import ReadOptions, members, read_tagged, records_of, stats_of, validated
-from .sources.tables import document_records, records_from
+from .sources.tables import document_records, read_table, records_from
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,8 +54,8 @@ def _normal(df: DataFrame) -> DataFrame:
     return df.withColumn("n", normalized(F.col("text"))).withColumn("pd", phone_digits(F.col("text")))
 
 
-def _orders(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, sf_dir, name)
 
 
 # literal and regular expressions
@@ -94,7 +94,7 @@ def regex_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {NORMAL.format('text')} AS normal FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, "documents").select("doc_id", normalized(F.col("text")).alias("normal"))
+    return read_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", normalized(F.col("text")).alias("normal"))
 
 
 @query(f"{NORMED}, tok AS (SELECT unnest(list_filter(string_split(n, ' '), lambda x: x <> '')) AS token FROM norm) SELECT token, count(*) AS n FROM tok GROUP BY token")
@@ -118,7 +118,7 @@ def phone_components_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, array_to_string({_COMPONENTS.format('c_name')}, ',') AS phones FROM customer")
 def phone_components_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, "customer").select("c_custkey", F.array_join(phone_components(F.col("c_name")), ",").alias("phones"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(phone_components(F.col("c_name")), ",").alias("phones"))
 
 
 # ranked search
@@ -152,7 +152,7 @@ def smart_multi_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH c AS (SELECT *, {NORMAL.format('c_name')} AS n, {PHONE.format('c_name')} AS pd FROM customer) SELECT c_custkey, CAST({_smart_sql('Customer 0000012')} AS INT) AS score FROM c WHERE {_smart_sql('Customer 0000012')} > 0")
 def smart_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records_from(_orders(spark, sf_dir, "customer"), F.col("c_name"), F.lit("customer"), F.col("c_custkey"))
+    rows = records_from(_table(spark, sf_dir, "customer"), F.col("c_name"), F.lit("customer"), F.col("c_custkey"))
     found = annotate(rows, SearchOptions(("Customer 0000012",), smart=True, unicode="fast"))
     return found.select(F.col("member").cast("long").alias("c_custkey"), "score")
 
@@ -214,7 +214,7 @@ def entities_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT page_id, rtrim(regexp_extract(url, '(?i)https?://[^\s<>"'']+'), '.,;:!?)]') AS url, lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages""")
 def entities_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, "pages").select("page_id", ent.urls(F.col("url"))[0].alias("url"), ent.url_hosts(F.col("url"))[0].alias("host"))
+    return _table(spark, sf_dir, "pages").select("page_id", ent.urls(F.col("url"))[0].alias("url"), ent.url_hosts(F.col("url"))[0].alias("host"))
 
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -229,7 +229,7 @@ def entities_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entities_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.md5(F.col("doc_id").cast("string"))
     text = F.concat(F.substring(m, 1, 8), F.lit("-"), F.substring(m, 9, 4), F.lit("-4"), F.substring(m, 14, 3), F.lit("-a"), F.substring(m, 18, 3), F.lit("-"), F.substring(m, 21, 12))
-    return _orders(spark, sf_dir, "documents").select("doc_id", F.explode(ent.uuids(F.concat(F.lit("id "), text, F.lit(".")))).alias("uuid"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(ent.uuids(F.concat(F.lit("id "), text, F.lit(".")))).alias("uuid"))
 
 
 @query(_entity_sql("(?i)" + ent.DIGEST, "lower(v) AS value, CASE length(v) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' WHEN 64 THEN 'sha256' END").replace("AS value FROM e", "AS kind FROM e"))
@@ -297,7 +297,7 @@ def tree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     coalesce(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '|'), '') AS after FROM conversations"""
 )
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = context.context_window(_orders(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", 2)
+    rows = context.context_window(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", 2)
     return rows.select("conv_id", "turn", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
 
 
@@ -339,7 +339,7 @@ _CSV = "c_custkey || ',' || c_name || ',' || c_mktsegment || ',' || c_nationkey"
     WHERE contains(lower(c_custkey || ',' || c_name || ',' || c_mktsegment || ',' || c_nationkey), 'build') OR contains(c_custkey || ',' || c_name || ',' || c_mktsegment || ',' || c_nationkey, '12')"""
 )
 def provenance_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _orders(spark, sf_dir, "customer")
+    c = _table(spark, sf_dir, "customer")
     row = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment", F.col("c_nationkey").cast("string"))
     records = c.select(F.lit("customer").alias("archive"), F.lit("customer.csv").alias("member"), F.array().cast("array<string>").alias("nested_path"), F.array().cast("array<int>").alias("route"), (F.col("c_custkey") + 2).alias("line"), row.alias("text"), F.lit("key,name,segment,nation").alias("header"), "c_custkey")
     found = annotate(records, SearchOptions(("BUILD", "12")))
@@ -350,7 +350,7 @@ def provenance_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, array_to_string(json_keys(props), ', ') AS keys FROM events")
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, "events").select("event_id", provenance.keys(F.col("props")).alias("keys"))
+    return _table(spark, sf_dir, "events").select("event_id", provenance.keys(F.col("props")).alias("keys"))
 
 
 @query(f"WITH {REC} SELECT archive, member, line, 'literal' AS match_type, 0 AS score, 'record=' || line AS provenance, 'mit license' AS patterns FROM rec WHERE contains(lower(text), 'mit license')")
@@ -419,13 +419,13 @@ def verify_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'fresh' END AS state FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def coverage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _orders(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
-    return _orders(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left").select("doc_id", F.when(F.col("known").isNull(), "new").otherwise("fresh").alias("state"))
+    known = _table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
+    return read_table(spark, sf_dir, "documents", "doc_id").join(known, "doc_id", "left").select("doc_id", F.when(F.col("known").isNull(), "new").otherwise("fresh").alias("state"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def coverage_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, "documents").select("doc_id").join(_orders(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return read_table(spark, sf_dir, "documents", "doc_id").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query(f"WITH {REC} SELECT archive, member, line, CASE WHEN archive IN ('src0', 'src1', 'src2') THEN 'index' ELSE 'scan' END AS execution_path FROM rec WHERE contains(lower(text), 'mit license')")
@@ -447,7 +447,7 @@ def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.element_at(F.array(*map(F.lit, ("/a.TXT", "/b.csv", "/c.exe", "/d.json"))), (F.col("page_id") % 4 + 1).cast("int"))
-    names = _orders(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), tail).alias("name"))
+    names = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), tail).alias("name"))
     return names.filter(paths.wanted(F.col("name"), include=("*/en/*", "*.json"), exclude=("b.csv",)))
 
 
@@ -459,7 +459,7 @@ def path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     name = F.when(n == 1, "../up.txt").when(n == 2, "/root.txt").otherwise(F.concat(F.lit("d/"), F.col("l_partkey").cast("string"), F.lit(".txt")))
-    m = _orders(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("archive"), "l_linenumber", name.alias("member"), F.col("l_partkey").alias("file_size"), F.col("l_suppkey").alias("compress_size"), (n == 3).alias("encrypted"), F.lit(False).alias("is_dir"))
+    m = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("archive"), "l_linenumber", name.alias("member"), F.col("l_partkey").alias("file_size"), F.col("l_suppkey").alias("compress_size"), (n == 3).alias("encrypted"), F.lit(False).alias("is_dir"))
     return validated(m, SafetyLimits(max_member_bytes=1800, max_total_bytes=6000, max_compression_ratio=30.0)).select("archive", "l_linenumber", "reject_reason")
 
 
@@ -521,7 +521,7 @@ def archive_documents(spark: SparkSession, sf_dir: str, nested: bool = False) ->
         os.replace(name + ".part", name)
         yield pd.DataFrame({"archive": [name], "n": [n]})
 
-    docs = _orders(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     docs.mapInPandas(write, "archive string, n long").write.format("noop").mode("overwrite").save()
     return folder
 

@@ -141,7 +141,7 @@ def postings_from(records: DataFrame, exact: bool = True) -> DataFrame:
     base = records.select(*place, normalized(F.col("text"), False, exact).alias("n"), phone_digits(F.col("text")).alias("d"))
     words = base.select(*place, F.lit("term").alias("kind"), F.explode(F.array_distinct(tokens(F.col("n")))).alias("term"))
     digits = base.filter(F.length("d") >= DIGITS).select(*place, F.lit("digits").alias("kind"), F.col("d").alias("term"))
-    return words.unionByName(digits).groupBy("kind", "term", "archive", "member", "nested_path", "route").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return words.unionByName(digits).groupBy("kind", "term", "archive", "member", "nested_path", "route").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def _mark(df: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ from ..options import ConfigurationError, SafetyLimits
 from ..schema import MEMBER, TAGGED
 from .decoders import decoder, seekable
 
-#: Bytes of archives that make a partition; an archive of more than twice that is dealt by its members.
-PARTITION_BYTES = 32 << 20
+#: Bytes of archives that make a partition, at most and at least; an archive of more than twice that is dealt by its members.
+PARTITION_BYTES, LEAST_BYTES = 32 << 20, 256 << 10
 BATCH = 4096
 BATCH_CHARS = 4 << 20
 
@@ -202,9 +202,11 @@ class ArchivePart(InputPartition):
         self.shares = shares
 
 
-def pack(paths: list[str], target: int = PARTITION_BYTES) -> list[ArchivePart]:
-    """Partitions of about `target` bytes: small archives together, large ones in shares."""
+def pack(paths: list[str], target: int = PARTITION_BYTES, cores: int = 1) -> list[ArchivePart]:
+    """Partitions of about `target` bytes, fewer where that leaves cores idle: small archives together, large ones in shares."""
     parts: list[ArchivePart] = []
+    total = sum(os.path.getsize(p) for p in paths if os.path.exists(p))
+    target = min(target, max(LEAST_BYTES, -(-total // (2 * cores))))
     held: list[tuple[str, int, int]] = []
     size = 0
     for p in paths:
@@ -228,13 +230,13 @@ class ArchiveReader(DataSourceReader):
         self.recursive = options.get("recursive", "true").lower() != "false"
         self.only = json.loads(options["archives"]) if "archives" in options else None
         self.routes = {a: frozenset(tuple(r) for r in rs) for a, rs in json.loads(options["routes"]).items()} if "routes" in options else None
-        self.target = int(options.get("partitionbytes", PARTITION_BYTES))
+        self.target, self.cores = int(options.get("partitionbytes", PARTITION_BYTES)), int(options.get("cores", 1))
 
     def partitions(self) -> list[ArchivePart]:
         paths = discover(self.path, self.recursive) if self.only is None else self.only
         if self.routes is not None:
             paths = [p for p in paths if p in self.routes]
-        return pack(paths, self.target) or [ArchivePart([])]
+        return pack(paths, self.target, self.cores) or [ArchivePart([])]
 
     def read(self, partition: ArchivePart) -> Iterator[pa.RecordBatch]:
         for path, k, n in partition.shares:
@@ -242,7 +244,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """format("recordscan_archives"): options path, read (ReadOptions as JSON), recursive, archives, routes, partitionBytes."""
+    """format("recordscan_archives"): options path, read (ReadOptions as JSON), recursive, archives, routes, partitionBytes, cores."""
 
     @classmethod
     def name(cls) -> str:
@@ -268,7 +270,7 @@ def read_tagged(spark: SparkSession, path: str, options: ReadOptions | None = No
     options = options or ReadOptions()
     if is_local(path):
         spark.dataSource.register(ArchiveSource)
-        reader = spark.read.format("recordscan_archives").option("path", path).option("read", options.to_json()).option("recursive", str(recursive).lower())
+        reader = spark.read.format("recordscan_archives").option("path", path).option("read", options.to_json()).option("recursive", str(recursive).lower()).option("cores", spark.sparkContext.defaultParallelism)
         if archives is not None:
             reader = reader.option("archives", json.dumps(archives))
         if routes is not None:

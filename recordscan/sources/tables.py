@@ -5,6 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A scan of fewer bytes is left as it is.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt to all cores where its files give fewer tasks than there are cores.
+
+    Files of one row group are one task each, however large. On a cluster's
+    inputs, which have more row groups than cores, this changes nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    made = df._jdf.queryExecution()
+    if made.toRdd().getNumPartitions() >= cores or int(str(made.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df.select(*columns) if columns else df)
+
 
 def records_from(df: DataFrame, text: Column, archive: Column, member: Column, header: Column | None = None) -> DataFrame:
     """A record for each line of a text: lines end in \\n, \\r\\n or \\r, an end of line at the end starts none."""
@@ -17,5 +38,5 @@ def records_from(df: DataFrame, text: Column, archive: Column, member: Column, h
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents: the archive is the source, the member the document's number as a .txt."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return records_from(docs, F.col("text"), F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
