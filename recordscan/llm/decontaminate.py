@@ -197,7 +197,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 made[k] = SuffixAutomaton(blocks[k].value, window)
             return made[k]
 
-        for batch in slices(batches, "text", 16_000_000):
+        for batch in slices(batches, "text", 1_000_000):
             split = [words_of(x.as_py()) for x in batch.column("text").cast(pa.binary())]
             spans: list[list] = [[] for _ in split]
             items: list[set] = [set() for _ in split]

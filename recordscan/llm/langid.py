@@ -20,7 +20,7 @@ LONGEST = 3
 #: A code point takes this many bits of an n-gram's number; 1 stands for a word's edge, 0 for none.
 _BITS = 21
 #: Distinct words that a task counts before it hands n-gram counts on.
-HELD_WORDS = 200_000
+HELD_WORDS = 40_000
 UNKNOWN = "und"
 _CODES = 0x110000
 
@@ -74,7 +74,7 @@ def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     import re
 
     split = re.compile(r"[^\W\d_]+").findall
-    for batch in slices(batches, "text", 4_000_000):
+    for batch in slices(batches, "text", 1_000_000):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             held.setdefault(lang, Counter()).update(split((text or "").lower()))
         if sum(map(len, held.values())) > HELD_WORDS:
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS
         ranks_of[np.searchsorted(known, np.array(profiles[name], np.int64)), k] = np.arange(len(profiles[name]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", 400_000):
             texts = ["" if x is None else x for x in batch.column("text").to_pylist()]
             if names:
                 distance, ranked = _distances(texts, known, ranks_of, ranks)
