@@ -1,0 +1,431 @@
+"""The operators against brute force, round trips and held-out accuracy, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from recordscan.llm import chat, decontaminate, embeddings, htmltext, langid, licenses, linededup, packing, secrets, simhash
+from recordscan.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def clashing(df):
+    """The same rows with further columns named as operators name theirs."""
+    for c in ("key", "fp", "hi", "version", "dropped", "rank", "label", "host", "n_words", "line", "length", "ids", "kind"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+# connected components
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_links(spark, seed):
+    r = random.Random(seed)
+    n, links = 120, []
+    if seed == 0:
+        links = [(i, i + 1) for i in range(100)]
+    elif seed == 1:
+        links = [(119, i) for i in range(60)]
+    else:
+        links = [(r.randrange(n), r.randrange(n)) for _ in range(r.choice([30, 90]))]
+    links += [(None, 3), (5, 5)]
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            if a is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    touched = {x for a, b in links if a is not None and a != b for x in (a, b)}
+    got = connected_components(frame(spark, links, "a long, b long"))
+    assert {x["node"]: x["component"] for x in got.collect()} == {x: root[x] for x in touched}
+
+
+# 1 chat formatting
+
+
+def test_rendering_is_reversible_and_masks_are_exact():
+    path = packing.default_tokenizer()
+    for seed in range(400):
+        r = random.Random(seed)
+        turns = [(r.choice(["user", "assistant", "a\nb", "\\n<|", ""]), "".join(r.choice("<|\\\nab im_end>é𝔘 ") for _ in range(r.randint(0, 14)))) for _ in range(r.randint(0, 4))]
+        text, spans = chat.render(turns)
+        assert chat.parse(text) == turns
+        ids, starts, ends = chat._encode(text, path)
+        touched, under = chat.mask(starts, ends, spans)
+        assert "".join(chat.unescape(text[a:b]) for a, b in under) == "".join(t for role, t in turns if role == "assistant")
+        assert all(touched[i] == any(a < e and s < b and a < b for a, b in spans) for i, (s, e) in enumerate(zip(starts, ends)))
+
+
+def test_chat_edge_cases(spark):
+    rows = [(1, 1, "assistant", "second"), (1, 0, "user", None), (2, None, None, "x"), (2, 0, "assistant", ""), (None, 0, "user", "n"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same"), (4, 0, "assistant", "é" * 30_000)]
+    turns = clashing(frame(spark, rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(turns)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1]["turns_sha256"] == sha("user\n\nassistant\nsecond\n") and got[1]["loss_sha256"] == sha("second") and got[1]["n_turns"] == 2
+    assert got[2]["turns_sha256"] == sha("\nx\nassistant\n\n") and got[2]["loss_chars"] == 0
+    assert got[None]["n_turns"] == 1 and got[3]["loss_chars"] == 8 and got[4]["loss_chars"] == 30_000
+    full = chat.format_conversations(turns).filter("conv_id = 1").first()
+    assert len(full["input_ids"]) == len(full["loss_mask"]) and any(full["loss_mask"]) and not all(full["loss_mask"])
+    assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+# 2 language ID
+
+_TONGUES = {"aa": "kata", "bb": "milo", "cc": "zuxi"}
+
+
+def _said(r, lang, n=60):
+    return " ".join("".join(r.choice(_TONGUES[lang]) for _ in range(r.randint(2, 6))) for _ in range(n))
+
+
+def test_language_profiles_and_predictions_by_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, _said(r, lang, r.randint(1, 80)).title() + r.choice(["", "!", " 12"]), lang) for i in range(90) for lang in [r.choice("abc") * 2]]
+
+    def grams(text):
+        c = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            w = f"\x01{w}\x01"
+            c.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != "\x01")
+        return c
+
+    def number(g):
+        x = [ord(c) for c in g] + [0] * (3 - len(g))
+        return x[0] << 42 | x[1] << 21 | x[2]
+
+    total = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            total.setdefault(lang, Counter()).update(grams(t))
+    ranked = lambda c, k: [number(g) for g, _ in sorted(c.items(), key=lambda x: (-x[1], number(x[0])))[:k]]
+    expected = {lang: ranked(c, 50) for lang, c in total.items()}
+    df = frame(spark, rows, "doc_id long, text string, lang string")
+    profiles = langid.learn_profiles(df.filter(~langid.held_out()), 50)
+    assert profiles == expected
+    for p in langid.identify(df, profiles, 50).collect():
+        top = ranked(grams(p["text"]), 50)
+        best = min((sum(abs(profiles[name].index(g) - i) if g in profiles[name] else 50 for i, g in enumerate(top)), name) for name in sorted(profiles))
+        assert p["lang_pred"] == best[1] and p["score"] == pytest.approx(1 - best[0] / (50 * len(top)))
+    told = langid.identify(df, profiles, 50).filter(langid.held_out()).select((F.col("lang") == F.col("lang_pred")).alias("ok")).collect()
+    assert sum(x["ok"] for x in told) / len(told) > 0.95
+
+
+def test_language_edge_cases(spark):
+    rows = [(1, None), (2, ""), (3, "12 !?"), (4, "kata " * 20_000), (None, "milo"), (5, "汉字 " + "".join(map(chr, range(0x4E00, 0x5E00))))]
+    df = clashing(frame(spark, rows)).withColumn("lang", F.lit("aa"))
+    got = {r["doc_id"]: r for r in langid.identify(df, {"aa": [ord("k") << 42], "bb": [ord("m") << 42]}).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] == "aa" and got[None]["lang_pred"] == "bb"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.learn_profiles(df.limit(0)) == {} and [r["lang_pred"] for r in langid.identify(df, {}).collect()] == ["und"] * 6
+    assert langid.keep_identified(df.limit(0)).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in langid.keep_identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()) == [0, 4, 5]
+
+
+# 3 license scans
+
+
+def test_license_texts_in_other_spellings(spark):
+    mit = "Copyright (c) 2020 Some One\n\n" + licenses._MIT.upper().replace(",", " ;")
+    rows = [(1, mit), (2, licenses._ZLIB.replace("acknowledgment", "acknowledgement")), (3, "words\nreleased under the MIT Licence!\nmore\nReleased under the MIT License."), (4, licenses._MIT + " but not really"), (5, None), (6, ""), (7, "word " * 50_000), (1, mit), (None, licenses._ISC)]
+    got = {(r["doc_id"], r["scope"], r["license"], r["n"]) for r in licenses.scan_licenses(clashing(frame(spark, rows))).collect()}
+    assert got == {(1, "text", "MIT", 2), (2, "text", "Zlib", 1), (3, "line", "MIT", 2), (None, "text", "ISC", 1)}
+    assert licenses.scan_licenses(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
+# 4 packing
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plans_place_every_piece_and_fill_well(seed):
+    r = random.Random(seed)
+    size = r.choice([8, 32, 256, 2048])
+    counts = Counter(min(size, max(1, int(r.expovariate(3 / size)))) for _ in range(r.randint(0, 2000)))
+    plan = packing.plan_packing(counts, size)
+    filled, used = Counter(), Counter()
+    runs = sorted(plan.runs)
+    for i, (length, first, per, sequence, offset) in enumerate(runs):
+        last = runs[i + 1][1] if i + 1 < len(runs) and runs[i + 1][0] == length else counts[length]
+        for rank in range(first, last):
+            k = rank - first
+            filled[sequence + k // per] += length
+            used[length] += 1
+    assert used == counts and all(v <= size for v in filled.values()) and len(filled) == plan.sequences
+    total = sum(k * v for k, v in counts.items())
+    assert plan.sequences <= -(-total // size) * 1.25 + 1
+
+
+def test_exact_complements_are_found():
+    assert packing.plan_packing({7: 3, 1: 3}, 8).sequences == 3
+    assert packing.plan_packing({5: 2, 2: 2, 1: 2}, 8).sequences == 2
+    assert packing.plan_packing({4: 1, 2: 1, 1: 2}, 8).sequences == 1
+    with pytest.raises(ValueError):
+        packing.plan_packing({9: 1}, 8)
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["token", "größer", "the", "<|endoftext|>", "x" * 700, "\n\n"]) for _ in range(r.randint(0, 60)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "word " * 9000), (None, "no id"), (5, rows[5][1]), (103, " " * 2000)]
+    got = packing.pack_documents(clashing(frame(spark, rows)), size=256).collect()
+    pieces = {}
+    for p in got:
+        ids = np.frombuffer(p["ids"], "<u4")
+        assert len(ids) == p["length"] <= 256 and zlib.crc32(p["ids"]) == p["ids_crc32"]
+        pieces.setdefault(p["doc_id"], []).append((p["piece"], p["start"], ids.tolist()))
+    for doc, text in rows:
+        expected = t.encode(text or "", add_special_tokens=False).ids + [0]
+        copies = sum(d == doc for d, _ in rows)
+        mine = sorted(pieces[doc])[::copies]
+        assert [x for _, _, ids in mine for x in ids] == expected and [p for p, _, _ in mine] == list(range(len(mine)))
+        assert all(len(ids) == 256 for _, _, ids in mine[1:]) and (len(mine) == 1) == (len(expected) <= 256)
+    for s in {p["sequence_id"] for p in got}:
+        at = 0
+        for p in sorted((p for p in got if p["sequence_id"] == s), key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= 256
+    assert packing.pack_documents(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
+# 5 SimHash
+
+
+def _fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_follow_their_definition():
+    r = random.Random(1)
+    for n in (0, 1, 2, 3, 4, 30):
+        text = "".join(r.choice(["Word", "ÉTÉ", "a"]) + r.choice(" \t\n\x0b\x1f\xa0") for _ in range(n))
+        assert simhash.fingerprint(text.encode()) == _fingerprint(text)
+    assert simhash.fingerprint(None) == 0
+    long = " ".join(r.choice("abcdef") for _ in range(500))
+    assert simhash.fingerprint(long.encode(), block=64) == _fingerprint(long)
+
+
+@pytest.mark.parametrize("dense", [3, 48])
+def test_links_reach_all_close_fingerprints(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    r = np.random.default_rng(dense)
+    base = r.integers(0, 2**64, 30, dtype=np.uint64)
+    near = [b ^ np.bitwise_xor.reduce(np.uint64(1) << r.integers(0, 64, r.integers(0, 6)).astype(np.uint64), initial=np.uint64(0)) for b in base for _ in range(8)]
+    crowd = [base[0] ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.uint64(j)) for i in range(16) for j in range(i)]
+    fps = np.unique(np.concatenate([base, np.array(near, np.uint64), np.array(crowd, np.uint64)]))
+    rows = [(int(np.int64(f)), i) for i, f in enumerate(fps.astype(np.uint64).view(np.int64))]
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2):
+            a, b = find(i), find(i + 1 + int(j))
+            root[max(a, b)] = min(a, b)
+    got = {x["node"]: x["component"] for x in connected_components(simhash.simhash_links(frame(spark, rows, "fp long, doc long"))).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == [find(i) for i in range(len(fps))]
+
+
+def test_simhash_edge_cases(spark):
+    rows = [(3, None), (2, " "), (9, ""), (7, "a b c d"), (8, "A  b\tc d"), (None, "a b c d"), (1, "alone here now"), (7, "a b c d"), (4, "w " * 100_000)]
+    got = simhash.simhash_components(clashing(frame(spark, rows))).collect()
+    comp = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(got) == 9 and comp == {3: 2, 2: 2, 9: 2, 7: 7, 8: 7, None: None, 1: 1, 4: 4}
+    assert {r["fingerprint"] for r in got if r["doc_id"] in (2, 3, 9)} == {"0" * 16}
+    assert sorted(r["doc_id"] or 0 for r in simhash.keep_representatives(clashing(frame(spark, rows))).collect()) == [0, 1, 2, 4, 7, 7]
+    assert simhash.simhash_components(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
+# 6 embeddings
+
+
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_embedding_links_by_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    r = np.random.default_rng(tile)
+    centre = r.standard_normal((6, 16))
+    v = np.concatenate([centre[r.integers(0, 6, 70)] + r.standard_normal((70, 16)) * r.choice([0.02, 0.2, 0.35], (70, 1)), r.standard_normal((20, 16))]).astype(np.float32)
+    v[5], v[80] = v[4], v[4]
+    label = r.integers(0, 2, 90)
+    label[5] = label[80] = label[4]
+    rows = [(i, [float(x) for x in v[i]], int(label[i])) for i in range(90)]
+    d = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    link = (d @ d.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    comp = np.arange(90)
+    for _ in range(90):
+        comp = np.array([min([comp[i], *comp[link[i]]]) for i in range(90)])
+    got = {x["vec_id"]: x for x in embeddings.embedding_components(frame(spark, rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert [got[i]["n_links"] for i in range(90)] == link.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(90)] == comp.tolist() and all(got[i]["kept"] == (comp[i] == i) for i in range(90))
+
+
+def test_embedding_edge_cases(spark):
+    nan, one = float("nan"), [1.0, 0.0, 0.0]
+    rows = [(1, one, 1), (2, one, 1), (3, [2.0, 0.0, -0.0], 1), (4, one, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [1.0, None, 0.0], 1), (8, [nan, 0.0, 0.0], 1), (9, [float("inf"), 0.0, 0.0], 1), (10, [1.0], 1), (11, [], 1), (12, one, 2), (None, one, 1)]
+    df = clashing(frame(spark, rows, "vec_id long, embedding array<float>, label int"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.embedding_components(df).collect()}
+    assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[3] == (2, 1, False)
+    assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12)) and got[None][0] == 0
+    assert embeddings.embedding_components(df.limit(0)).count() == 0
+
+
+# 7 secrets
+
+
+def test_forest_on_findings_it_has_not_seen():
+    forest = secrets.train()
+    unseen = secrets.labelled_findings(1500, seed=77)
+    x = np.array([secrets.features(f.value, f.before, f.after, f.path, f.why) for f in unseen])
+    y, p = np.array([f.secret for f in unseen]), forest.scores(x) >= 0.5
+    assert (y == p).mean() > 0.97 and y[p].mean() > 0.97 and p[y].mean() > 0.97
+
+
+def test_secrets_edge_cases(spark):
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    rows = [(1, f'the token = "{key}" here', "src0"), (2, f"commit {key} fixed", "src0"), (3, None, None), (4, "", "x"), (5, 'password = "changeme"', "src1"), (6, "word " * 40_000, "s"), (None, f"api_key: {key}", None), (1, f'the token = "{key}" here', "src0")]
+    got = secrets.scan_secrets(clashing(frame(spark, rows, "doc_id long, text string, source string"))).collect()
+    said = [(r["doc_id"], r["secret"]) for r in got]
+    assert said.count((1, True)) == 2 and (2, False) in said and (None, True) in said and (5, True) not in said
+    one = next(r for r in got if r["doc_id"] == 1)
+    assert rows[0][1][one["start"] : one["end"]] == key and one["value_sha256"] == hashlib.sha256(key.encode()).hexdigest()
+    assert secrets.scan_secrets(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
+# 8 line dedup
+
+
+def _lines_model(docs, least=40, many=5):
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for d, t in docs:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= least:
+                holders.setdefault(k, []).append(d)
+    keep = {k: max(h) for k, h in holders.items() if len(h) >= many}
+    out = {}
+    for d, t in docs:
+        all_ = (t or "").split("\n")
+        left = [x for x in all_ if keep.get(key(x), d) == d]
+        out[d] = (len(all_), len(all_) - len(left), "\n".join(left))
+    return out
+
+
+def test_line_dedup_by_brute_force(spark):
+    r = random.Random(4)
+    pool = ["Long repeated line number one that everybody has", "  ÉTÉ long repeated line number two, with accents \t", "short", "", "x" * 39, "y" * 40]
+    docs = [(i, "\n".join(r.choice([*pool, f"own line {i} that is long enough to count, really", *pool]) for _ in range(r.choice([1, 3, 150])))) for i in range(40)]
+    docs += [(100, None), (101, ""), (102, "\n\n")]
+    got = {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["kept"]) for x in linededup.dedup_lines(clashing(frame(spark, docs))).collect()}
+    assert got == _lines_model(docs)
+
+
+def test_line_dedup_edge_cases(spark):
+    line = "a line that is repeated in very many documents"
+    rows = [(i, line) for i in range(4)] + [(None, f"{line}\nx"), (9, f"{line}\n{line}"), (9, f"{line}\n{line}")]
+    got = [(x["doc_id"], x["n_dropped"]) for x in linededup.dedup_lines(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(0, 1), (1, 1), (2, 1), (3, 1), (None, 1), (9, 0), (9, 0)], key=str)
+    assert linededup.dedup_lines(frame(spark, [], "doc_id long, text string")).count() == 0
+    docs = clashing(frame(spark, [(*x, "en", "s", 5) for x in rows + [(20, None)]], DOCS))
+    left = linededup.replace_lines(docs)
+    assert left.columns == docs.columns and sorted((x["doc_id"] or 0, x["text"]) for x in left.collect() if x["text"]) == [(0, "x"), (9, f"{line}\n{line}"), (9, f"{line}\n{line}")]
+    assert left.filter("doc_id = 20 AND text IS NULL").count() == 1
+
+
+def test_line_dedup_has_no_python(spark):
+    plan = linededup.dedup_lines(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# 9 decontamination
+
+
+def test_automaton_by_brute_force():
+    for seed in range(1500):
+        r = random.Random(seed)
+        letters, w = "abc"[: r.randint(1, 3)], r.choice([3, 8])
+        items = [(i, [r.choice(letters).encode() for _ in range(r.choice([0, 1, 2, 3, 7, 8, 9, 12]))]) for i in range(r.randint(1, 4))]
+        doc = [r.choice(letters + "z").encode() for _ in range(r.randint(0, 40))]
+        spans, found = decontaminate.SuffixAutomaton(items, w).matches(doc)
+        hit, expected = [0] * len(doc), set()
+        for i, words in items:
+            for q in [words[k : k + w] for k in range(len(words) - w + 1)] if len(words) >= w else [words] if words else []:
+                for k in range(len(doc) - len(q) + 1):
+                    if doc[k : k + len(q)] == q:
+                        expected.add(i)
+                        hit[k : k + len(q)] = [1] * len(q)
+        assert found == expected and sum(hit) == sum(b - a for a, b in spans) and all(all(hit[a:b]) for a, b in spans)
+
+
+def test_decontamination_edge_cases(spark):
+    passage = "One two-three four FIVE six seven eight nine ten"
+    bench = frame(spark, [(1, passage), (2, "tiny item"), (3, None), (4, ""), (None, "nameless thing here"), (1, passage)], "item_id long, text string")
+    rows = [(1, f"before {passage.lower()} after and much more text that is clean and stays here, as it should do"), (2, "a tiny item and tiny item"), (3, None), (4, ""), (5, "clean words " * 30_000), (None, "nameless thing here"), (6, f"{passage} tiny item"), (1, "clean")]
+    docs = clashing(frame(spark, rows))
+    for block in (2_000_000, 3):
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["hit_items"]) for r in decontaminate.find_contamination(docs, bench, block_words=block).collect()]
+        assert ([g for g in got if g[0] == 1 and g[2]] == [(1, 26, 10, ["1"])]) and (2, 6, 4, ["2"]) in got and (3, 0, 0, []) in got and (4, 0, 0, []) in got
+        assert (None, 3, 3, ["null"]) in got and (6, 12, 12, ["1", "2"]) in got and (5, 60_000, 0, []) in got
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    left = {(r["doc_id"], r["text"]) for r in clean.collect()}
+    assert {d for d, _ in left} == {1, 3, 4, 5} and (1, "before  after and much more text that is clean and stays here, as it should do") in left
+    assert decontaminate.find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+
+
+# 10 HTML
+
+
+def test_articles_without_what_surrounds_them(spark):
+    page = """<!DOCTYPE html><HTML><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav>
+    <div class="ad banner">Buy</div><aside>Side</aside><div id="cookie-notice">Accept</div><article><h1>Head &amp; &quot;tail&quot;</h1><p>One
+    two<br>three <b>bold<p>Next&nbsp;block a &lt; b<ul><li>item one<li>item two</ul><form>Name <input></form><section class="comments"><p>Nice!</section></article><footer>&copy; us</footer>"""
+    rows = [(1, "http://a.example/x", page), (2, None, None), (3, "", ""), (None, "http://b.example", "plain <i>text</i> only"), (4, "http://c.example", "<p>" * 3000 + "deep"), (1, "http://a.example/x", page)]
+    got = [(r["page_id"], r["text"]) for r in htmltext.extract_pages(clashing(frame(spark, rows, "page_id long, url string, html string"))).collect()]
+    text = 'Head & "tail"\n\nOne two three bold\n\nNext block a < b\n\nitem one\n\nitem two'
+    assert got.count((1, text)) == 2 and (2, "") in got and (3, "") in got and (None, "plain text only") in got and (4, "deep") in got
+    assert htmltext.extract_pages(frame(spark, [], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers_are_induced_where_nothing_marks_them(spark):
+    page = lambda i: f"<body><div><p>Welcome to our site, friends</p><p>Sections</p></div><div><h2>Title {i}</h2>{''.join(f'<p>Own text {i} part {k}</p>' for k in range(1 + i % 3))}<p>Read our other pages</p></div><div><p>All rights kept</p></div>"
+    rows = [(i, f"http://User@Host.example:80/{i}", page(i)) for i in range(20)] + [(100 + i, f"http://few.example/{i}", page(i)) for i in range(3)] + [(200 + i, "http://copies.example/", page(1)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == "\n\n".join([f"Title {i}", *(f"Own text {i} part {k}" for k in range(1 + i % 3))])
+    assert got[100].startswith("Welcome") and got[200].startswith("Welcome")
+    for bound in (0, 1 << 30):
+        htmltext.BROADCAST_BYTES, before = bound, htmltext.BROADCAST_BYTES
+        try:
+            assert {r["page_id"]: r["text"] for r in htmltext.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()} == got
+        finally:
+            htmltext.BROADCAST_BYTES = before
+
+
+def test_tree_matching_keeps_order():
+    tree = lambda s: (lambda t: (htmltext.nodes_of(t), t)[1])(htmltext.parse(s))
+    a, b = tree("<div><p>x</p><h1>y</h1></div><ul><li>1</ul>"), tree("<h1>q</h1><div><h1>y</h1><p>z</p></div><ul><li>1<li>2</ul>")
+    pairs = [(x.tag, x.text, y.text) for x, y in htmltext.simple_tree_matching(a, b)]
+    assert ("h1", "y", "y") in pairs and ("li", "1", "1") in pairs and ("p", "x", "z") not in pairs
