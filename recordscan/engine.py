@@ -140,7 +140,7 @@ def search(spark: SparkSession, path: str, options: SearchOptions, index_path: s
         archives = plan.scan_archives if plan.execution == "hybrid" else None
         if archives is None or archives:
             legs.append(("scan", read_tagged(spark, path, read, recursive, archives=archives), None))
-    held, matches, rest = [], None, None
+    held, matches, rest = [plan.candidates] if plan.candidates is not None else [], None, None
     for tag, tagged, wanted in legs:
         records = records_of(tagged)
         if wanted is not None:

@@ -104,3 +104,18 @@ def score_sql(pattern: SmartPattern, n: str = "n", pd: str = "pd") -> str:
         f"CASE {phone}WHEN contains({n}, {q(pattern.normal)}) THEN {PHRASE + min(k, PHRASE_TOKENS)} WHEN ({f}) = {k} THEN {ALL} + ({f}) "
         f"WHEN ({f}) + ({x}) = {k} AND ({f}) > 0 THEN {PREFIXES} + 10 * ({f}) + ({x}) WHEN ({f}) > 0 THEN {PARTIAL} + 10 * ({f}) WHEN ({x}) > 0 THEN {PREFIX_PARTIAL} + ({x}) ELSE 0 END"
     )
+
+
+def score_text(text: str, pattern: str, case_sensitive: bool = False) -> int:
+    """The score of one record on the driver or in a UDF; 0 for no match."""
+    (p,) = compile_patterns((pattern,), case_sensitive)
+    normal = normalize_text(text, case_sensitive)
+    padded = f" {normal} "
+    full = sum(f" {t} " in padded for t in p.tokens)
+    starts = sum(len(t) >= 2 and f" {t}" in padded and f" {t} " not in padded for t in p.tokens)
+    n = len(p.tokens)
+    rules = (
+        (p.has_phone and p.phone in digits_of(text), PHONE), (p.normal in normal, PHRASE + min(n, PHRASE_TOKENS)), (full == n, ALL + full), (full + starts == n and full > 0, PREFIXES + full * 10 + starts),
+        (full > 0, PARTIAL + full * 10), (starts > 0, PREFIX_PARTIAL + starts),
+    )
+    return next((score for test, score in rules if test), 0)

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,6 @@ class Manifest:
     state: str = "BUILDING"
     config: str = ""
     generation: int = 0
-    table: int = 0
     made: float = field(default_factory=time.time)
 
 
@@ -124,12 +124,17 @@ def _write_manifest(index: str, manifest: Manifest) -> None:
     os.replace(path + ".new", path)
 
 
-_ARCHIVES = "relative string, fingerprint string, size long, declared long, generation int, members long, records long, postings long, checksum long"
+_ROW = "relative string, fingerprint string, size long, declared long, members long, records long, postings long, checksum long"
 
 
 def archives_table(spark: SparkSession, index: str, manifest: Manifest) -> DataFrame:
-    path = os.path.join(index, f"archives-{manifest.table}")
-    return spark.read.schema(_ARCHIVES).parquet(path) if manifest.table else spark.createDataFrame([], _ARCHIVES)
+    """The archives that the index holds: of each one's rows up to the manifest's generation the latest, unless that says it is gone."""
+    folder = os.path.join(index, "archives")
+    if not os.path.isdir(folder):
+        return spark.createDataFrame([], _ROW + ", generation int")
+    rows = spark.read.schema(_ROW + ", generation int").parquet(folder).filter(F.col("generation") <= manifest.generation)
+    latest = rows.groupBy("relative").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "relative")), "generation").alias("last"))
+    return latest.select("relative", "last.*").filter("fingerprint IS NOT NULL")
 
 
 _POSTINGS = "kind string, term string, relative string, member string, nested_path array<string>, route array<int>, lines array<long>"
@@ -176,49 +181,50 @@ def build_or_update(
         manifest = Manifest(config=config)
     on_disk = fingerprints(spark, root).persist()
     known = archives_table(spark, index, manifest)
-    fresh = known.join(on_disk.select("relative", "fingerprint"), ["relative", "fingerprint"], "left_semi")
-    todo = [(r["relative"], r["archive"]) for r in on_disk.join(known, ["relative", "fingerprint"], "left_anti").orderBy("relative").collect()]
-    _write_manifest(index, replace(manifest, state="BUILDING"))
-    kept, issues, done = fresh.collect(), [], 0
+    gone = known.join(on_disk.select("relative"), "relative", "left_anti").select("relative")
+    todo = [(r["relative"], r["archive"]) for r in on_disk.join(known, ["relative", "fingerprint"], "left_anti").select("relative", "archive").orderBy("relative").toLocalIterator()]
+    manifest = _commit(index, replace(manifest, state="BUILDING"))
+    if not gone.isEmpty():
+        rows = gone.select("relative", *(F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in _ROW.split(", ")[1:])))
+        manifest = _add(index, manifest, rows)
+    issues, done = [], 0
     for i in range(0, len(todo), batch):
         if cancelled and cancelled():
             break
         part = todo[i : i + batch]
-        generation = manifest.generation + 1
-        by_path = dict((a, r) for r, a in part)
-        tagged = read_tagged(spark, root, ReadOptions(limits=limits), archives=[a for _, a in part]).persist()
-        names = spark.createDataFrame(list(by_path.items()), "archive string, relative string")
+        names = spark.createDataFrame([(a, r) for r, a in part], "archive string, relative string")
+        tagged = read_tagged(spark, root, ReadOptions(limits=limits), archives=[a for _, a in part]).persist(StorageLevel.DISK_ONLY)
         made = postings_from(records_of(tagged)).join(F.broadcast(names), "archive").select("kind", "term", "relative", "member", "nested_path", "route", "lines")
-        at = os.path.join(index, "postings", f"generation={generation}")
+        at = os.path.join(index, "postings", f"generation={manifest.generation + 1}")
         made.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.mode("overwrite").parquet(at)
         counted = records_of(tagged).groupBy("archive").agg(F.count(F.lit(1)).alias("records")).join(F.broadcast(names), "archive")
         marks = _mark(spark.read.schema(_POSTINGS).parquet(at))
-        new = on_disk.filter(F.col("relative").isin([r for r, _ in part])).join(counted.select("relative", "records"), "relative", "left").join(marks, "relative", "left")
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-        kept += new.select("relative", "fingerprint", "size", "declared", F.lit(generation).alias("generation"), zero("members"), zero("records"), zero("postings"), zero("checksum")).collect()
+        new = on_disk.join(F.broadcast(names.select("relative")), "relative", "left_semi").join(counted.select("relative", "records"), "relative", "left").join(marks, "relative", "left")
+        manifest = _add(index, manifest, new.select("relative", "fingerprint", "size", "declared", zero("members"), zero("records"), zero("postings"), zero("checksum")))
         issues += [Issue(f"{r['archive']}: {r['message']}", r["member"], r["issue"]) for r in issues_of(tagged).collect()]
         tagged.unpersist()
-        manifest = _commit(spark, index, replace(manifest, generation=generation, state="BUILDING"), kept)
         done += len(part)
         if progress:
             progress(done, len(todo))
-    finished = done == len(todo)
-    if finished:
-        manifest = _commit(spark, index, replace(manifest, state="READY"), kept)
+    if done == len(todo):
+        _commit(index, replace(manifest, state="READY"))
     on_disk.unpersist()
     return status(spark, root, index), issues
 
 
-def _commit(spark: SparkSession, index: str, manifest: Manifest, rows: list) -> Manifest:
-    old, new = manifest.table, manifest.table + 1
-    spark.createDataFrame([tuple(r) for r in rows], _ARCHIVES).coalesce(1).write.mode("overwrite").parquet(os.path.join(index, f"archives-{new}"))
-    manifest = replace(manifest, table=new)
+def _commit(index: str, manifest: Manifest) -> Manifest:
     _write_manifest(index, manifest)
-    if old:
-        shutil.rmtree(os.path.join(index, f"archives-{old}"), ignore_errors=True)
     return manifest
 
 
+def _add(index: str, manifest: Manifest, rows: DataFrame) -> Manifest:
+    """Write a batch's rows of the table of archives as the next generation, then name it: an update costs what has changed."""
+    generation = manifest.generation + 1
+    rows.coalesce(1).write.mode("overwrite").parquet(os.path.join(index, "archives", f"generation={generation}"))
+    return _commit(index, replace(manifest, generation=generation))
+
+
 def coverage(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     """relative, archive, state (fresh, new, changed, removed) of archives on disk and in the index."""
     disk = fingerprints(spark, root).select("relative", "archive", "fingerprint")
@@ -231,8 +237,11 @@ def _bytes(folder: str) -> int:
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
 
 
-def status(spark: SparkSession, root: str, index: str | None = None) -> IndexStatus:
-    """NONE, READY, STALE, BUILDING, SCHEMA_MISMATCH or CORRUPT, and counts; usable only if READY."""
+def status(spark: SparkSession, root: str, index: str | None = None, terms: bool = True, cover: DataFrame | None = None) -> IndexStatus:
+    """NONE, READY, STALE, BUILDING, SCHEMA_MISMATCH or CORRUPT, and counts; usable only if READY.
+
+    terms: count the distinct ones, which reads all postings. cover: coverage(), where it is known.
+    """
     index = index or default_path(root)
     try:
         manifest = read_manifest(index)
@@ -241,9 +250,9 @@ def status(spark: SparkSession, root: str, index: str | None = None) -> IndexSta
         if manifest.version != VERSION:
             return IndexStatus(index, "SCHEMA_MISMATCH", False)
         known = archives_table(spark, index, manifest).persist()
-        counts = {r["state"]: r["n"] for r in coverage(spark, root, known).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {r["state"]: r["n"] for r in (coverage(spark, root, known) if cover is None else cover).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
         total = known.agg(F.count(F.lit(1)).alias("archives"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("members", "records", "postings"))).first().asDict()
-        terms = postings(spark, index, known).select("kind", "term").distinct().count()
+        n_terms = postings(spark, index, known).select("kind", "term").distinct().count() if terms else 0
         known.unpersist()
     except Exception as e:
         if type(e).__name__ in ("IndexCorrupt", "AnalysisException", "ParseException", "PySparkException", "SparkRuntimeException") or "parquet" in str(e).lower():
@@ -251,7 +260,7 @@ def status(spark: SparkSession, root: str, index: str | None = None) -> IndexSta
         raise
     stale = sum(counts.get(s, 0) for s in ("new", "changed", "removed"))
     state = "BUILDING" if manifest.state != "READY" else "STALE" if stale else "READY"
-    return IndexStatus(index, state, state == "READY", **total, terms=terms, new=counts.get("new", 0), changed=counts.get("changed", 0), removed=counts.get("removed", 0), generations=manifest.generation, bytes=_bytes(index))
+    return IndexStatus(index, state, state == "READY", **total, terms=n_terms, new=counts.get("new", 0), changed=counts.get("changed", 0), removed=counts.get("removed", 0), generations=manifest.generation, bytes=_bytes(index))
 
 
 def verify(spark: SparkSession, root: str, index: str | None = None) -> IndexStatus:
@@ -287,15 +296,16 @@ def compact(spark: SparkSession, index: str) -> None:
     manifest = read_manifest(index)
     if manifest is None:
         return
-    known = archives_table(spark, index, manifest)
-    rows = known.collect()
+    known = archives_table(spark, index, manifest).persist()
     generation = manifest.generation + 1
     live = postings(spark, index, known)
     live.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.mode("overwrite").parquet(os.path.join(index, "postings", f"generation={generation}"))
-    _commit(spark, index, replace(manifest, generation=generation), [(*tuple(r)[:4], generation, *tuple(r)[5:]) for r in rows])
-    for g in os.listdir(os.path.join(index, "postings")):
-        if g.startswith("generation=") and g != f"generation={generation}":
-            shutil.rmtree(os.path.join(index, "postings", g), ignore_errors=True)
+    _add(index, manifest, known.drop("generation"))
+    known.unpersist()
+    for part in ("postings", "archives"):
+        for g in os.listdir(os.path.join(index, part)):
+            if g.startswith("generation=") and g != f"generation={generation}":
+                shutil.rmtree(os.path.join(index, part, g), ignore_errors=True)
 
 
 def lookups(options: SearchOptions) -> list[list[tuple[str, str]]] | None:

@@ -62,13 +62,18 @@ def plan_search(spark: SparkSession, path: str, options: SearchOptions, index_pa
         return SearchPlan("scan", "the index has another format", ix.IndexStatus(at, "SCHEMA_MISMATCH", False))
     if options.extensions or options.encoding != "auto" or manifest.config != ix._config(options.limits):
         return SearchPlan("scan", "the index was built for other members, limits or encodings")
-    known_status = ix.status(spark, path, at)
+    if ix.lookups(options) is None:
+        return SearchPlan("scan", "patterns have no words to look up")
+    try:
+        known = ix.archives_table(spark, at, manifest).persist()
+        cover = ix.coverage(spark, path, known).persist()
+        known_status = ix.status(spark, path, at, terms=False, cover=cover)
+    except Exception as e:
+        if "pyspark" not in type(e).__module__:
+            raise
+        known_status = ix.IndexStatus(at, "CORRUPT", False)
     if known_status.state not in ("READY", "STALE", "BUILDING"):
         return SearchPlan("scan", f"the index is {known_status.state}", known_status)
-    if ix.lookups(options) is None:
-        return SearchPlan("scan", "patterns have no words to look up", known_status)
-    known = ix.archives_table(spark, at, manifest)
-    cover = ix.coverage(spark, path, known).persist()
     try:
         fresh = {r["relative"]: r["archive"] for r in cover.filter("state = 'fresh'").collect()}
         uncovered = sorted(r["archive"] for r in cover.filter("state IN ('new', 'changed')").collect())
@@ -77,6 +82,7 @@ def plan_search(spark: SparkSession, path: str, options: SearchOptions, index_pa
         by_member = found.groupBy("archive", "route").agg(F.count(F.lit(1)).alias("n")).limit(PLAN_MEMBERS + 1).collect()
     finally:
         cover.unpersist()
+        known.unpersist()
     if len(by_member) > PLAN_MEMBERS:
         return SearchPlan("scan", "candidates are in too many members", known_status)
     routes: dict[str, list[tuple[int, ...]]] = {}
