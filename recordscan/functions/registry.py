@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +13,6 @@ from .text import digits_of, normalize_text
 
 def register(spark: SparkSession) -> None:
     """normalize_text(s), phone_digits(s), extract_entities(s), smart_score(s, pattern), and format recordscan_archives."""
-    import pandas as pd
-
     from ..operators.smart import score_text
     from ..sources.archives import ArchiveSource
 
