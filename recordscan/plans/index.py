@@ -30,6 +30,8 @@ from ..sources.archives import Issue, ReadOptions, discover, issues_of, read_tag
 VERSION = 1
 #: Archives whose postings are written, and counted as done, together.
 BATCH = 256
+#: Terms that a lookup names one by one; more are joined.
+LOOKUP_TERMS = 5000
 #: Digits that a record needs for its digits to be looked up.
 DIGITS = 7
 
@@ -198,7 +200,9 @@ def build_or_update(
         at = os.path.join(index, "postings", f"generation={manifest.generation + 1}")
         made.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.mode("overwrite").parquet(at)
         counted = records_of(tagged).groupBy("archive").agg(F.count(F.lit(1)).alias("records")).join(F.broadcast(names), "archive")
-        marks = _mark(spark.read.schema(_POSTINGS).parquet(at))
+        written = spark.read.schema(_POSTINGS).parquet(at)
+        _write_terms(index, manifest.generation + 1, written)
+        marks = _mark(written)
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
         new = on_disk.join(F.broadcast(names.select("relative")), "relative", "left_semi").join(counted.select("relative", "records"), "relative", "left").join(marks, "relative", "left")
         manifest = _add(index, manifest, new.select("relative", "fingerprint", "size", "declared", zero("members"), zero("records"), zero("postings"), zero("checksum")))
@@ -213,6 +217,11 @@ def build_or_update(
     return status(spark, root, index), issues
 
 
+def _write_terms(index: str, generation: int, written: DataFrame) -> None:
+    """The dictionary of a generation: its distinct terms, far fewer than its postings."""
+    written.select("kind", "term").distinct().write.mode("overwrite").parquet(os.path.join(index, "terms", f"generation={generation}"))
+
+
 def _commit(index: str, manifest: Manifest) -> Manifest:
     _write_manifest(index, manifest)
     return manifest
@@ -240,7 +249,7 @@ def _bytes(folder: str) -> int:
 def status(spark: SparkSession, root: str, index: str | None = None, terms: bool = True, cover: DataFrame | None = None) -> IndexStatus:
     """NONE, READY, STALE, BUILDING, SCHEMA_MISMATCH or CORRUPT, and counts; usable only if READY.
 
-    terms: count the distinct ones, which reads all postings. cover: coverage(), where it is known.
+    terms: count the distinct ones. cover: coverage(), where it is known.
     """
     index = index or default_path(root)
     try:
@@ -252,7 +261,7 @@ def status(spark: SparkSession, root: str, index: str | None = None, terms: bool
         known = archives_table(spark, index, manifest).persist()
         counts = {r["state"]: r["n"] for r in (coverage(spark, root, known) if cover is None else cover).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
         total = known.agg(F.count(F.lit(1)).alias("archives"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("members", "records", "postings"))).first().asDict()
-        n_terms = postings(spark, index, known).select("kind", "term").distinct().count() if terms else 0
+        n_terms = _all_terms(spark, index).count() if terms else 0
         known.unpersist()
     except Exception as e:
         if type(e).__name__ in ("IndexCorrupt", "AnalysisException", "ParseException", "PySparkException", "SparkRuntimeException") or "parquet" in str(e).lower():
@@ -300,9 +309,10 @@ def compact(spark: SparkSession, index: str) -> None:
     generation = manifest.generation + 1
     live = postings(spark, index, known)
     live.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.mode("overwrite").parquet(os.path.join(index, "postings", f"generation={generation}"))
+    _write_terms(index, generation, spark.read.schema(_POSTINGS).parquet(os.path.join(index, "postings", f"generation={generation}")))
     _add(index, manifest, known.drop("generation"))
     known.unpersist()
-    for part in ("postings", "archives"):
+    for part in ("postings", "archives", "terms"):
         for g in os.listdir(os.path.join(index, part)):
             if g.startswith("generation=") and g != f"generation={generation}":
                 shutil.rmtree(os.path.join(index, part, g), ignore_errors=True)
@@ -332,6 +342,18 @@ def lookups(options: SearchOptions) -> list[list[tuple[str, str]]] | None:
     return found
 
 
+def _all_terms(spark: SparkSession, index: str) -> DataFrame:
+    folder = os.path.join(index, "terms")
+    return spark.read.schema("kind string, term string, generation int").parquet(folder).select("kind", "term").distinct() if os.path.isdir(folder) else spark.createDataFrame([], "kind string, term string")
+
+
+def _matching_terms(spark: SparkSession, index: str, wanted: list[list[tuple[str, str]]]) -> DataFrame:
+    hit = F.lit(False)
+    for kind, part in sorted({x for alt in wanted for x in alt}):
+        hit = hit | ((F.col("kind") == kind) & F.contains(F.col("term"), F.lit(part)))
+    return _all_terms(spark, index).filter(hit)
+
+
 def candidates(spark: SparkSession, index: str, options: SearchOptions, live: DataFrame | None = None, allowed: list[str] | None = None) -> DataFrame | None:
     """(relative, route, line) of records that may match; None if the index cannot tell.
 
@@ -342,6 +364,13 @@ def candidates(spark: SparkSession, index: str, options: SearchOptions, live: Da
     if wanted is None:
         return None
     post = postings(spark, index, live)
+    # parts are looked for in the dictionary; postings, which are sorted by term, are then read by whole terms
+    held = _matching_terms(spark, index, wanted)
+    some = held.limit(LOOKUP_TERMS + 1).collect()
+    if len(some) <= LOOKUP_TERMS:
+        post = post.filter(F.col("term").isin(sorted({r["term"] for r in some})))
+    else:
+        post = post.join(held, ["kind", "term"], "left_semi")
     if allowed is not None:
         post = post.filter(F.col("relative").isin(allowed))
     hits = None

@@ -146,6 +146,12 @@ def test_index_answers_as_the_scan_does(spark, corpus):
         indexed.close(), scanned.close()
 
 
+def test_lookups_of_many_terms_are_joined(spark, corpus, monkeypatch):
+    monkeypatch.setattr(ix, "LOOKUP_TERMS", 2)
+    ix.build_or_update(spark, str(corpus))
+    assert ix.candidates(spark, ix.default_path(str(corpus)), SearchOptions(("unique",))).count() == 6
+
+
 def test_index_life(spark, corpus):
     root = str(corpus)
     assert ix.status(spark, root).state == "NONE"
