@@ -373,7 +373,7 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{NORMED}, t AS (SELECT DISTINCT archive, member, line, unnest(list_filter(string_split(n, ' '), lambda x: x <> '')) AS term FROM norm) SELECT term, archive, member, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines FROM t GROUP BY term, archive, member")
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = ix.postings_from(document_records(spark, sf_dir), exact=False).filter("kind = 'term'")
+    made = ix.postings_from(document_records(spark, sf_dir), exact=False)
     return made.select("term", "archive", "member", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 

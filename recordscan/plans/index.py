@@ -139,21 +139,28 @@ def archives_table(spark: SparkSession, index: str, manifest: Manifest) -> DataF
     return latest.select("relative", "last.*").filter("fingerprint IS NOT NULL")
 
 
-_POSTINGS = "kind string, term string, relative string, member string, nested_path array<string>, route array<int>, lines array<long>"
+_POSTINGS = "kind string, term string, relative string, route array<int>, line long"
+#: Rows of a term lie together, and its members and lines in order: Parquet stores their repeats once.
+_SORTED = ["kind", "term", "relative", "route", "line"]
+
+
+def posting_rows(records: DataFrame, exact: bool = True) -> DataFrame:
+    """records' places with (kind, term): each token once, and the digits of records with enough of them. No shuffle."""
+    base = records.select("archive", "route", "line", normalized(F.col("text"), False, exact).alias("n"), phone_digits(F.col("text")).alias("d"))
+    words = F.transform(F.array_distinct(tokens(F.col("n"))), lambda t: F.struct(F.lit("term").alias("kind"), t.alias("term")))
+    digits = F.when(F.length("d") >= DIGITS, F.array(F.struct(F.lit("digits").alias("kind"), F.col("d").alias("term")))).otherwise(F.array().cast("array<struct<kind:string,term:string>>"))
+    return base.select("archive", "route", "line", F.explode(F.concat(words, digits)).alias("t")).select("t.kind", "t.term", "archive", "route", "line")
 
 
 def postings_from(records: DataFrame, exact: bool = True) -> DataFrame:
-    """(kind, term, archive, member, nested_path, route, lines): tokens, and digits of records with enough of them."""
-    place = ["archive", "member", "nested_path", "route", "line"]
-    base = records.select(*place, normalized(F.col("text"), False, exact).alias("n"), phone_digits(F.col("text")).alias("d"))
-    words = base.select(*place, F.lit("term").alias("kind"), F.explode(F.array_distinct(tokens(F.col("n")))).alias("term"))
-    digits = base.filter(F.length("d") >= DIGITS).select(*place, F.lit("digits").alias("kind"), F.col("d").alias("term"))
-    return words.unionByName(digits).groupBy("kind", "term", "archive", "member", "nested_path", "route").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    """(term, archive, member, lines): each term's records in each member, as lists."""
+    base = records.select("archive", "member", "line", normalized(F.col("text"), False, exact).alias("n"))
+    return base.select("archive", "member", "line", F.explode(F.array_distinct(tokens(F.col("n")))).alias("term")).groupBy("term", "archive", "member").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def _mark(df: DataFrame) -> DataFrame:
     """members, records, postings and a checksum of each archive's postings, whatever their order."""
-    one = F.xxhash64("kind", "term", "route", "lines")
+    one = F.xxhash64("kind", "term", "route", "line")
     return df.groupBy("relative").agg(F.countDistinct("route").alias("members"), F.count(F.lit(1)).alias("postings"), F.bit_xor(one).alias("checksum"))
 
 
@@ -196,9 +203,9 @@ def build_or_update(
         part = todo[i : i + batch]
         names = spark.createDataFrame([(a, r) for r, a in part], "archive string, relative string")
         tagged = read_tagged(spark, root, ReadOptions(limits=limits), archives=[a for _, a in part]).persist(StorageLevel.DISK_ONLY)
-        made = postings_from(records_of(tagged)).join(F.broadcast(names), "archive").select("kind", "term", "relative", "member", "nested_path", "route", "lines")
+        made = posting_rows(records_of(tagged).join(F.broadcast(names), "archive").withColumn("archive", F.col("relative"))).withColumnRenamed("archive", "relative").select(*_SORTED)
         at = os.path.join(index, "postings", f"generation={manifest.generation + 1}")
-        made.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.mode("overwrite").parquet(at)
+        made.repartitionByRange(*_SORTED[:4]).sortWithinPartitions(*_SORTED).write.mode("overwrite").parquet(at)
         counted = records_of(tagged).groupBy("archive").agg(F.count(F.lit(1)).alias("records")).join(F.broadcast(names), "archive")
         written = spark.read.schema(_POSTINGS).parquet(at)
         _write_terms(index, manifest.generation + 1, written)
@@ -308,7 +315,7 @@ def compact(spark: SparkSession, index: str) -> None:
     known = archives_table(spark, index, manifest).persist()
     generation = manifest.generation + 1
     live = postings(spark, index, known)
-    live.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.mode("overwrite").parquet(os.path.join(index, "postings", f"generation={generation}"))
+    live.select(*_SORTED).repartitionByRange(*_SORTED[:4]).sortWithinPartitions(*_SORTED).write.mode("overwrite").parquet(os.path.join(index, "postings", f"generation={generation}"))
     _write_terms(index, generation, spark.read.schema(_POSTINGS).parquet(os.path.join(index, "postings", f"generation={generation}")))
     _add(index, manifest, known.drop("generation"))
     known.unpersist()
@@ -378,7 +385,7 @@ def candidates(spark: SparkSession, index: str, options: SearchOptions, live: Da
     for kind, part in {x for alt in wanted for x in alt}:
         any_part = any_part | ((F.col("kind") == kind) & F.contains(F.col("term"), F.lit(part)))
     flags = [F.array(*(((F.col("kind") == k) & F.contains(F.col("term"), F.lit(part))) for k, part in alt)) for alt in wanted]
-    rows = post.filter(any_part).select("relative", "route", F.explode("lines").alias("line"), *(f.alias(f"alt{i}") for i, f in enumerate(flags)))
+    rows = post.filter(any_part).select("relative", "route", "line", *(f.alias(f"alt{i}") for i, f in enumerate(flags)))
     has = [F.bool_or(F.col(f"alt{i}")[k]) for i, alt in enumerate(wanted) for k in range(len(alt))]
     got = rows.groupBy("relative", "route", "line").agg(*(h.alias(f"has{i}") for i, h in enumerate(has)))
     at = 0
