@@ -237,7 +237,8 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     from pyspark.sql import types as T
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(per_part.select("length", "part", before.alias("before")), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
+    # no broadcast: the counts grow with the tasks, and their file is far smaller than they are
+    ranked = pieces.join(per_part.select("length", "part", before.alias("before")).hint("merge"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
     columns = [c for c in pieces.columns if c not in ("part", "nth")]
     schema = T.StructType([*(pieces.schema[c] for c in columns), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.select(*columns, "rank").mapInArrow(place, schema)
