@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import settle, table
 from .components import connected_components
 
-BLOCKS = 8
+BLOCKS = 4
 #: Rows of a cell that meet their partners in one task; larger cells are dealt to several.
 TILE = 2048
 #: What rounding may add to squared distances in single precision.
