@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -64,11 +64,18 @@ class _Shape:
         return np.floor(t[:, p.start] / wide).astype(np.int64), np.floor(second / wide).astype(np.int64)
 
 
+def _plain(rows: DataFrame) -> Column:
+    """embedding with -0.0 as 0.0, its components float if they are so already, else double."""
+    kind = rows.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+    return F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
+
+
 def distinct_vectors(rows: DataFrame) -> DataFrame:
     """Vectors that can link at all, equal ones with equal labels once: rep (the smallest vec_id), dims, label, embedding, copies."""
     sound = F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))") & F.expr("exists(embedding, x -> x <> 0)")
     usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).filter(sound)
-    e = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 is 0.0
+    e = _plain(rows)
     return usable.groupBy("label", e.alias("embedding")).agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dims", F.size("embedding"))
 
 
@@ -235,7 +242,7 @@ def embedding_components(rows: DataFrame, cosine: float = 0.93, blocks: int = BL
     comp = connected_components(found.filter("kind = 1").select("a", "b"))
     by_rep = reps.select("label", "embedding", "rep", "copies").join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     by_rep = by_rep.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    keyed = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("embedding"))
+    keyed = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", _plain(rows).alias("embedding"))
     keyed = keyed.withColumn("label", F.when(F.col("vec_id").isNotNull(), F.col("label")))
     out = keyed.join(by_rep, ["label", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id")
