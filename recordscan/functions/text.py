@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A run that may be a telephone number.
+#: Fixed value: a run that may be a telephone number.
 PHONE = r"\+?\d(?:[\d(). -]*\d)?"
-#: Digits that make such a run a number.
+#: Fixed value: digits that make such a run a number.
 PHONE_DIGITS = 7
 
 

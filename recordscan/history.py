@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import asdict, dataclass, field
 
-#: Entries kept of each list, the newest first.
+#: Entries kept of each list, the newest first.
 KEPT = {"history": 200, "roots": 50, "saved": 50, "bookmarks": 200}
 
 

@@ -20,6 +20,7 @@ PHONE, PHRASE, ALL, PREFIXES, PARTIAL, PREFIX_PARTIAL = 520, 500, 400, 300, 100,
 PHRASE_TOKENS = 9
 #: Names of the rules, in the same order.
 MATCH_TYPES = ("phone", "phrase", "all_tokens", "prefix_tokens", "partial_tokens", "prefix_partial")
+#: Fixed value: digits that make a pattern a telephone number.
 PHONE_DIGITS = 7
 
 

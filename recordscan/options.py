@@ -13,7 +13,7 @@ class ConfigurationError(ValueError):
 
 @dataclass(frozen=True)
 class SafetyLimits:
-    """Bounds that archives must keep before any member is decompressed."""
+    """Bounds that archives must keep before any member is decompressed (the defaults are fixed values)."""
 
     max_members: int = 100_000
     max_member_bytes: int = 512 << 20

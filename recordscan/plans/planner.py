@@ -11,7 +11,7 @@ from ..options import SearchOptions
 from ..sources.archives import discover, is_local
 from . import index as ix
 
-#: Shares of archives and of members, both reached, from which candidates are no cheaper than a scan.
+#: Fixed value: shares of archives and of members, both reached, from which candidates are no cheaper than a scan.
 BROAD = 0.8
 #: Members that the driver keeps in a plan; beyond that a scan is planned.
 PLAN_MEMBERS = 200_000
