@@ -54,11 +54,6 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """Strings of an Arrow column, null as empty."""
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of column in one slice hold about `chars` bytes; a longer text is a slice of its own."""
     for batch in batches:

@@ -8,12 +8,14 @@ window's length is a hit.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table
 
@@ -225,8 +227,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             }
             yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
 
-    from pyspark.sql import types as T
-
     spans_type = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", spans_type), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     return docs.mapInArrow(run, schema)
@@ -265,15 +265,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     are cut, and n_chars, if there, follows. Documents without a hit stay as
     they are.
     """
-    from pyspark.sql import functions as F
-
     found = find_contamination(docs, benchmark, window)
     kept = found.filter((F.size("hit_items") <= max_items) & (F.col("n_hit") <= F.col("n_words") * max_coverage))
 
     @F.pandas_udf("string")
     def cut(text, spans):
-        import pandas as pd
-
         return pd.Series([cut_spans(t, [(s["from"], s["to"]) for s in x]) for t, x in zip(text, spans)])
 
     clean = kept.filter("n_hit = 0").select(docs.columns)
@@ -284,8 +280,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n = F.size("hit_items").cast("long")
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))

@@ -124,12 +124,12 @@ def parse(source: str) -> Node:
 def nodes_of(root: Node) -> list[Node]:
     """Block elements in page order; their own text (that of inline parts included) is taken on the way."""
     found: list[Node] = []
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    todo = [root]
     while todo:  # parents first; a stack, as broken pages may nest deeper than Python calls may
-        node, _ = todo.pop()
+        node = todo.pop()
         found.append(node)
         node.text = own_text(node)
-        todo += [(c, False) for c in reversed(block_children(node))]
+        todo += reversed(block_children(node))
     for node in reversed(found):
         node.size = 1 + sum(c.size for c in block_children(node))
     return found
