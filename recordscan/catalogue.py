@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import render
-from .engine import annotate, finished, limited, search_records
+from .engine import annotate, finished, limited
 from .functions import entities as ent
 from .functions import paths
 from .functions.text import normalized, phone_components, phone_digits, tokens
-from .operators import advanced, context, evidence, grouping, match, provenance, ranking, smart
+from .operators import advanced, context, evidence, grouping, provenance, ranking, smart
 from .options import SafetyLimits, SearchOptions
 from .plans import index as ix
 from .sources.archives import ReadOptions, members, read_tagged, records_of, stats_of, validated

@@ -78,10 +78,6 @@ def phone_components(text: Column) -> Column:
     return F.filter(F.transform(runs, phone_digits), lambda x: F.length(x) >= PHONE_DIGITS)
 
 
-def has_token(normal: Column, token: str) -> Column:
-    return F.concat(F.lit(" "), normal, F.lit(" ")).contains(f" {token} ")
-
-
 def has_prefix(normal: Column, prefix: str) -> Column:
     """Whether some token starts with the prefix, which may go on over spaces in no case."""
     return F.concat(F.lit(" "), normal).contains(f" {prefix}")
