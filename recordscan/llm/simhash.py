@@ -13,6 +13,10 @@ A bucket of more than DENSE fingerprints is not paired: its members are dealt
 to the points within one bit of them. Two fingerprints are within two bits of
 each other exactly if such a point is shared, and a point has at most 65
 distinct fingerprints around it, so this is exact and linear in the bucket.
+
+The pipeline's stage has limits of its own (near_links): candidates within
+NEAR_LIMIT bits, by shared points of the four groups of coordinates, and
+similarity of word shingles checked on each candidate.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, slices, table
+from .common import release, settle, slices, table
 from .components import connected_components
 
 #: Fingerprints of a bucket that are paired; larger buckets are handled through shared points.
@@ -43,7 +47,7 @@ PIVOTS = np.concatenate([[_BASE], _BASE ^ (np.uint64(1) << np.arange(64, dtype=n
 
 
 def fingerprint(text: bytes | None, words: int = WORDS, block: int = 65_536) -> int:
-    """SimHash of a text's word shingles, as an unsigned 64-bit number (see the contract of simhash_links)."""
+    """SimHash of a text's word shingles, as an unsigned 64-bit number (see the contract of linked_components)."""
     w = (text or b"").lower().split()
     if not w:
         return 0
@@ -167,7 +171,7 @@ def simhash_links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
+def linked_components(docs: DataFrame) -> DataFrame:
     """Fingerprint and component of every row of docs (doc_id, text; other columns are ignored).
 
     Texts are lower-cased (A-Z), split at ASCII white space into words, and
@@ -190,10 +194,259 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return linked_components(table(spark, sf_dir, "documents"))
+
+
+#: The stage's contract: word shingles that similarity is measured on, and the similarity of near-duplicates.
+NEAR_WORDS, NEAR = 5, 0.8
+#: The stage's candidates: words of their fingerprints' shingles, and bits in which they may differ: 3 * GROUPS - 1, what shared points of a group reach.
+NEAR_FP_WORDS, NEAR_LIMIT = 3, 3 * GROUPS - 1
+#: Close pairs for each member of a bucket beyond which it is connected in rounds.
+CROWDED = 8
+_ROW = "tbl int, key int, fp long, node long, doc long"
+_PAIR = "a long, b long, doc_a long, doc_b long"
+_AROUND = np.concatenate([[0], 1 << np.arange(16)])
+
+
+def _nodes(words: int):
+    """(doc_id, fp, node) of documents; node is the digest of a text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2_000_000):
+            texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
+            fp = np.fromiter((fingerprint(x, words) for x in texts), np.uint64, len(texts))
+            node = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())) for x in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64))], ["doc_id", "fp", "node"])
+
+    return run
+
+
+def shingles(text: bytes | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """The set of a text's word shingles, as sorted 64-bit digests; fewer words make one shingle, none an empty set."""
+    w = (text or b"").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))), np.uint64))
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 2_000_000):
+        texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
+        node = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())) for x in texts), np.uint64, len(texts))
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([shingles(x).tobytes() for x in texts], pa.binary())], ["node", "set"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both sets, those with a Jaccard similarity of NEAR."""
+    for batch in batches:
+        keep = []
+        for one, other in zip(batch.column("set_a"), batch.column("set_b")):
+            x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (one, other))
+            shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= NEAR * max(len(x), len(y)) else 0
+            keep.append(shared > 0 and shared >= NEAR * (len(x) + len(y) - shared))
+        yield batch.select(["doc_a", "doc_b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(table, point, ...) of each fingerprint: for each group of coordinates, the points within one coordinate.
+
+    Two fingerprints within NEAR_LIMIT bits differ in two coordinates or fewer
+    in some group, and there share such a point.
+    """
+    for batch in batches:
+        fp = batch.column("fp").to_numpy().view(np.uint64)
+        coords = _coordinates(fp)
+        for g in range(GROUPS):
+            for around in _AROUND:
+                n = len(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int32)), pa.array((coords[:, g] ^ around).astype(np.int32)), *(batch.column(c) for c in ("fp", "node", "doc"))], ["tbl", "key", "fp", "node", "doc"])
+
+
+def _coordinates(fp: np.ndarray) -> np.ndarray:
+    """A row for each fingerprint: the coordinates to the base pivot's neighbours, in GROUPS numbers of 16 bits."""
+    d = fp ^ _BASE  # coordinate j is under the base pivot's exactly where bit j differs from the base pivot's
+    return (d[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def _owned(x: np.ndarray, y: np.ndarray, tbl: int, key: int) -> np.ndarray:
+    """Whether (tbl, key) is the first point that the fingerprints x and y of close pairs share."""
+    a, b = _coordinates(x), _coordinates(y)
+    first = (np.bitwise_count(a ^ b) <= 2).argmax(1)
+    a, b = (v[np.arange(len(v)), first] for v in (a, b))
+    low = (a ^ b) & -(a ^ b)
+    point = np.where(np.bitwise_count(a ^ b) == 2, np.minimum(a ^ low, b ^ low), np.minimum(a, b))
+    return (first == tbl) & (point == key)
+
+
+def _close(fp: np.ndarray, tbl: int, key: int, rows: np.ndarray, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that a bucket owns, of one of the given rows with a later one or one that is not given, between components if there are any."""
+    given = np.full(len(fp), False)
+    given[rows] = True
+    step = max(1, 1_000_000 // len(fp))
+    for s in range(0, len(rows), step):
+        r = rows[s : s + step]
+        i, j = np.nonzero(np.bitwise_count(fp[r][:, None] ^ fp[None, :]) <= NEAR_LIMIT)
+        i = r[i]
+        ok = (j > i) | ~given[j]
+        if comp is not None:
+            ok &= comp[i] != comp[j]
+        i, j = i[ok], j[ok]
+        ok = _owned(fp[i], fp[j], tbl, key)
+        yield i[ok], j[ok]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The buckets of sorted rows that hold two rows or more."""
+    held: list[list[np.ndarray]] = []
+    at = None
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if not batch.num_rows:
+            continue
+        at_each = rows[0].astype(np.int64) << 32 | rows[1]
+        edges = [0, *(np.flatnonzero(at_each[1:] != at_each[:-1]) + 1), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if at != at_each[lo]:
+                if sum(len(h[0]) for h in held) > 1:
+                    yield [np.concatenate(c) for c in zip(*held)] if len(held) > 1 else held[0]
+                held, at = [], at_each[lo]
+            held.append([c[lo:hi] for c in rows])
+    if sum(len(h[0]) for h in held) > 1:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _found(kind: int, tbl, key, fp, node, doc, i: np.ndarray, j: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Rows i of a bucket themselves (kind 1), or pairs of its rows i and j (kind 0: all there are, kind 2: some)."""
+    other = i if j is None else j
+    return {"kind": np.full(len(i), kind, np.int32), "tbl": tbl[i], "key": key[i], "fp": fp[i], "a": node[i], "b": node[other], "doc_a": doc[i], "doc_b": doc[other]}
+
+
+_FOUND = "kind int, tbl int, key int, fp long, a long, b long, doc_a long, doc_b long"
+
+
+def _gather(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part["kind"])
+        if n > 50_000:
+            yield pa.RecordBatch.from_pydict({c: np.concatenate([p[c] for p in held]) for c in part})
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_pydict({c: np.concatenate([p[c] for p in held]) for c in held[0]})
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Close pairs of each bucket; of a crowded one its rows, and some close pairs."""
+
+    def each():
+        for tbl, key, fp, node, doc in _buckets(batches, ["tbl", "key", "fp", "node", "doc"]):
+            u = fp.view(np.uint64)
+            pairs, n = [], 0
+            for i, j in _close(u, tbl[0], key[0], np.arange(len(u))):
+                pairs.append((i, j))
+                n += len(i)
+                if n > CROWDED * len(u):
+                    break
+            if n > CROWDED * len(u):
+                yield _found(1, tbl, key, fp, node, doc, np.arange(len(u)))
+                mates = np.zeros(len(u), np.int64)
+                for d in range(1, min(16, len(u))):
+                    i = np.flatnonzero((np.bitwise_count(u[:-d] ^ u[d:]) <= NEAR_LIMIT) & (mates[:-d] < 2))
+                    mates[i] += 1
+                    yield _found(2, tbl, key, fp, node, doc, i, i + d)
+            elif n:
+                yield _found(0, tbl, key, fp, node, doc, *(np.concatenate(x) for x in zip(*pairs)))
+
+    yield from _gather(each())
+
+
+def _between(whole: bool):
+    """Close pairs of crowded buckets between components: all, or for each row outside the bucket's largest component some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for tbl, key, fp, node, doc, comp in _buckets(batches, ["tbl", "key", "fp", "node", "doc", "comp"]):
+                u = fp.view(np.uint64)
+                kinds, place, n = np.unique(comp, return_inverse=True, return_counts=True)
+                out = np.flatnonzero(place != n.argmax())
+                if whole:
+                    for i, j in _close(u, tbl[0], key[0], out, comp):
+                        yield _found(0, tbl, key, fp, node, doc, i, j)
+                    continue
+                mates = np.zeros(len(u), np.int64)
+                for d in range(1, min(64, len(u))):
+                    to = (out + d) % len(u)
+                    ok = (np.bitwise_count(u[out] ^ u[to]) <= NEAR_LIMIT) & (comp[out] != comp[to]) & (mates[out] < 2)
+                    mates[out[ok]] += 1
+                    yield _found(2, tbl, key, fp, node, doc, out[ok], to[ok])
+
+        yield from _gather(each())
+
+    return run
+
+
+def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between documents that connect all near-duplicates among the candidates.
+
+    docs: (doc_id long, text); nodes: (node long, fp long, doc long), a row for
+    each text. Candidates are texts whose fingerprints are within NEAR_LIMIT
+    bits; near-duplicates are those with a Jaccard similarity of NEAR or more
+    in shingles of NEAR_WORDS words. Buckets in which very many are close are
+    not paired at once: some pairs are tried first, then all those between
+    components that have not met.
+    """
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        pairs = settle(pairs.select("a", "b", "doc_a", "doc_b"), "near-pairs")
+        needed = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+        sets = settle(docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(_shingle_sets, "node long, set binary").dropDuplicates(["node"]), "near-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        links = settle(both.mapInArrow(_similar, "doc_a long, doc_b long"), "near-links", drop=sets)
+        release(pairs)
+        return links
+
+    def some(found: DataFrame) -> DataFrame:
+        """Of the pairs of kind 2, at most four for each text."""
+        pairs = found.filter("kind = 2").select("a", "b", "doc_a", "doc_b").distinct()
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
+        return pairs.withColumn("rank", rank).filter("rank <= 4").drop("rank")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("tbl", "key").sortWithinPartitions("tbl", "key", "fp", "node")
+
+    found = settle(dealt(nodes.select("fp", "node", "doc").mapInArrow(_points, _ROW)).mapInArrow(_candidates, _FOUND), "near-found")
+    links = tried(found.filter("kind = 0").unionByName(some(found), allowMissingColumns=True))
+    crowded = found.filter("kind = 1").select("tbl", "key", "fp", F.col("a").alias("node"), F.col("doc_a").alias("doc"))
+    if crowded.isEmpty():
+        return links
+    for whole in (False, False, True):
+        comp = connected_components(links).select(F.col("node").alias("doc"), "component")
+        rows = crowded.join(comp, "doc", "left").select("tbl", "key", "fp", "node", "doc", F.coalesce("component", "doc").alias("comp"))
+        more = settle(dealt(rows).mapInArrow(_between(whole), _FOUND), "near-found")
+        links = links.unionByName(tried(more if whole else some(more)))
+    return links
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """Fingerprint and component of every row of docs (doc_id, text) by near-duplicates as in near_links.
+
+    Texts with the same words are near-duplicates of each other, also those
+    without any. component_id is the smallest doc_id reachable. Rows that
+    repeat a doc_id count as one document; rows without doc_id link with
+    nothing and get no component. An empty table gives no rows. op5's query
+    has the narrower contract of linked_components.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    fps = settle(docs.mapInArrow(_nodes(NEAR_FP_WORDS), "doc_id long, fp long, node long"), "near-fingerprints")
+    nodes = settle(fps.filter("doc_id IS NOT NULL").groupBy("node", "fp").agg(F.min("doc_id").alias("doc")), "near-nodes")
+    same = fps.join(nodes, ["node", "fp"]).filter("doc_id <> doc").select(F.col("doc_id").alias("doc_a"), F.col("doc").alias("doc_b"))
+    comp = connected_components(near_links(docs, nodes).unionByName(same)).withColumnRenamed("node", "doc_id")
+    out = fps.join(comp, "doc_id", "left")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; rows without doc_id stay."""
-    gone = simhash_components(docs).filter("doc_id <> component_id").select("doc_id")
+    gone = simhash_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -257,6 +257,37 @@ def test_simhash_edge_cases(spark):
     assert simhash.simhash_components(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [0, 8])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    r = random.Random(crowded)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts = ["", " ", "one two", "One  two"]
+    for copies, edits in ((40, 3), (4, 1), (4, 2), (4, 4), (4, 9)):
+        base = [word() for _ in range(150)]
+        for _ in range(copies):
+            own = list(base)
+            for i in r.sample(range(150), r.randint(0, edits)):
+                own[i] = word()
+            texts.append(" ".join(own))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(20)]
+    fp = np.array([simhash.fingerprint(t.encode()) for t in texts], np.uint64)
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    root, beyond = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            same = texts[i].lower().split() == texts[j].lower().split()
+            apart = int(np.bitwise_count(fp[i] ^ fp[j]))
+            if same or (apart <= 11 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                beyond += apart > 2
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert beyond > 50
+    rows = list(enumerate(texts))
+    assert {x["doc_id"]: x["component_id"] for x in simhash.simhash_components(frame(spark, rows)).collect()} == dict(enumerate(root))
+    assert sorted(x["doc_id"] for x in simhash.keep_representatives(clashing(frame(spark, rows))).collect()) == sorted(set(root))
+
+
 # 6 embeddings
 
 
