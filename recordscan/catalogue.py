@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -497,37 +498,59 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+#: Documents and bytes of text at which a further archive is started, well before what SafetyLimits let an archive hold.
+ARCHIVE_DOCS, ARCHIVE_BYTES = 50_000, 1 << 30
+
+
 def archive_documents(spark: SparkSession, sf_dir: str, nested: bool = False) -> str:
-    """The documents as archives, one for each partition, written by the executors; returns their folder."""
+    """The documents as archives, one or more for each partition, written by the executors; returns their folder."""
     import io
 
     folder = shared_folder(spark)
+    most_docs, most_bytes = ARCHIVE_DOCS, ARCHIVE_BYTES
+
+    def parts(frames):
+        """(number of the frame, doc_id, text) of the rows of one archive after the other, each to be read to its end."""
+        rows = ((k, d, (t or "").encode()) for k, frame in enumerate(frames) for d, t in zip(frame["doc_id"], frame["text"]))
+        held = next(rows, None)
+
+        def part():
+            nonlocal held
+            docs = size = 0
+            while held is not None and (not docs or (docs < most_docs and size + len(held[2]) <= most_bytes)):
+                docs, size = docs + 1, size + len(held[2])
+                yield held
+                held = next(rows, None)
+
+        while held is not None:
+            yield part()
 
     def write(frames):
         import pandas as pd
 
-        name = os.path.join(folder, f"{uuid.uuid4().hex}.zip")
-        n = 0
-        with zipfile.ZipFile(name + ".part", "w", zipfile.ZIP_DEFLATED) as z:
-            for k, frame in enumerate(frames):
-                inner = io.BytesIO()
-                target = zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) if nested else z
-                for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                    target.writestr(f"docs/{doc_id}.txt", text or "")
-                    n += 1
-                if nested:
-                    target.close()
-                    z.writestr(f"inner-{k}.zip", inner.getvalue())
-        os.replace(name + ".part", name)
-        yield pd.DataFrame({"archive": [name], "n": [n]})
+        for part in parts(frames):
+            name = os.path.join(folder, f"{uuid.uuid4().hex}.zip")
+            n = 0
+            with zipfile.ZipFile(name + ".part", "w", zipfile.ZIP_DEFLATED) as z:
+                for k, rows in groupby(part, lambda row: row[0]) if nested else [(0, part)]:
+                    inner = io.BytesIO()
+                    target = zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) if nested else z
+                    for _, doc_id, text in rows:
+                        target.writestr(f"docs/{doc_id}.txt", text)
+                        n += 1
+                    if nested:
+                        target.close()
+                        z.writestr(f"inner-{k}.zip", inner.getvalue())
+            os.replace(name + ".part", name)
+            yield pd.DataFrame({"archive": [name], "n": [n]})
 
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     docs.mapInPandas(write, "archive string, n long").write.format("noop").mode("overwrite").save()
     return folder
 
 
-#: Some documents are one word over and over and shrink more than archives of strangers may.
-_LAX = ReadOptions(limits=SafetyLimits(max_compression_ratio=1e6))
+#: Some documents are one word over and over and shrink more, or are longer, than archives of strangers may.
+_LAX = ReadOptions(limits=SafetyLimits(max_compression_ratio=1e6, max_member_bytes=2 << 30))
 _ROUND_TRIP = f"WITH {REC} SELECT 'docs/' || member AS member, line, text FROM rec"
 
 
@@ -563,8 +586,8 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build an index of the archived documents, and search through it."""
     folder = archive_documents(spark, sf_dir)
     o = SearchOptions(("licensed under",))
-    ix.build_or_update(spark, folder)
+    ix.build_or_update(spark, folder, limits=_LAX.limits)
     at = ix.default_path(folder)
     found = ix.candidates(spark, at, o)
-    names = records_of(read_tagged(spark, folder)).withColumn("relative", F.element_at(F.split("archive", "/"), -1))
+    names = records_of(read_tagged(spark, folder, _LAX)).withColumn("relative", F.element_at(F.split("archive", "/"), -1))
     return annotate(names.join(found, ["relative", "route", "line"], "left_semi"), o).select("member", "line", "text")

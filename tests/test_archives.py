@@ -2,10 +2,11 @@ import io
 import json
 import os
 import random
+import zipfile
 
 import pytest
 
-from recordscan import cli, render
+from recordscan import catalogue, cli, render
 from recordscan.engine import search
 from recordscan.options import ConfigurationError, SafetyLimits, SearchOptions
 from recordscan.plans import index as ix
@@ -264,3 +265,17 @@ def test_streams_of_archives(spark, corpus, tmp_path):
     at = ix.default_path(str(corpus))
     index_stream(spark, str(corpus), at, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert ix.status(spark, str(corpus)).state == "READY"
+
+
+def test_archived_documents_stay_below_the_limits(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} licensed under x") for i in range(60)] + [(60, "licensed under " * 20_000), (61, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalogue, "ARCHIVE_DOCS", 10, raising=False)
+    monkeypatch.setattr(catalogue, "_LAX", ReadOptions(limits=SafetyLimits(max_members=20, max_compression_ratio=1e6)))
+    assert tuple(catalogue.zip_counts(spark, str(tmp_path)).first()) == (62, 62)
+    assert catalogue.nested_zip_scan(spark, str(tmp_path)).select("member").distinct().count() == 61
+    assert catalogue.index_search(spark, str(tmp_path)).select("member").distinct().count() == 61
+    monkeypatch.setattr(catalogue, "ARCHIVE_BYTES", 1000, raising=False)
+    folder = catalogue.archive_documents(spark, str(tmp_path))
+    held = [zipfile.ZipFile(os.path.join(folder, f)).namelist() for f in os.listdir(folder)]
+    assert max(map(len, held)) <= 10 and ["docs/60.txt"] in held and sum(map(len, held)) == 62
