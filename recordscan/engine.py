@@ -167,7 +167,7 @@ def search(spark: SparkSession, path: str, options: SearchOptions, index_path: s
     over = matches.groupBy("archive").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > options.max_matches) if options.mode in ("literal", "regex") else None
     issues = issues_of(rest)
     if over is not None:
-        issues = issues.unionByName(over.select("archive", F.lit(None).cast("string").alias("member"), F.lit("match limit reached").alias("message"), F.lit("limit").alias("issue")))
+        issues = issues.unionByName(over.select("archive", F.lit(None).cast("string").alias("member"), F.lit("there are more matches than were asked for").alias("message"), F.lit("limit").alias("issue")))
     out = finished(rows, options)
     n_issues = issues.filter("issue <> 'limit'").count()
     summary = grouping.summary(stats_of(rest), out.count(), n_issues, plan.execution).first().asDict()

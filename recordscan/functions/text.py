@@ -53,11 +53,14 @@ def normalized(text: Column, case_sensitive: bool = False, exact: bool = False)
 
     The fast form stays in the JVM; it equals the exact one for text that NFKC
     leaves unchanged and whose case folding is its lower case with ß as ss.
-    The exact form is an Arrow UDF.
+    The exact form is that for texts of ASCII alone, which both treat alike, and
+    an Arrow UDF for the others.
     """
     if exact:
         # not deterministic for the optimizer: a filter on the result must stay above the UDF, wherever the records come from
-        return (_exact_cased if case_sensitive else _exact_folded).asNondeterministic()(text)
+        folded = (_exact_cased if case_sensitive else _exact_folded).asNondeterministic()
+        ascii_ = F.octet_length(text) == F.length(text)
+        return F.coalesce(folded(F.when(~ascii_, text)), normalized(text, case_sensitive))
     low = text if case_sensitive else F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ё"), F.lit("е"))
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " "))
 

@@ -18,14 +18,14 @@ def context_window(records: DataFrame, keys: list[str], order: str, text: str, n
 def context_join(matches: DataFrame, records: DataFrame, keys: list[str], order: str, text: str, n: int) -> DataFrame:
     """The same for matches that are few (already limited): their neighbours are looked up, records are not sorted.
 
-    order counts 1, 2, 3 ... within keys. The side that is broadcast has 2n + 1
-    rows for each match.
+    order counts 1, 2, 3 ... within keys. The looked-up side has 2n + 1 rows for
+    each match; whether it is broadcast is left to its size.
     """
     around = F.explode(F.sequence(F.col(order) - n, F.col(order) + n))
     wanted = matches.select(*keys, F.col(order).alias("_of"), around.alias(order)).filter(F.col(order) != F.col("_of"))
-    near = records.select(*keys, order, text).join(F.broadcast(wanted), [*keys, order])
+    near = records.select(*keys, order, text).join(wanted, [*keys, order])
     by = near.groupBy(*keys, F.col("_of").alias(order)).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("said")))).alias("_near"))
-    out = matches.join(F.broadcast(by), [*keys, order], "left")
+    out = matches.join(by, [*keys, order], "left")
     pick = lambda test: F.coalesce(F.transform(F.filter("_near", test), lambda x: x["said"]), F.array().cast("array<string>"))
     return out.withColumn("context_before", pick(lambda x: x["at"] < F.col(order))).withColumn("context_after", pick(lambda x: x["at"] > F.col(order))).drop("_near")
 

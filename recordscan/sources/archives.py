@@ -77,23 +77,23 @@ def discover(path: str, recursive: bool = True) -> list[str]:
 def check_members(infos: list[zipfile.ZipInfo], limits: SafetyLimits) -> tuple[list[int], list[Issue]]:
     """Places of the members that may be opened, and what speaks against the others; nothing is decompressed."""
     if len(infos) > limits.max_members:
-        return [], [Issue(f"skipped archive: {len(infos)} members exceeds safety limit", kind="safety")]
+        return [], [Issue(f"archive left out: it has {len(infos)} members, {limits.max_members} are allowed", kind="safety")]
     allowed, issues = [], []
     files = [(i, m) for i, m in enumerate(infos) if not m.is_dir()]
     for i, m in files:
         ratio = m.file_size / max(m.compress_size, 1)
         if is_unsafe(m.filename):
-            issues.append(Issue("skipped unsafe member path", m.filename, "safety"))
+            issues.append(Issue("left out: its path leads outside", m.filename, "safety"))
         elif m.flag_bits & 1:
-            issues.append(Issue("skipped encrypted member", m.filename, "unsupported"))
+            issues.append(Issue("left out: it is encrypted", m.filename, "unsupported"))
         elif m.file_size > limits.max_member_bytes:
-            issues.append(Issue("skipped oversized member", m.filename, "safety"))
+            issues.append(Issue("left out: it is too large", m.filename, "safety"))
         elif ratio > limits.max_compression_ratio:
-            issues.append(Issue(f"skipped suspicious compression ratio ({ratio:.1f}:1)", m.filename, "safety"))
+            issues.append(Issue(f"left out: a byte of it makes {ratio:.1f}", m.filename, "safety"))
         else:
             allowed.append(i)
     if sum(m.file_size for _, m in files) > limits.max_total_bytes:
-        return [], [*issues, Issue("skipped archive: declared expanded size exceeds safety limit", kind="safety")]
+        return [], [*issues, Issue("archive left out: its members are too large together", kind="safety")]
     return allowed, issues
 
 
@@ -111,6 +111,7 @@ def read_archive(source, options: ReadOptions, share: tuple[int, int] = (0, 1),
     issues and counts with k = 0. routes: only these members.
     """
     counts = _Counts()
+    leads = None if routes is None else {r[:n] for r in routes for n in range(1, len(r) + 1)}
 
     def walk(opened, depth: int, path: tuple[str, ...], route: tuple[int, ...]) -> Iterator[tuple]:
         with zipfile.ZipFile(opened) as archive:
@@ -126,7 +127,7 @@ def read_archive(source, options: ReadOptions, share: tuple[int, int] = (0, 1),
                 here = (*route, place)
                 if depth == 0 and place % share[1] != share[0]:
                     continue
-                if routes is not None and not any(r[: len(here)] == here for r in routes):
+                if leads is not None and here not in leads:
                     continue
                 info = infos[place]
                 suffix = suffix_of(info.filename)
@@ -136,7 +137,7 @@ def read_archive(source, options: ReadOptions, share: tuple[int, int] = (0, 1),
                 try:
                     if nested:
                         if depth >= options.limits.max_nested_depth:
-                            yield "issue", Issue("skipped nested ZIP: depth limit reached", info.filename, "safety")
+                            yield "issue", Issue("left out: archives are nested too deep", info.filename, "safety")
                             continue
                         with archive.open(info) as member, seekable(member, options.limits.max_member_bytes) as spool:
                             yield from walk(spool, depth + 1, (*path, info.filename), here)
@@ -154,7 +155,7 @@ def read_archive(source, options: ReadOptions, share: tuple[int, int] = (0, 1),
     try:
         yield from walk(source, 0, (), ())
     except Exception as e:
-        yield "issue", Issue(f"cannot read ZIP: {e}", None, "archive")
+        yield "issue", Issue(f"unreadable archive: {e}", None, "archive")
     yield "stat", counts
 
 
@@ -364,7 +365,7 @@ def inspect(path: str, limits: SafetyLimits | None = None) -> tuple[dict, list[I
         with zipfile.ZipFile(path) as z:
             infos = z.infolist()
     except Exception as e:
-        return {"archive": path, "members_seen": 0, "members_allowed": 0, "bytes_declared": 0}, [Issue(f"cannot read ZIP: {e}", None, "archive")]
+        return {"archive": path, "members_seen": 0, "members_allowed": 0, "bytes_declared": 0}, [Issue(f"unreadable archive: {e}", None, "archive")]
     allowed, issues = check_members(infos, limits or SafetyLimits())
     files = [m for m in infos if not m.is_dir()]
     return {"archive": path, "members_seen": len(files), "members_allowed": len(allowed), "bytes_declared": sum(m.file_size for m in files)}, issues
