@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -55,6 +55,30 @@ def render(turns: list[tuple[str, str]], learned: str = LEARNED) -> tuple[str, l
     return "".join(out), spans
 
 
+def under_mask(formatted: str, starts: np.ndarray, ends: np.ndarray, learned: np.ndarray, role: str = LEARNED) -> list[str]:
+    """The texts that learned tokens cover, unescaped, read back from the rendered conversation.
+
+    A token that reaches over the edge of a text of `role` (a line end before
+    it, say) counts with its part of that text; one that touches none counts
+    as a whole, so a mask that learns too much shows as well as one that
+    learns too little.
+    """
+    starts, ends = starts[learned], ends[learned]
+    spans = np.array([m.span(2) for m in _TURN.finditer(formatted) if _unescape_role(m[1]) == role and m.end(2) > m.start(2)], np.int64).reshape(-1, 2)
+    before = np.maximum.accumulate(np.concatenate([[0], ends]))[:-1]  # tokens of one character's bytes share its place
+    starts = np.maximum(starts, before)
+    of = np.searchsorted(spans[:, 1], starts, "right")
+    inside = of < len(spans)
+    low, high = (np.where(inside, spans[np.minimum(of, len(spans) - 1), k], 0) if len(spans) else np.zeros(len(starts), np.int64) for k in (0, 1))
+    touches = inside & (low < ends)
+    a, b = np.where(touches, np.maximum(starts, low), starts), np.where(touches, np.minimum(ends, high), ends)
+    keep = a < b
+    a, b, of = a[keep], b[keep], np.where(touches, of, -1)[keep]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != b[:-1]) | (of[1:] != of[:-1])])) if len(a) else np.zeros(0, int)
+    last = np.append(first[1:] - 1, len(a) - 1) if len(a) else first
+    return [unescape(formatted[i:j]) for i, j in zip(a[first].tolist(), b[last].tolist())]
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns of a rendered conversation."""
     return [(_unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
@@ -90,7 +114,7 @@ def _encode(text: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(e.ids, np.int32), offsets[:, 0], offsets[:, 1]
 
 
-_FORMATTED = "conv_id {}, n_turns long, formatted string, input_ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>"
+_FORMATTED = "conv_id {}, n_turns long, formatted string, input_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>"
 
 
 def format_conversations(turns: DataFrame, tokenizer: str | None = None, learned: str = LEARNED) -> DataFrame:
@@ -100,9 +124,9 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None, learned
     turns come first, null roles and texts are empty, a null conv_id is a
     conversation of its own, repeated rows are turns of their own, an empty
     table gives no rows. Control strings inside texts and roles are escaped
-    reversibly. Returns n_turns, the formatted text, its token ids, whether
-    each token is learned (it touches a text of role `learned`), and the
-    character spans under the mask. A conversation is one row of the result:
+    reversibly. Returns n_turns, the formatted text, its token ids and their
+    character offsets, whether each token is learned (it touches a text of
+    role `learned`), and the character spans under the mask. A conversation is one row of the result:
     its turns are sorted by Spark and read in a stream, no other is held.
     """
     from .packing import default_tokenizer
@@ -113,24 +137,24 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None, learned
         kind, done, size = None, [], 0
 
         def out() -> pa.RecordBatch:
-            conv, n, text, ids, masks, spans = zip(*done)
+            conv, n, text, ids, starts, stops, masks, spans = zip(*done)
+            lists = lambda arrays: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(conv, kind), pa.array(n, pa.int64()), pa.array(text, pa.string()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(masks))),
+                    lists(ids), lists(starts), lists(stops), lists(masks),
                     pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pair),
                 ],
-                ["conv_id", "n_turns", "formatted", "input_ids", "loss_mask", "loss_spans"],
+                ["conv_id", "n_turns", "formatted", "input_ids", "token_starts", "token_ends", "loss_mask", "loss_spans"],
             )
 
         def close(conv, rows: list[tuple[str, str]]) -> int:
             text, spans = render(rows, learned)
             ids, starts, ends = _encode(text, path)
             touched, under = mask(starts, ends, spans)
-            done.append((conv, len(rows), text, ids, touched, under))
+            done.append((conv, len(rows), text, ids, starts.astype(np.int32), ends.astype(np.int32), touched, under))
             return len(text)
 
         held: list[tuple[str, str]] = []
@@ -152,22 +176,22 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None, learned
             yield out()
 
     ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, _FORMATTED.format(turns.schema["conv_id"].dataType.simpleString()))
+    return ordered.select("conv_id", "role", "text").mapInArrow(frugal(run), _FORMATTED.format(turns.schema["conv_id"].dataType.simpleString()))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of formatted conversations, taken from the formatted text and the spans under the loss mask."""
+    """Digests of formatted conversations, taken from the formatted text and the tokens under the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist()):
+            arrays = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in ("token_starts", "token_ends", "loss_mask"))
+            for text, starts, ends, learned_ in zip(batch.column("formatted").to_pylist(), *arrays):
                 turns = parse(text)
                 all_, loss, n = hashlib.sha256(), hashlib.sha256(), 0
                 for role, said in turns:
                     all_.update(f"{role}\n{said}\n".encode())
-                for s in spans:
-                    learned = unescape(text[s["start"] : s["end"]])
+                for learned in under_mask(text, starts.astype(np.int64), ends.astype(np.int64), learned_):
                     n += len(learned)
                     loss.update(learned.encode())
                 rows.append((len(turns), all_.hexdigest(), n, loss.hexdigest(), len(text)))
@@ -176,10 +200,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(frugal(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of conversation -1, read back from the formatted output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{STOP}{START}assistant ok"
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
