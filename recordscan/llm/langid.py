@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import frugal, lean, slices, table
 
 #: N-grams of a profile and of a document that are ranked, and the longest n-gram.
 RANKS = 400
@@ -88,7 +88,7 @@ def learn_profiles(labelled: DataFrame, ranks: int = RANKS) -> dict[str, list[in
     Counts cover all rows; rows without lang or text teach nothing. What
     reaches the driver is `ranks` numbers for each language.
     """
-    counted = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_count_by_language, "lang string, gram long, n long")
+    counted = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(frugal(_count_by_language), "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = total.withColumn("rank", rank).filter(F.col("rank") <= ranks)
@@ -144,16 +144,19 @@ def _distances(texts: list[str], known: np.ndarray, ranks_of: np.ndarray, ranks:
     return distance, ranked
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS) -> DataFrame:
-    """Adds lang_pred and score to docs, from nothing but each whole text.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS, margin: bool = False) -> DataFrame:
+    """Adds lang_pred and score to docs (text, other columns), from nothing but each whole text.
 
     lang_pred is the language whose profile is nearest by out-of-place
     distance, ties going to the name that sorts first; 'und' if the text is
     null or has no letter, or if no profile was learned. score is 1 less the
-    share of the largest possible distance (0 for 'und'). Columns that are
-    already named so are replaced.
+    share of the largest possible distance (0 for 'und'). margin, if asked
+    for, is by how much of it the next language is further away (that of the
+    only language: 1). docs must have no columns of these names.
     """
-    docs = docs.drop("lang_pred", "score")
+    for c in ("lang_pred", "score", *(["margin"] if margin else [])):
+        if c in docs.columns:
+            raise ValueError(f"docs has a column {c} of its own")
     names = sorted(profiles)
     known = np.unique(np.array([g for p in profiles.values() for g in p], np.int64))
     ranks_of = np.full((len(known), len(names)), ranks, np.int64)
@@ -168,12 +171,15 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS
                 best = distance.argmin(1)
                 score = np.where(ranked > 0, 1 - distance[np.arange(len(texts)), best] / np.maximum(ranked * ranks, 1), 0.0)
                 lang = [names[b] if r else UNKNOWN for b, r in zip(best.tolist(), ranked.tolist())]
+                full = np.maximum(ranked * ranks, 1)
+                apart = np.diff(np.sort(distance, 1)[:, :2], axis=1)[:, 0] / full if len(names) > 1 else (ranked > 0).astype(float)
             else:
-                lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                lang, score, apart = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            added = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())} | ({"margin": pa.array(apart, pa.float64())} if margin else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("margin", T.DoubleType())] if margin else [])]
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, *more]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -181,21 +187,48 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
-    """docs whose language is identified with at least min_score, profiles being learned from docs themselves.
+#: Steps of a margin in which right and wrong predictions are counted.
+STEPS = 1000
 
-    Rejected are texts without a letter and texts so unlike every profile that
-    their score is below min_score. Where no row has a lang, nothing can be
-    learned and only texts without a letter go.
+
+def learn_margin(counts: list[tuple[int, int, int]]) -> float:
+    """The margin below which predictions are no better than a coin, from (step, right, wrong) of labelled texts that were held out."""
+    bound, right, wrong = 0, 0, 0
+    for step, good, bad in sorted(counts):
+        right, wrong = right + good, wrong + bad
+        if wrong >= right:
+            bound = step + 1
+    return bound / STEPS
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """docs whose language is identified, in their own columns.
+
+    Profiles are learned from labelled rows that are not held out (held_out,
+    by doc_id). Those that are tell how far one language must be nearer than
+    the next: the rejected texts are those without a letter and those whose
+    margin is so small that held-out predictions up to it were wrong at least
+    as often as right. Where no row has a lang, nothing can be learned and
+    only texts without a letter go.
     """
-    profiles = learn_profiles(docs)
-    found = identify(docs, profiles)
+    lean(docs.sparkSession)
+    own = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)]
+    plain = docs.select(*own, *(F.col(f"`{c}`").alias(c) for c in ("doc_id", "text", "lang")))
+    rest = [f"own_{i}" for i in range(len(own)) if docs.columns[i] != "text"]
+    profiles = learn_profiles(plain.filter(~held_out()).select("lang", "text"))
     if not profiles:
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(docs.columns)
+    tried = identify(plain.filter(held_out() & F.col("lang").isNotNull()).select("lang", "text"), profiles, margin=True).filter(F.col("lang_pred") != UNKNOWN)
+    right = (F.col("lang") == F.col("lang_pred")).cast("long")
+    counts = tried.groupBy(F.floor(F.col("margin") * STEPS).alias("step")).agg(F.sum(right).alias("good"), F.sum(1 - right).alias("bad")).collect()
+    bound = learn_margin([tuple(r) for r in counts])
+    found = identify(plain.select("text", *rest), profiles, margin=True)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= bound))
+    return kept.select(*((F.col("text") if c == "text" else F.col(f"own_{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled two thirds that are not held out."""
     docs = table(spark, sf_dir, "documents")
     profiles = learn_profiles(docs.filter(~held_out()))
     return identify(docs.select("doc_id", "text", held_out().alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
