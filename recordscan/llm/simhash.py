@@ -1,28 +1,26 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Each distinct fingerprint gets its Hamming distances to reference fingerprints
-(pivots). Sixty-five of them are a base pivot and its one-bit neighbours; they
-deal the fingerprints into tables: a link within two bits leaves at least two
-of the four groups of their coordinates as they are, so two linked
-fingerprints share the coordinates of some two groups (six tables). Within a
-table's bucket, pairs whose coordinates to the other pivots differ by more
-than the limit are discarded (the triangle inequality), and survivors are
-verified by the exact distance.
-
-A bucket of more than DENSE fingerprints is not paired: its members are dealt
-to the points within one bit of them. Two fingerprints are within two bits of
-each other exactly if such a point is shared, and a point has at most 65
-distinct fingerprints around it, so this is exact and linear in the bucket.
-
-The pipeline's stage has limits of its own (near_links): candidates within
-NEAR_LIMIT bits, by shared points of the four groups of coordinates, and
-similarity of word shingles checked on each candidate.
+(pivots). By the triangle inequality, distances of fingerprints within some
+bits of each other differ by no more than that in every coordinate. The first
+coordinates deal the fingerprints: rings of a few distances around each pivot
+make cells, and a fingerprint meets those of its own and of the neighbouring
+rings. Pairs of a cell whose largest coordinate difference to further pivots
+is beyond the limit are discarded, and survivors are verified by the exact
+distance. Crowded and sparse cells are treated alike, and of the links of a
+cell those are handed on that join what was not joined before.
+
+The pipeline's stage has limits of its own (near_links), where a pivot tells
+little: two unrelated fingerprints differ by more than 11 in one of twenty
+coordinates. Its candidates are fingerprints that differ by two bits or fewer
+in some of their four groups of 16, and similarity of word shingles is checked
+on each candidate.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +28,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, settle, slices, table
+from .cells import Merger, gathered, meetings, tiled
+from .common import frugal, lean, release, settle, slices, table
 from .components import connected_components
 
-#: Fingerprints of a bucket that are paired; larger buckets are handled through shared points.
-DENSE = 48
 SEED = 42
 WORDS = 3
-#: Bits in which linked fingerprints may differ; the tables and the shared points are built for it.
+#: Bits in which linked fingerprints may differ.
 LIMIT = 2
+#: Reference fingerprints: the first ones deal, the next OUTER filter whole blocks of a cell, the others what is left.
+PIVOTS = np.random.default_rng(20240607).integers(0, 2**64, 64, dtype=np.uint64)
+MOST_RINGS, OUTER = 11, 4
+#: More than the numbers of rings around a pivot.
+_PLACES = 40
 GROUPS = 4
-_rng = np.random.default_rng(20240607)
-_BASE = _rng.integers(0, 2**64, dtype=np.uint64)
-#: The base pivot, its 64 one-bit neighbours, then 31 random pivots.
-PIVOTS = np.concatenate([[_BASE], _BASE ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), _rng.integers(0, 2**64, 31, dtype=np.uint64)])
+
+
+def rings_for(n: int) -> int:
+    """How many pivots deal n fingerprints: each one more doubles the rows dealt and halves the pairs that meet."""
+    return min(MOST_RINGS, max(1, round(math.log(max(n, 1) / 424) / math.log(3.85)))) if n > 424 else 1
 
 
 def fingerprint(text: bytes | None, words: int = WORDS, block: int = 65_536) -> int:
@@ -74,101 +77,76 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
 
-def distances(fp: np.ndarray) -> np.ndarray:
+def distances(fp: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
     """The pivot distance table of fingerprints: a row each, a column for each pivot."""
-    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :])
+    return np.bitwise_count(fp[:, None] ^ pivots[None, :])
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(table, key, fp, doc) of each fingerprint for each choice of two coordinate groups."""
-    for batch in batches:
-        fp = batch.column("fp").to_numpy().view(np.uint64)
-        coords = distances(fp)
-        nearer = np.packbits(coords[:, 1:65] < coords[:, :1], axis=1)  # by how each one-bit neighbour's distance differs from the base pivot's
-        words = np.ascontiguousarray(nearer).view(">u2").astype(np.int64)
-        for t, (g, h) in enumerate(combinations(range(GROUPS), 2)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(words[:, g] << 16 | words[:, h]), batch.column("fp"), batch.column("doc")], ["tbl", "key", "fp", "doc"])
+def _deal(rings: int, limit: int):
+    """(cell, home, id, fp): a fingerprint home in its cell, and a visitor in the later ones of those that its neighbourhood touches."""
+    wide = 2 * limit  # then a neighbourhood touches two rings of each pivot
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            d = distances(fp, PIVOTS[:rings]).astype(np.int64)
+            ring = d // wide
+            step = np.where(d % wide < limit, -1, 1)
+            weight = _PLACES ** np.arange(rings, dtype=np.int64)
+            own, moves = (ring + 1) @ weight, step * weight
+            for k in range(1 << rings):
+                away = moves[:, [j for j in range(rings) if k >> j & 1]].sum(1)
+                to = np.flatnonzero(away >= 0) if k else np.arange(len(fp))
+                rows = batch if not k else batch.take(pa.array(to))
+                yield pa.RecordBatch.from_arrays([pa.array(own[to] + away[to]), pa.array(np.full(len(to), not k)), rows.column("doc"), rows.column("fp")], ["cell", "home", "id", "fp"])
 
-_LINK = "kind int, a long, b long"
+    return run
 
 
-def _pairs_of(limit: int = LIMIT):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(kind, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
-
-        def points(fp, doc):
-            """Each fingerprint's points within one bit: (1, point, doc)."""
-            around = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
-            return emit(1, (fp[:, None] ^ around[None, :]).ravel().view(np.int64), np.repeat(doc, 65))
-
-        def close(fp, key, doc):
-            """Links and dense members of whole buckets, in order of their keys."""
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(edge, len(key)))
-            dense = np.repeat(size > DENSE, size)
-            for i in range(0, int(dense.sum()), 20_000):
-                yield points(fp[dense][i : i + 20_000], doc[dense][i : i + 20_000])
-            fp, key, doc = fp[~dense], key[~dense], doc[~dense]
-            if not len(fp):
-                return
-            coords = distances(fp).astype(np.int8)
-            for d in range(1, DENSE):
-                i = np.flatnonzero(key[:-d] == key[d:]) if d < len(key) else ()
-                if not len(i):
-                    break
-                i = i[np.abs(coords[i] - coords[i + d]).max(1) <= limit]
-                i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= limit]
-                if len(i):
-                    yield emit(0, doc[i], doc[i + d])
+def _meet(rings: int, limit: int):
+    """Links within cells: pairs within the limit by every further pivot's coordinate, then by the exact distance."""
 
-        left = None  # rows of a bucket that may go on in the next batch
-        hot = None  # the key of a dense bucket whose earlier rows are out already
-        for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            key = batch.column("tbl").to_numpy().astype(np.int64) << 32 | batch.column("key").to_numpy()
-            doc = batch.column("doc").to_numpy()
-            if left is not None:
-                fp, key, doc = (np.concatenate(x) for x in zip(left, (fp, key, doc)))
-                left = None
-            if not len(key):
-                continue
-            if hot is not None:
-                n = int(np.searchsorted(key, hot, "right"))
-                if n:
-                    yield points(fp[:n], doc[:n])
-                fp, key, doc = fp[n:], key[n:], doc[n:]
-                if not len(key):
-                    continue
-                hot = None
-            last = int(np.searchsorted(key, key[-1], "left"))
-            yield from close(fp[:last], key[:last], doc[:last])
-            fp, key, doc = fp[last:], key[last:], doc[last:]
-            if len(key) > DENSE:
-                yield points(fp, doc)
-                hot = key[-1]
-            else:
-                left = (fp, key, doc)
-        if left is not None:
-            yield from close(*left)
+    def pairs(x: np.ndarray, y: np.ndarray, among: bool) -> tuple[np.ndarray, np.ndarray]:
+        cx, cy = (distances(v, PIVOTS[rings:]).astype(np.int8) for v in (x, y))
+        ok = np.abs(cx[:, None, 0] - cy[None, :, 0]) <= limit
+        for j in range(1, OUTER):
+            ok &= np.abs(cx[:, None, j] - cy[None, :, j]) <= limit
+        i, j = np.nonzero(ok)
+        if among:
+            i, j = i[i < j], j[i < j]
+        keep = np.abs(cx[i, OUTER:] - cy[j, OUTER:]).max(1, initial=0) <= limit
+        i, j = i[keep], j[keep]
+        keep = np.bitwise_count(x[i] ^ y[j]) <= limit
+        return i[keep], j[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links():
+            for _, homes, others in meetings(batches, ["cell", "tile"], ["id", "fp"]):
+                sides = [homes] if others is None else [homes, others]
+                doc, fp = (np.concatenate([s[k].to_numpy() for s in sides]) for k in (0, 1))
+                fp, n = fp.view(np.uint64), len(homes[0])
+                merged = Merger(len(fp))
+                for s in range(0, n, 512):  # blocks of about a million pairs
+                    i, j = pairs(fp[s : min(n, s + 512)], fp[s:n] if others is None else fp[n:], others is None)
+                    merged.add(i + s, j + (s if others is None else n))
+                if merged.tree:
+                    a, b = np.array(merged.tree).T
+                    yield {"a": doc[a], "b": doc[b]}
+
+        yield from gathered(links())
 
     return run
 
 
-def simhash_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between documents that suffice to connect all fingerprints within LIMIT bits.
+def simhash_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Links (a, b) between documents that suffice to connect all fingerprints within the limit.
 
-    fps: (fp long, doc long), each fp once, doc the document that stands for it.
+    fps: settled (fp long, doc long), each fp once, doc the document that
+    stands for it. The work grows with the power 1.5 of the fingerprints.
     """
-    tables = fps.mapInArrow(_tables, "tbl int, key long, fp long, doc long")
-    sorted_ = tables.repartition("tbl", "key").sortWithinPartitions("tbl", "key", "fp")
-    found = settle(sorted_.mapInArrow(_pairs_of(), _LINK), "simhash-links")
-    pairs = found.filter("kind = 0").select("a", "b")
-    # A point has at most 65 distinct fingerprints around it: the set is bounded
-    around = found.filter("kind = 1").groupBy("a").agg(F.collect_set("b").alias("docs")).filter(F.size("docs") > 1)
-    stars = around.select(F.array_min("docs").alias("a"), F.explode("docs").alias("b")).filter("a <> b")
-    return pairs.unionByName(stars)
+    rings = rings_for(fps.count())
+    dealt = fps.mapInArrow(frugal(_deal(rings, limit)), "cell long, home boolean, id long, fp long")
+    return settle(tiled(dealt, ["cell"]).select("cell", "tile", "home", "id", "fp").mapInArrow(frugal(_meet(rings, limit)), "a long, b long"), "simhash-links")
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -182,7 +160,8 @@ def linked_components(docs: DataFrame) -> DataFrame:
     with several fingerprints; rows without doc_id link with nothing and get
     no component. An empty table gives no rows.
     """
-    fps = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    lean(docs.sparkSession)
+    fps = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(_fingerprints), "doc_id long, fp long"), "fingerprints")
     nodes = settle(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
     links = simhash_links(nodes)
     same = fps.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id")
@@ -194,6 +173,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return linked_components(table(spark, sf_dir, "documents"))
 
 
@@ -248,10 +228,10 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(table, point, ...) of each fingerprint: for each group of coordinates, the points within one coordinate.
+    """(table, point, ...) of each fingerprint: for each group of 16 bits, the points within one bit.
 
-    Two fingerprints within NEAR_LIMIT bits differ in two coordinates or fewer
-    in some group, and there share such a point.
+    Two fingerprints within NEAR_LIMIT bits differ in two bits or fewer in some
+    group, and there share such a point.
     """
     for batch in batches:
         fp = batch.column("fp").to_numpy().view(np.uint64)
@@ -263,9 +243,8 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _coordinates(fp: np.ndarray) -> np.ndarray:
-    """A row for each fingerprint: the coordinates to the base pivot's neighbours, in GROUPS numbers of 16 bits."""
-    d = fp ^ _BASE  # coordinate j is under the base pivot's exactly where bit j differs from the base pivot's
-    return (d[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
+    """A row for each fingerprint: its GROUPS numbers of 16 bits."""
+    return (fp[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
 
 
 def _owned(x: np.ndarray, y: np.ndarray, tbl: int, key: int) -> np.ndarray:
@@ -324,18 +303,6 @@ def _found(kind: int, tbl, key, fp, node, doc, i: np.ndarray, j: np.ndarray | No
 _FOUND = "kind int, tbl int, key int, fp long, a long, b long, doc_a long, doc_b long"
 
 
-def _gather(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += len(part["kind"])
-        if n > 50_000:
-            yield pa.RecordBatch.from_pydict({c: np.concatenate([p[c] for p in held]) for c in part})
-            held, n = [], 0
-    if n:
-        yield pa.RecordBatch.from_pydict({c: np.concatenate([p[c] for p in held]) for c in held[0]})
-
-
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Close pairs of each bucket; of a crowded one its rows, and some close pairs."""
 
@@ -358,7 +325,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif n:
                 yield _found(0, tbl, key, fp, node, doc, *(np.concatenate(x) for x in zip(*pairs)))
 
-    yield from _gather(each())
+    yield from gathered(each())
 
 
 def _between(whole: bool):
@@ -381,7 +348,7 @@ def _between(whole: bool):
                     mates[out[ok]] += 1
                     yield _found(2, tbl, key, fp, node, doc, out[ok], to[ok])
 
-        yield from _gather(each())
+        yield from gathered(each())
 
     return run
 
@@ -400,9 +367,9 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def tried(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.select("a", "b", "doc_a", "doc_b"), "near-pairs")
         needed = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-        sets = settle(docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(_shingle_sets, "node long, set binary").dropDuplicates(["node"]), "near-sets")
+        sets = settle(docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(frugal(_shingle_sets), "node long, set binary").dropDuplicates(["node"]), "near-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        links = settle(both.mapInArrow(_similar, "doc_a long, doc_b long"), "near-links", drop=sets)
+        links = settle(both.mapInArrow(frugal(_similar), "doc_a long, doc_b long"), "near-links", drop=sets)
         release(pairs)
         return links
 
@@ -415,7 +382,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("tbl", "key").sortWithinPartitions("tbl", "key", "fp", "node")
 
-    found = settle(dealt(nodes.select("fp", "node", "doc").mapInArrow(_points, _ROW)).mapInArrow(_candidates, _FOUND), "near-found")
+    found = settle(dealt(nodes.select("fp", "node", "doc").mapInArrow(frugal(_points), _ROW)).mapInArrow(frugal(_candidates), _FOUND), "near-found")
     links = tried(found.filter("kind = 0").unionByName(some(found), allowMissingColumns=True))
     crowded = found.filter("kind = 1").select("tbl", "key", "fp", F.col("a").alias("node"), F.col("doc_a").alias("doc"))
     if crowded.isEmpty():
@@ -423,7 +390,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     for whole in (False, False, True):
         comp = connected_components(links).select(F.col("node").alias("doc"), "component")
         rows = crowded.join(comp, "doc", "left").select("tbl", "key", "fp", "node", "doc", F.coalesce("component", "doc").alias("comp"))
-        more = settle(dealt(rows).mapInArrow(_between(whole), _FOUND), "near-found")
+        more = settle(dealt(rows).mapInArrow(frugal(_between(whole)), _FOUND), "near-found")
         links = links.unionByName(tried(more if whole else some(more)))
     return links
 
@@ -437,8 +404,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     nothing and get no component. An empty table gives no rows. op5's query
     has the narrower contract of linked_components.
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fps = settle(docs.mapInArrow(_nodes(NEAR_FP_WORDS), "doc_id long, fp long, node long"), "near-fingerprints")
+    fps = settle(docs.mapInArrow(frugal(_nodes(NEAR_FP_WORDS)), "doc_id long, fp long, node long"), "near-fingerprints")
     nodes = settle(fps.filter("doc_id IS NOT NULL").groupBy("node", "fp").agg(F.min("doc_id").alias("doc")), "near-nodes")
     same = fps.join(nodes, ["node", "fp"]).filter("doc_id <> doc").select(F.col("doc_id").alias("doc_a"), F.col("doc").alias("doc_b"))
     comp = connected_components(near_links(docs, nodes).unionByName(same)).withColumnRenamed("node", "doc_id")
