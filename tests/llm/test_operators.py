@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recordscan.llm import chat, decontaminate, embeddings, htmltext, langid, licenses, linededup, packing, secrets, simhash
+from recordscan.llm import cells, chat, decontaminate, embeddings, htmltext, langid, licenses, linededup, packing, secrets, simhash
 from recordscan.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,6 +56,39 @@ def test_components_of_random_links(spark, seed):
 # 1 chat formatting
 
 
+def test_texts_under_the_mask_are_read_back_from_tokens():
+    path = packing.default_tokenizer()
+    turns = [("user", "hi"), ("assistant", "\n\n  été 😀 <|im_end|>\n"), ("assistant", ""), ("system", "x"), ("assistant", "é")]
+    text, spans = chat.render(turns)
+    ids, starts, ends = chat._encode(text, path)
+    learned, _ = chat.mask(starts, ends, spans)
+    said = [t for r, t in turns if r == "assistant" and t]
+    assert chat.under_mask(text, starts, ends, learned) == said
+    less, more = learned.copy(), learned.copy()
+    less[np.flatnonzero(learned)[1]] = False
+    more[0] = True
+    assert "".join(chat.under_mask(text, starts, ends, less)) != "".join(said) and "".join(chat.under_mask(text, starts, ends, more)) != "".join(said)
+
+
+def test_margin_below_which_predictions_are_a_guess():
+    assert langid.learn_margin([]) == 0 and langid.learn_margin([(0, 5, 1), (40, 900, 0)]) == 0
+    assert langid.learn_margin([(0, 1, 3), (2, 3, 1), (3, 50, 1)]) == 3 / langid.STEPS
+
+
+def test_chunks_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    r = random.Random(8)
+    parts = [" ", " ", "  ", "\n", "\t", "\r\n", "a", "b", "it's", " 's", "é", "1", "Ж", "中", "\xa0", "\u3000", "\u200b", "<|endoftext|>", "!", "\x00", "\x1c", "\x85", "😀", "_", "I'll"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(3000)] + ["", "word " * 50, "x" * 5000, " " * 3000]
+    encoder = packing.Encoder(path)
+    encoder.KEPT_CHUNKS = 500
+    got = [x for i in range(0, len(texts), 100) for x in encoder.ids(texts[i : i + 100])]
+    assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_rendering_is_reversible_and_masks_are_exact():
     path = packing.default_tokenizer()
     for seed in range(400):
@@ -223,10 +256,11 @@ def test_fingerprints_follow_their_definition():
     assert simhash.fingerprint(long.encode(), block=64) == _fingerprint(long)
 
 
-@pytest.mark.parametrize("dense", [3, 48])
-def test_links_reach_all_close_fingerprints(spark, monkeypatch, dense):
-    monkeypatch.setattr(simhash, "DENSE", dense)
-    r = np.random.default_rng(dense)
+@pytest.mark.parametrize("tile, rings", [(5, 1), (3, 3), (2048, 6), (16, 11)])
+def test_links_reach_all_close_fingerprints(spark, monkeypatch, tile, rings):
+    monkeypatch.setattr(cells, "TILE", tile)
+    monkeypatch.setattr(simhash, "rings_for", lambda n: rings)
+    r = np.random.default_rng(tile)
     base = r.integers(0, 2**64, 30, dtype=np.uint64)
     near = [b ^ np.bitwise_xor.reduce(np.uint64(1) << r.integers(0, 64, r.integers(0, 6)).astype(np.uint64), initial=np.uint64(0)) for b in base for _ in range(8)]
     crowd = [base[0] ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.uint64(j)) for i in range(16) for j in range(i)]
