@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordscan.llm.common import settle, table
+from recordscan.llm.common import lean, settle, table
 from recordscan.llm.decontaminate import decontaminate
 from recordscan.llm.langid import keep_identified
 from recordscan.llm.linededup import replace_lines
@@ -19,6 +19,7 @@ from recordscan.llm.simhash import keep_representatives
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the others go."""
+    lean(spark)
     return keep_identified(docs)
 
 
@@ -38,8 +39,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return pack_documents(docs, with_ids=False)
+    """Where each piece of each document goes, with its token ids."""
+    return pack_documents(docs)
 
 
 STAGES = [
@@ -57,5 +58,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}", drop=docs)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,17 +14,53 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 
 
+#: Bytes and rows of an Arrow batch: whole texts travel in them, and a batch exists in the JVM and in Python at once.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def lean(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, in sessions that leave Spark's defaults as they are."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return a finished task's free memory to the system: workers are kept for later tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def frugal(run):
+    """A mapInArrow function that gives free memory back when its task is done."""
+
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return all_
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return read_table(spark, sf_dir, name)
 
 
 def work_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset (tests on one machine) a temporary folder stands in for it.
+    Where that is unset, a temporary folder stands in for it on a single machine; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="recordscan-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
