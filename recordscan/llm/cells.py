@@ -2,9 +2,9 @@
 
 A row is dealt home to its own cell, and as a visitor to those neighbouring
 cells that may hold its partners and come after its own in some order, so two
-rows meet at most once. A cell with more than TILE home rows is dealt to
-several tiles, whose home rows meet each other's as visitors: a task holds
-TILE home rows and streams the visitors by, whatever a cell holds.
+rows meet at most once. The home rows and the visitors of a crowded cell are
+cut into tiles, and each two tiles that must meet are a task's piece of work
+of their own: none holds more than two tiles, whatever a cell holds.
 """
 
 from __future__ import annotations
@@ -16,26 +16,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Home rows of a cell that meet their partners in one task, and visitors that they meet at once.
-TILE = 2048
+#: Rows of a tile.
+TILE = 1024
+#: What a row of a crowded cell is given beside its cell; `other` is -1 in cells that are not crowded, and `tile` for a tile among itself.
+PLACE = ["tile", "other"]
 
 
 def tiled(dealt: DataFrame, cell: list[str]) -> DataFrame:
-    """dealt (cell columns, home, id, ...) with tile, a home row of a crowded cell also as a visitor of the later tiles; sorted, home rows first.
+    """dealt (cell columns, home, id, ...) with PLACE, and home as it is there; sorted by all of it, home rows first.
 
-    Which cells are crowded is a table of at most one row for TILE home rows;
-    whether it is broadcast is left to its size.
+    Which cells are crowded is a table of far fewer rows; whether it is
+    broadcast is left to its size.
     """
-    crowd = dealt.filter("home").groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE).select(*cell, F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    placed = dealt.join(crowd, cell, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).otherwise(F.lit(0))
-    to = F.when(F.col("home"), F.sequence(F.col("own"), F.col("tiles") - 1)).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = placed.withColumn("own", own).withColumn("tile", F.explode(to)).withColumn("home", F.col("home") & (F.col("tile") == F.col("own")))
-    return rows.drop("own", "tiles").repartition(*cell, "tile").sortWithinPartitions(*cell, "tile", F.desc("home"), "id")
-
-
-def meetings(batches: Iterator[pa.RecordBatch], key: list[str], columns: list[str]) -> Iterator[tuple[tuple, tuple, tuple | None]]:
-    """(key, home rows, visitors or None for the home rows among themselves) of sorted rows, rows as tuples of Arrow arrays' parts."""
+    homes, guests = F.count_if(F.col("home")), F.count_if(~F.col("home"))
+    crowd = dealt.groupBy(*cell).agg(homes.alias("homes"), guests.alias("guests")).filter((F.col("homes") > TILE) | (F.col("homes") > 0) & (F.col("guests") > TILE))
+    crowd = crowd.select(*cell, F.ceil(F.col("homes") / TILE).cast("int").alias("n"), F.ceil(F.col("guests") / TILE).cast("int").alias("m"))
+    at = """CASE WHEN n IS NULL THEN array(named_struct('tile', 0, 'other', -1, 'home', home))
+        WHEN home THEN concat(transform(sequence(own, n + m - 1), j -> named_struct('tile', own, 'other', j, 'home', true)),
+            transform(filter(sequence(0, own), j -> j < own), j -> named_struct('tile', j, 'other', own, 'home', false)))
+        ELSE transform(sequence(0, n - 1), i -> named_struct('tile', i, 'other', n + own, 'home', false)) END"""
+    own = F.expr("CAST(pmod(xxhash64(id), CASE WHEN home THEN n ELSE m END) AS INT)")
+    rows = dealt.join(crowd, cell, "left").withColumn("own", own).withColumn("at", F.explode(F.expr(at)))
+    rows = rows.select(*cell, "at.*", *(c for c in dealt.columns if c not in (*cell, "home")))
+    return rows.repartition(*cell, *PLACE).sortWithinPartitions(*cell, *PLACE, F.desc("home"), "id")
+
+
+def meetings(batches: Iterator[pa.RecordBatch], cell: list[str], columns: list[str]) -> Iterator[tuple[tuple, tuple, tuple | None]]:
+    """(cell, home rows, guests or None for the home rows among themselves) of sorted rows; rows are tuples of Arrow arrays."""
     at, homes, held = None, None, []
 
     def closed():
@@ -43,13 +50,13 @@ def meetings(batches: Iterator[pa.RecordBatch], key: list[str], columns: list[st
         if homes is None and held:
             homes = tuple(pa.concat_arrays(c) for c in zip(*held))
             held.clear()
-            if len(homes[0]) > 1:
-                yield at, homes, None
+            if len(homes[0]) > 1 and at[-1] in (-1, at[-2]):
+                yield at[:-2], homes, None
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = [batch.column(c) for c in (*key, "home")]
+        keys = [batch.column(c) for c in (*cell, *PLACE, "home")]
         change = np.zeros(batch.num_rows, bool)
         change[0] = True
         for c in keys:
@@ -67,8 +74,7 @@ def meetings(batches: Iterator[pa.RecordBatch], key: list[str], columns: list[st
                 continue
             yield from closed()
             if homes is not None:
-                for k in range(0, e - s, TILE):
-                    yield at, homes, tuple(c.slice(k, TILE) for c in part)
+                yield at[:-2], homes, part
     yield from closed()
 
 

@@ -1,16 +1,22 @@
 """Embedding near-duplicates by a subspace pigeonhole join.
 
-Vectors are scaled to length one and rotated. Cosine >= c means a squared
-distance of at most 2 - 2c; cut into B blocks of coordinates, that budget is
-kept in proportion by at least one block. Each block is range-joined under its
-share on its own: its first two coordinates make a grid whose cells are as
-wide as the share's distance, so partners lie in neighbouring cells. What one
-block lets through is verified by the exact cosine and counted by the first
-block that lets it through.
+Vectors are scaled to length one, rotated, and written in whole numbers of
+1 / SCALE. Cosine >= c means a squared distance of at most 2 - 2c; cut into
+blocks of a few coordinates, that budget is kept in proportion by at least one
+block. Each block is range-joined on its own under its share: coordinates make
+a grid, a vector visits the cells that its block's ball reaches, and in a cell
+the distance in all of the block's coordinates decides. A pair is looked at by
+the first block that lets it through. Its distance in whole numbers says with
+certainty that it is linked or not, but for a narrow band around the limit;
+pairs in that band are verified by the exact cosine.
+
+Whole numbers make every block, cell and task come to the same decision, and
+only they are shuffled, not the vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .cells import Merger, gathered, meetings, tiled
+from .common import frugal, lean, settle, table
 from .components import connected_components
 
-BLOCKS = 4
-#: Rows of a cell that meet their partners in one task; larger cells are dealt to several.
-TILE = 2048
-#: What rounding may add to squared distances in single precision.
-SLACK = 1e-5
-#: A cell, the upper half of its neighbours: each pair of neighbours meets once.
-_FORWARD = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+#: Coordinates of a block, at most.
+WIDTH = 6
+#: Whole numbers in a length of one; coordinates keep within 16 bits.
+SCALE = 8192
+#: Rows dealt for a vector and block, and share of all pairs that meet there, by the coordinates that make the grid (figures of vectors without structure).
+_DEALT, _MET = (1.0, 1.5, 2.4, 3.9, 6.5, 10.9, 18.0), (1.0, 0.6, 0.34, 0.19, 0.1, 0.05, 0.025)
+#: Pairs that meet in the time that it takes to deal a row.
+_PAIRS_A_ROW = 1300
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -36,32 +44,55 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _vectors(column: pa.Array, dims: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), dims)
+def grid_for(largest: int) -> int:
+    """How many of a block's coordinates make its grid, where so many vectors have one label."""
+    return min(range(len(_MET)), key=lambda k: _DEALT[k] + largest * _MET[k] / 2 / _PAIRS_A_ROW)
 
 
-def _parts(dims: int, blocks: int) -> list[slice]:
-    edges = np.linspace(0, dims, min(blocks, dims) + 1).round().astype(int)
-    return [slice(a, b) for a, b in zip(edges, edges[1:])]
+def _vectors(column: pa.Array, dims: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), dims)
 
 
-class _Shape:
-    """Blocks of vectors of some dimension, and each one's share of the squared distance that a cosine allows."""
+class Shape:
+    """Blocks of vectors of some dimension, and what a cosine allows, in whole numbers."""
 
-    def __init__(self, dims: int, cosine: float, blocks: int):
-        self.parts = _parts(dims, blocks)
-        total = max(0.0, 2 - 2 * cosine)
-        self.budget = np.array([total * (p.stop - p.start) / dims for p in self.parts])
+    def __init__(self, dims: int, cosine: float, width: int = WIDTH):
+        n = max(1, -(-dims // width))
+        edges = np.linspace(0, dims, n + 1).round().astype(int)
+        self.dims = dims
+        self.parts = [slice(a, b) for a, b in zip(edges, edges[1:])]
         self.turn = rotation(dims)
-
-    def turned(self, v: np.ndarray) -> np.ndarray:
-        return v / np.linalg.norm(v, axis=1, keepdims=True) @ self.turn
-
-    def cells(self, t: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        p = self.parts[block]
-        wide = max(np.sqrt(self.budget[block]) * 1.0001 + 1e-6, 1e-3)
-        second = t[:, p.start + 1] if p.stop - p.start > 1 else np.zeros(len(t))
-        return np.floor(t[:, p.start] / wide).astype(np.int64), np.floor(second / wide).astype(np.int64)
+        total = math.sqrt(max(0.0, 2 - 2 * cosine)) * SCALE
+        # each coordinate is off by half at most, those of a difference by one, and arithmetic by far less than the rest of it
+        off = lambda d: math.sqrt(d) * 1.01 + 0.01
+        self.reach = [math.ceil(total * math.sqrt((p.stop - p.start) / dims) + off(p.stop - p.start)) for p in self.parts]
+        self.surely, self.hardly = (total - off(dims)) ** 2 if total > off(dims) else -1, (total + off(dims)) ** 2
+
+    def code(self, v: np.ndarray) -> np.ndarray:
+        """Vectors in whole numbers."""
+        largest = np.abs(v).max(1, keepdims=True)
+        v = v / largest  # so that squares neither vanish nor overflow
+        return np.rint(v / np.linalg.norm(v, axis=1, keepdims=True) @ self.turn * SCALE).astype(np.int16)
+
+    def visits(self, code: np.ndarray, block: int, grid: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, their cells, whether home) of a block: each row's own cell, then later ones that its ball reaches."""
+        p, reach = self.parts[block], self.reach[block]
+        wide = 2 * reach
+        places = 2 * (SCALE // wide) + 9
+        x = code[:, p].astype(np.int64)[:, : min(grid, int(62 / math.log2(places)))]
+        grid = x.shape[1]
+        ring = x // wide
+        low = x - ring * wide
+        near = np.where(low < reach, -1, 1)
+        apart = np.where(low < reach, low + 1, wide - low)  # to the nearest row of the next cell
+        weight = places ** np.arange(grid, dtype=np.int64)
+        own = ring @ weight
+        yield np.arange(len(code)), own, True
+        for k in range(1, 1 << grid):
+            of = [j for j in range(grid) if k >> j & 1]
+            away = near[:, of] @ weight[of]
+            rows = np.flatnonzero((away > 0) & ((apart[:, of] ** 2).sum(1) <= reach**2))
+            yield rows, own[rows] + away[rows], False
 
 
 def _plain(rows: DataFrame) -> Column:
@@ -79,151 +110,115 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return usable.groupBy("label", e.alias("embedding")).agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dims", F.size("embedding"))
 
 
-def _deal(cosine: float, blocks: int):
-    """Rows to the cell of each block: home rows once, as visitors to the upper half of its neighbours."""
+def _deal(cosine: float, grid: int):
+    """Codes of vectors to the cells of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims_of = batch.column("dims").to_numpy()
             for dims in np.unique(dims_of).tolist():
                 own = batch.filter(pa.array(dims_of == dims))
-                shape = _Shape(dims, cosine, blocks)
-                turned = shape.turned(_vectors(own.column("embedding"), dims))
-                for b in range(len(shape.parts)):
-                    x, y = shape.cells(turned, b)
-                    for i, j in _FORWARD:
-                        home = (i, j) == (0, 0)
-                        at = [pa.array(np.full(len(x), b, np.int32)), pa.array(x + i), pa.array(y + j), pa.array(np.full(len(x), home))]
-                        yield pa.RecordBatch.from_arrays([own.column("label"), own.column("dims"), *at, own.column("rep")], ["label", "dims", "block", "x", "y", "home", "rep"])
+                shape = Shape(dims, cosine)
+                code = shape.code(_vectors(own.column("embedding"), dims))
+                packed = pa.array([c.tobytes() for c in code], pa.binary())
+                for block in range(len(shape.parts)):
+                    for rows, cell, home in shape.visits(code, block, grid):
+                        take = pa.array(rows)
+                        fixed = [pa.array(np.full(len(rows), block, np.int32)), pa.array(cell), pa.array(np.full(len(rows), home))]
+                        yield pa.RecordBatch.from_arrays([own.column("label").take(take), own.column("dims").take(take), *fixed, own.column("rep").take(take), own.column("copies").take(take), packed.take(take)], ["label", "dims", "block", "cell", "home", "id", "copies", "code"])
 
     return run
 
 
-_CELL = ["label", "dims", "block", "x", "y"]
-
-
-def _meet(cosine: float, blocks: int):
-    """Links within a tile's sorted rows: (kind 0, rep, partner's copies) counts and (kind 1, rep, rep) links that connect."""
-
-    def links_between(shape: _Shape, block: int, a: tuple, b: tuple | None):
-        """Pairs (i, j) of rows that this block owns; b None: pairs within a, each once."""
-        p = shape.parts[block]
-        ta, va = a[2], a[1]
-        tb, vb = (ta, va) if b is None else (b[2], b[1])
-        xa, xb = ta[:, p].astype(np.float32), tb[:, p].astype(np.float32)
-        apart = (xa**2).sum(1)[:, None] + (xb**2).sum(1)[None, :] - 2 * (xa @ xb.T)
-        i, j = np.nonzero(apart <= shape.budget[block] * (1 + 1e-4) + SLACK)
-        if b is None:
-            i, j = i[i < j], j[i < j]
-        for s in range(0, len(i), 200_000):
-            ii, jj = i[s : s + 200_000], j[s : s + 200_000]
-            dot = np.einsum("ij,ij->i", va[ii], vb[jj])
-            norm = np.sqrt(np.einsum("ij,ij->i", va[ii], va[ii]) * np.einsum("ij,ij->i", vb[jj], vb[jj]))
-            ok = dot / norm >= cosine
-            ii, jj = ii[ok], jj[ok]
-            if not len(ii):
-                continue
-            d2 = (ta[ii] - tb[jj]) ** 2
-            lets = np.stack([d2[:, q].sum(1) <= c * (1 + 1e-9) + 1e-12 for q, c in zip(shape.parts, shape.budget)], 1)
-            first = lets.argmax(1) == block
-            yield ii[first], jj[first]
+_CELL = ["label", "dims", "block", "cell"]
+
+
+def close_pairs(shape: Shape, block: int, x: np.ndarray, y: np.ndarray, among: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, distance) of codes that this block is the first to let through and that may be linked."""
+    p = shape.parts[block]
+    a, b = x[:, p].astype(np.float64), y[:, p].astype(np.float64)  # whole numbers below 2 ** 53 stay exact
+    apart = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    i, j = np.nonzero(apart <= shape.reach[block] ** 2)
+    if among:
+        i, j = i[i < j], j[i < j]
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64))]
+    for s in range(0, len(i), 50_000):
+        ii, jj = i[s : s + 50_000], j[s : s + 50_000]
+        square = (x[ii].astype(np.int64) - y[jj]) ** 2
+        of = np.stack([square[:, q].sum(1) for q in shape.parts], 1)
+        whole = of.sum(1)
+        first = (of <= np.array(shape.reach) ** 2).argmax(1) == block
+        ok = first & (whole <= shape.hardly)
+        out.append((ii[ok], jj[ok], whole[ok]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _meet(cosine: float):
+    """What a cell's rows say: (0, rep, copies linked to it), (1, rep, rep) links that connect, (2, rep, rep) pairs to be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(kind, a, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(n)], ["kind", "a", "b"])
-
-        def out(shape, block, homes, other):
-            """Counts and a spanning set of the links of home rows with another set of rows (None: among themselves)."""
-            rep_a, copies_a = homes[0], homes[3]
-            rep_b, copies_b = (rep_a, copies_a) if other is None else (other[0], other[3])
-            count_a, count_b = np.zeros(len(rep_a), np.int64), np.zeros(len(rep_b), np.int64)
-            root = np.arange(len(rep_a) + len(rep_b))
-            shift = 0 if other is None else len(rep_a)
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            tree = []
-            for i, j in links_between(shape, block, homes, other):
-                np.add.at(count_a, i, copies_b[j])
-                np.add.at(count_b, j, copies_a[i])
-                for u, v in zip(i.tolist(), (j + shift).tolist()):
-                    ru, rv = find(u), find(v)
-                    if ru != rv:
-                        root[max(ru, rv)] = min(ru, rv)
-                        tree.append((u, v))
-            if other is None:
-                count_a += count_b
-            some = count_a > 0
-            if some.any():
-                yield emit(0, rep_a[some], count_a[some])
-            if other is not None and (some := count_b > 0).any():
-                yield emit(0, rep_b[some], count_b[some])
-            if tree:
-                both = rep_a if other is None else np.concatenate([rep_a, rep_b])
-                u, v = np.array(tree).T
-                yield emit(1, both[u], both[v])
-
-        def rows(batch, shape):
-            v = _vectors(batch.column("embedding"), len(shape.turn))
-            return batch.column("rep").to_numpy(), v, shape.turned(v), batch.column("copies").to_numpy()
-
-        # sorted by cell and tile, home rows first: at most TILE home rows are held while visitors stream by
-        tile, shape, homes, held = None, None, None, []
-
-        def settle_homes():
-            nonlocal homes
-            if homes is None and held:
-                homes = tuple(np.concatenate(x) for x in zip(*held))
-                held.clear()
-                yield from out(shape, tile[2], homes, None)
+        shapes: dict[int, Shape] = {}
+
+        def found():
+            for (_, dims, block, _), homes, guests in meetings(batches, _CELL, ["id", "copies", "code"]):
+                shape = shapes[dims] = shapes.get(dims) or Shape(dims, cosine)
+                sides = [homes] if guests is None else [homes, guests]
+                rep, copies = (np.concatenate([s[k].to_numpy() for s in sides]) for k in (0, 1))
+                x, y = (np.frombuffer(b"".join(s[2].to_pylist()), np.int16).reshape(-1, dims) for s in (sides[0], sides[-1]))
+                n = len(x)
+                linked, merged = np.zeros(len(rep), np.int64), Merger(len(rep))
+                for s in range(0, n, 512):  # blocks of about half a million pairs
+                    i, j, apart = close_pairs(shape, block, x[s : s + 512], y[s:] if guests is None else y, guests is None)
+                    i, j = i + s, j + (s if guests is None else n)
+                    sure = apart <= shape.surely
+                    if not sure.all():
+                        yield {"kind": np.full((~sure).sum(), 2, np.int32), "a": rep[i[~sure]], "b": rep[j[~sure]]}
+                    i, j = i[sure], j[sure]
+                    np.add.at(linked, i, copies[j])
+                    np.add.at(linked, j, copies[i])
+                    merged.add(i, j)
+                some = np.flatnonzero(linked)
+                if len(some):
+                    yield {"kind": np.zeros(len(some), np.int32), "a": rep[some], "b": linked[some]}
+                if merged.tree:
+                    u, v = np.array(merged.tree).T
+                    yield {"kind": np.ones(len(u), np.int32), "a": rep[u], "b": rep[v]}
+
+        yield from gathered(found())
+
+    return run
+
+
+def _verified(cosine: float):
+    """Of pairs with both vectors, those whose cosine in double precision is high enough."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column("label").to_pylist()
-            keys = list(zip(labels, batch.column("dims").to_pylist(), batch.column("block").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("chunk").to_pylist()))
-            home = batch.column("home").to_pylist()
-            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or home[i] != home[i - 1]), len(keys)]
-            for s, e in zip(edges, edges[1:]):
-                if s == e:
-                    continue
-                if keys[s] != tile:
-                    yield from settle_homes()
-                    tile, homes, held = keys[s], None, []
-                    shape = _Shape(tile[1], cosine, blocks)
-                part = rows(batch.slice(s, e - s), shape)
-                if home[s]:
-                    held.append(part)
-                else:
-                    yield from settle_homes()
-                    if homes is not None:
-                        for k in range(0, len(part[0]), TILE):
-                            yield from out(shape, tile[2], homes, tuple(x[k : k + TILE] for x in part))
-        yield from settle_homes()
+            keep = []
+            for x, y in zip(batch.column("one"), batch.column("other")):
+                u, v = (np.asarray(w.values.to_numpy(zero_copy_only=False), np.float64) for w in (x, y))
+                u, v = u / np.abs(u).max(), v / np.abs(v).max()
+                keep.append(bool(u @ v / math.sqrt((u @ u) * (v @ v)) >= cosine))
+            yield batch.select(["a", "b", "copies_a", "copies_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def embedding_links(reps: DataFrame, cosine: float, blocks: int = BLOCKS) -> DataFrame:
+def embedding_links(reps: DataFrame, cosine: float) -> DataFrame:
     """(kind, a, b) of settled distinct vectors: kind 0, copies b linked to rep a; kind 1, links a-b that connect all linked vectors."""
     label = reps.schema["label"].dataType.simpleString()
-    dealt = settle(reps.select("label", "dims", "rep", "embedding").mapInArrow(_deal(cosine, blocks), f"label {label}, dims int, block int, x long, y long, home boolean, rep long"), "cells")
-    # a cell of more than TILE home rows is dealt to several tiles; they meet each other and the visitors meet all of them
-    crowd = dealt.filter("home").groupBy(*_CELL).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    placed = dealt.join(crowd, _CELL)
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    # a home row stays in its own tile and visits the later ones
-    chunk = F.when(F.col("home"), F.sequence(own, F.col("tiles") - 1)).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiles = placed.withColumn("own", own).withColumn("chunk", F.explode(chunk)).withColumn("home", F.col("home") & (F.col("chunk") == F.col("own")))
-    full = tiles.select(*_CELL, "chunk", "home", "rep").join(reps.select("rep", "embedding", "copies"), "rep")
-    order = [*_CELL, "chunk", F.desc("home"), "rep"]
-    met = full.repartition(*_CELL, "chunk").sortWithinPartitions(*order).select(*_CELL, "chunk", "home", "rep", "embedding", "copies")
-    return met.mapInArrow(_meet(cosine, blocks), "kind int, a long, b long")
-
-
-def embedding_components(rows: DataFrame, cosine: float = 0.93, blocks: int = BLOCKS) -> DataFrame:
+    largest = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    schema = f"label {label}, dims int, block int, cell long, home boolean, id long, copies long, code binary"
+    dealt = reps.select("label", "dims", "rep", "copies", "embedding").mapInArrow(frugal(_deal(cosine, grid_for(largest))), schema)
+    found = settle(tiled(settle(dealt, "cells"), _CELL).mapInArrow(frugal(_meet(cosine)), "kind int, a long, b long"), "embedding-found")
+    side = lambda rep, vector, copies: reps.select(F.col("rep").alias(rep), F.col("embedding").alias(vector), F.col("copies").alias(copies))
+    both = found.filter("kind = 2").select("a", "b").join(side("a", "one", "copies_a"), "a").join(side("b", "other", "copies_b"), "b")
+    sure = settle(both.select("a", "b", "copies_a", "copies_b", "one", "other").mapInArrow(frugal(_verified(cosine)), "a long, b long, copies_a long, copies_b long"), "embedding-verified")
+    counts = [sure.select(F.lit(0).alias("kind"), F.col(x).alias("a"), F.col(f"copies_{y}").alias("b")) for x, y in ("ab", "ba")]
+    return found.filter("kind < 2").unionByName(sure.select(F.lit(1).alias("kind"), "a", "b")).unionByName(counts[0]).unionByName(counts[1])
+
+
+def embedding_components(rows: DataFrame, cosine: float = 0.93) -> DataFrame:
     """Links and components of every row of rows (vec_id, embedding, label; other columns are ignored).
 
     Vectors are compared when their labels are equal and not null, and linked
@@ -236,8 +231,9 @@ def embedding_components(rows: DataFrame, cosine: float = 0.93, blocks: int = BL
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be over 0 and at most 1")
+    lean(rows.sparkSession)
     reps = settle(distinct_vectors(rows), "vectors")
-    found = settle(embedding_links(reps, cosine, blocks), "embedding-links")
+    found = settle(embedding_links(reps, cosine), "embedding-links")
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     comp = connected_components(found.filter("kind = 1").select("a", "b"))
     by_rep = reps.select("label", "embedding", "rep", "copies").join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -250,4 +246,26 @@ def embedding_components(rows: DataFrame, cosine: float = 0.93, blocks: int = BL
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of a label, by the definition of the cosine; components by following links to the smallest vec_id.
+ORACLE = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+), n AS (
+    SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach AS (
+    SELECT vec_id, vec_id AS seen FROM embeddings
+    UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.seen
+), component AS (
+    SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id
+)
+SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM component c
+"""

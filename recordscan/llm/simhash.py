@@ -121,7 +121,7 @@ def _meet(rings: int, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links():
-            for _, homes, others in meetings(batches, ["cell", "tile"], ["id", "fp"]):
+            for _, homes, others in meetings(batches, ["cell"], ["id", "fp"]):
                 sides = [homes] if others is None else [homes, others]
                 doc, fp = (np.concatenate([s[k].to_numpy() for s in sides]) for k in (0, 1))
                 fp, n = fp.view(np.uint64), len(homes[0])
@@ -146,7 +146,7 @@ def simhash_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     rings = rings_for(fps.count())
     dealt = fps.mapInArrow(frugal(_deal(rings, limit)), "cell long, home boolean, id long, fp long")
-    return settle(tiled(dealt, ["cell"]).select("cell", "tile", "home", "id", "fp").mapInArrow(frugal(_meet(rings, limit)), "a long, b long"), "simhash-links")
+    return settle(tiled(dealt, ["cell"]).mapInArrow(frugal(_meet(rings, limit)), "a long, b long"), "simhash-links")
 
 
 def linked_components(docs: DataFrame) -> DataFrame:

@@ -325,9 +325,10 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, crowded):
 # 6 embeddings
 
 
-@pytest.mark.parametrize("tile", [4, 2048])
-def test_embedding_links_by_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(embeddings, "TILE", tile)
+@pytest.mark.parametrize("tile, grid", [(4, 0), (7, 2), (1024, 6)])
+def test_embedding_links_by_brute_force(spark, monkeypatch, tile, grid):
+    monkeypatch.setattr(cells, "TILE", tile)
+    monkeypatch.setattr(embeddings, "grid_for", lambda n: grid)
     r = np.random.default_rng(tile)
     centre = r.standard_normal((6, 16))
     v = np.concatenate([centre[r.integers(0, 6, 70)] + r.standard_normal((70, 16)) * r.choice([0.02, 0.2, 0.35], (70, 1)), r.standard_normal((20, 16))]).astype(np.float32)
@@ -346,10 +347,34 @@ def test_embedding_links_by_brute_force(spark, monkeypatch, tile):
     assert [got[i]["component_id"] for i in range(90)] == comp.tolist() and all(got[i]["kept"] == (comp[i] == i) for i in range(90))
 
 
+@pytest.mark.parametrize("grid", range(7))
+def test_some_block_lets_each_close_pair_through_and_its_cells_meet(grid):
+    r = np.random.default_rng(grid)
+    shape = embeddings.Shape(20, 0.93)
+    x = r.standard_normal((400, 20))
+    y = x + r.standard_normal((400, 20)) * r.choice([0.1, 0.25, 0.28], (400, 1))
+    d = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    close = np.flatnonzero((d(x) * d(y)).sum(1) >= 0.93)
+    code = shape.code(np.concatenate([x, y]))
+    seen = np.zeros(400, int)
+    for block in range(len(shape.parts)):
+        at = {}
+        for rows, cell, home in shape.visits(code, block, grid):
+            for k, c in zip(rows.tolist(), cell.tolist()):
+                at.setdefault(k, {})[c] = home
+        for k in range(400):
+            i, j, _ = embeddings.close_pairs(shape, block, code[k : k + 1], code[400 + k : 401 + k], False)
+            if len(i):
+                seen[k] += 1
+                assert sum(at[k][c] or at[400 + k][c] for c in at[k].keys() & at[400 + k].keys()) == 1
+    assert len(close) > 100 and set(seen.tolist()) == {0, 1} and seen[close].all()
+
+
 def test_embedding_edge_cases(spark):
     nan, one = float("nan"), [1.0, 0.0, 0.0]
     rows = [(1, one, 1), (2, one, 1), (3, [2.0, 0.0, -0.0], 1), (4, one, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [1.0, None, 0.0], 1), (8, [nan, 0.0, 0.0], 1), (9, [float("inf"), 0.0, 0.0], 1), (10, [1.0], 1), (11, [], 1), (12, one, 2), (None, one, 1)]
     df = clashing(frame(spark, rows, "vec_id long, embedding array<float>, label int"))
+    assert embeddings.embedding_components(df.filter("vec_id < 4"), 1.0).filter("n_links = 2").count() == 3
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.embedding_components(df).collect()}
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[3] == (2, 1, False)
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12)) and got[None][0] == 0
