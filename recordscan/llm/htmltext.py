@@ -1,11 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are aligned with the host's reference page by simple tree
-matching: the largest order-preserving match of equal tags from the roots
-down. A reference node whose text is the same in nearly all pages of the host
-is template, as is what its aligned nodes hold; varying slots are content.
-Parts that HTML itself marks as not the article (menus, forms, scripts, ...)
-never are content.
+Pages of a host that are laid out alike are aligned with a reference page by
+simple tree matching: the largest order-preserving match of equal tags from
+the roots down. A reference node whose text is the same in most of the pages
+that it is aligned in is template, as is what its aligned nodes hold; varying
+slots are content. What a page's own markup says (an article, a menu, a form,
+a comment) decides only among the slots that are left, and where a page has no
+sibling to be aligned with.
 """
 
 from __future__ import annotations
@@ -13,23 +14,25 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, slices, table
+from .common import frugal, lean, settle, slices, table
 
-#: Pages that a host needs before its template is learned, and the share of them in which a node must be the same.
-MIN_PAGES = 10
-CONSTANT = 0.9
-#: Bytes of references that are broadcast; a larger set is joined by host.
+#: A node is template if it is the same in `same` of `aligned` pages and same >= CONSTANT * (aligned + 1): in three of three, or in most of many.
+CONSTANT = 0.75
+#: Share of a page's varying text that its articles hold, if they are the content.
+ARTICLES = 1 / 3
+#: Bytes of references that are broadcast; a larger set is joined by host and layout.
 BROADCAST_BYTES = 64 << 20
-#: Cells of one table of simple tree matching; wider lists of children are matched piece by piece between equal children.
-CELLS = 40_000
+#: Elements whose order makes a page's layout.
+SECTIONS = "div|nav|header|main|article|section|aside|form|footer"
+#: Pairs of children from which their table is filled by diagonals instead of cell by cell, with the same result.
+BY_CELLS = 4_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -43,36 +46,49 @@ _BLOCK = frozenset(
 #: An open element of the value that a start tag of the key ends.
 _ENDS = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "thead": "tr td th", "tbody": "tr td th thead", "tfoot": "tr td th tbody", "option": "option"}.items()}
 _SCOPE = frozenset("ul ol dl table article main section aside nav body html".split())
-#: Words of a class, id or role that mark what is not the article.
-_BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|site-?header|page-?header|topbar)(?:$|[\s_-])",
-    re.I,
-)
+#: Words that name what is not the article, and words that such names have beside them; a name of other words as well says nothing.
+_ASIDE = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promos related replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+_BESIDE = frozenset("area article bar bottom box block btn button buttons container content form global group header icons inner item items left link links list main message outer page policy post posts primary right row secondary section signup site slot text thread top unit wrap wrapper".split())
+#: Elements whose names are heeded: an anchor on a heading or a paragraph names what it says.
+_NAMED = frozenset("div section ul ol aside nav header footer table dl span article form".split())
+
+
+def is_aside(name: str) -> bool:
+    """Whether a class, id or role is made of nothing but words for what is not the article, and words that go with them."""
+    words = [w for w in re.split(r"[-_\s]+", name.lower()) if w]
+    return any(w in _ASIDE for w in words) and all(w in _ASIDE or w in _BESIDE for w in words)
 
 
 class Node:
-    __slots__ = ("tag", "boilerplate", "children", "text", "size")
+    __slots__ = ("tag", "boilerplate", "children", "text", "kids", "size", "key")
 
     def __init__(self, tag: str, boilerplate: bool = False):
         self.tag, self.boilerplate = tag, boilerplate
         self.children: list[Node | str] = []
-        self.text = ""  # its own and its inline descendants' text, as a hash of it would be taken
-        self.size = 1
+        #: set by nodes_of: its own and its inline descendants' text, its block children, its nodes, a digest of all it holds
+        self.text, self.kids, self.size, self.key = "", [], 1, 0
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if not isinstance(c, str)]
 
 
 def parse(source: str) -> Node:
-    """The tree of a page, however broken: text is kept as strings, references decoded later."""
+    """The tree of a page, however broken: text is kept as strings, references decoded later. Time grows with the length alone."""
     root = Node("html")
     stack = [root]
+    opened: dict[str, int] = {}
     at, end = 0, len(source)
+    told = False
 
     def say(text: str) -> None:
         if text:
             stack[-1].children.append(text)
 
+    def cut(i: int) -> None:
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+        del stack[i:]
+
     while at < end:
         m = _TOKEN.search(source, at)
         if not m:
@@ -84,31 +100,38 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag == "html":
             continue
-        if tag in _BLOCK:
+        if tag in _BLOCK and opened.get("p"):
             for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in _BLOCK:
                     break
-        if tag in _ENDS:
+        if tag in _ENDS and any(opened.get(t) for t in _ENDS[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in _ENDS[tag]:
-                    del stack[i:]
+                    cut(i)
                     if tag not in ("tr", "thead", "tbody", "tfoot"):
                         break
                 elif stack[i].tag in _SCOPE:
                     break
-        marks = " ".join(next(filter(None, a[1:]), "") for a in _ATTRIBUTE.findall(m[3])) if "=" in m[3] else ""
-        node = Node(tag, bool(marks and tag not in ("body", "article", "main") and _BOILERPLATE.search(marks)))
+        aside = False
+        if tag in _NAMED and "=" in m[3]:
+            for name, *values in _ATTRIBUTE.findall(m[3]):
+                value = next(filter(None, values), "")
+                aside = aside or any(map(is_aside, value.split() if name.lower() == "class" else [value]))
+        node = Node(tag, aside)
         stack[-1].children.append(node)
+        if tag in ("article", "main"):
+            if not opened.get("article") and not told:
+                told = True
+                for n in stack:  # what holds a page's first article is not beside it
+                    n.boilerplate = False
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
         if tag in _RAW:
@@ -118,20 +141,23 @@ def parse(source: str) -> Node:
             at = close.end() if close else end
             continue
         stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
 def nodes_of(root: Node) -> list[Node]:
-    """Block elements in page order; their own text (that of inline parts included) is taken on the way."""
+    """Block elements in page order; what tree matching needs to know of each is taken on the way."""
     found: list[Node] = []
     todo = [root]
     while todo:  # parents first; a stack, as broken pages may nest deeper than Python calls may
         node = todo.pop()
         found.append(node)
-        node.text = own_text(node)
-        todo += reversed(block_children(node))
+        node.text = tidy(own_text(node))
+        node.kids = block_children(node)
+        todo += reversed(node.kids)
     for node in reversed(found):
-        node.size = 1 + sum(c.size for c in block_children(node))
+        node.size = 1 + sum(c.size for c in node.kids)
+        node.key = hash((node.tag, node.text, *(c.key for c in node.kids)))
     return found
 
 
@@ -170,78 +196,134 @@ def tidy(text: str) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
+#: A matched pair of nodes counts so much more than a pair's equal texts: these decide between matches of the same size.
+_PAIR = 1 << 20
+
+
 def simple_tree_matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of the largest order-preserving match of two trees with equal tags at the roots.
 
-    Children that are equal in tag and text, once in each list, are paired
-    first where their order agrees; between them, the table of simple tree
-    matching is filled (a cell: the size of the match so far), after equal
-    beginnings are paired off.
+    Of matches of the same size one with the most equal texts is taken. Trees
+    are as nodes_of has left them. Weights of subtrees are found from the
+    leaves up, each pair of nodes once.
     """
     if a.tag != b.tag:
         return []
-    pairs = [(a, b)]
-    todo = [(a, b)]
+    known: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+
+    def weight(u: Node, v: Node) -> int:
+        if u.tag != v.tag:
+            return 0
+        if u.kids and v.kids:
+            return known[id(u), id(v)][0]
+        return _PAIR + (u.text == v.text)
+
+    stack = [(a, b)]
+    while stack:
+        u, v = stack[-1]
+        if (id(u), id(v)) in known:
+            stack.pop()
+            continue
+        us, vs = u.kids, v.kids
+        # children that are equal all through cannot be matched better than with each other, at either end
+        n, m = len(us), len(vs)
+        first = 0
+        while first < min(n, m) and us[first].key == vs[first].key:
+            first += 1
+        last = 0
+        while last < min(n, m) - first and us[n - 1 - last].key == vs[m - 1 - last].key:
+            last += 1
+        same = [*zip(us[:first], vs[:first]), *zip(us[n - last :], vs[m - last :])]
+        us, vs = us[first : n - last], vs[first : m - last]
+        need = [(x, y) for x, y in same if x.kids and (id(x), id(y)) not in known]
+        with_kids = [y for y in vs if y.kids]
+        need += [(x, y) for x in us if x.kids for y in with_kids if x.tag == y.tag and (id(x), id(y)) not in known]
+        if need:
+            stack += need
+            continue
+        stack.pop()
+        total, pairs = _largest(us, vs, weight)
+        total += sum(weight(x, y) for x, y in same)
+        known[id(u), id(v)] = _PAIR + (u.text == v.text) + total, [*same, *pairs]
+    out, todo = [(a, b)], [(a, b)]
     while todo:
-        x, y = todo.pop()
-        for u, v in _aligned(block_children(x), block_children(y)):
-            pairs.append((u, v))
-            todo.append((u, v))
-    return pairs
-
-
-def _aligned(us: list[Node], vs: list[Node]) -> list[tuple[Node, Node]]:
-    if not us or not vs:
-        return []
-    key = lambda n: (n.tag, n.text)
-    seen_u: dict = {}
-    seen_v: dict = {}
-    for i, u in enumerate(us):
-        seen_u.setdefault(key(u), []).append(i)
-    for j, v in enumerate(vs):
-        seen_v.setdefault(key(v), []).append(j)
-    anchors, last = [], -1
-    for k, i in ((k, i[0]) for k, i in seen_u.items() if len(i) == 1 and len(seen_v.get(k, ())) == 1):
-        if seen_v[k][0] > last:
-            last = seen_v[k][0]
-            anchors.append((i, last))
-    out, i0, j0 = [], 0, 0
-    for i, j in [*anchors, (len(us), len(vs))]:
-        out += _between(us[i0:i], vs[j0:j])
-        if i < len(us):
-            out.append((us[i], vs[j]))
-        i0, j0 = i + 1, j + 1
+        u, v = todo.pop()
+        for pair in known.get((id(u), id(v)), (0, ()))[1]:
+            out.append(pair)
+            if pair[0].kids and pair[1].kids:
+                todo.append(pair)
     return out
 
 
-def _between(us: list[Node], vs: list[Node]) -> list[tuple[Node, Node]]:
-    out = []
-    k = 0
-    while k < len(us) and k < len(vs) and us[k].tag == vs[k].tag:
-        out.append((us[k], vs[k]))
-        k += 1
-    us, vs = us[k:], vs[k:]
-    for s in range(0, len(us), max(1, CELLS // max(1, len(vs)))):
-        part = us[s : s + max(1, CELLS // max(1, len(vs)))]
-        table_ = [[0] * (len(vs) + 1) for _ in range(len(part) + 1)]
-        for i, u in enumerate(part):
-            for j, v in enumerate(vs):
-                here = table_[i][j] + (min(u.size, v.size) if u.tag == v.tag else 0)
-                table_[i + 1][j + 1] = max(here, table_[i][j + 1], table_[i + 1][j])
-        i, j = len(part), len(vs)
-        found = []
-        while i and j:
-            if table_[i][j] == table_[i - 1][j]:
-                i -= 1
-            elif table_[i][j] == table_[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                found.append((part[i], vs[j]))
-        out += reversed(found)
-        if found:
-            vs = vs[vs.index(found[0][1]) + 1 :]
-    return out
+def _largest(us: list[Node], vs: list[Node], weight) -> tuple[int, list[tuple[Node, Node]]]:
+    """The heaviest order-preserving match of two lists."""
+    n, m = len(us), len(vs)
+    if not n or not m:
+        return 0, []
+    if n * m > BY_CELLS:
+        return _by_diagonals(us, vs, weight)
+    best = [[0] * (m + 1)]
+    rows = [[weight(u, v) for v in vs] for u in us]
+    for w in rows:
+        above, row = best[-1], [0] * (m + 1)
+        for j in range(m):
+            k = above[j] + w[j]
+            if above[j + 1] > k:
+                k = above[j + 1]
+            row[j + 1] = k if k > row[j] else row[j]
+        best.append(row)
+    i, j, pairs = n, m, []
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((us[i], vs[j]))
+    return best[n][m], pairs[::-1]
+
+
+def _by_diagonals(us: list[Node], vs: list[Node], weight) -> tuple[int, list[tuple[Node, Node]]]:
+    """The same for long lists: the cells of a diagonal at once, and of each cell only where its value comes from (two bits)."""
+    n, m = len(us), len(vs)
+    tags = {t: k for k, t in enumerate({x.tag for x in (*us, *vs)})}
+    texts: dict[str, int] = {}
+    tag_u, tag_v = (np.array([tags[x.tag] for x in xs]) for xs in (us, vs))
+    text_u, text_v = (np.array([texts.setdefault(x.text, len(texts)) for x in xs]) for xs in (us, vs))
+    inner_v = [j for j, v in enumerate(vs) if v.kids]
+    inner = {(i, j): weight(u, vs[j]) for i, u in enumerate(us) if u.kids for j in inner_v if u.tag == vs[j].tag}
+    by_diagonal: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), w in inner.items():
+        by_diagonal.setdefault(i + j, []).append((i, w))
+    before, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # value of cell (i, d - i) of the two diagonals before, by i
+    from_: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m), min(n, d - 1)
+        i = np.arange(lo, hi + 1)
+        j = d - i
+        w = np.where(tag_u[i - 1] == tag_v[j - 1], _PAIR + (text_u[i - 1] == text_v[j - 1]), 0)
+        for k, heavy in by_diagonal.get(d - 2, ()):
+            if lo <= k + 1 <= hi:
+                w[k + 1 - lo] = heavy
+        up, left, both = last[i - 1], last[i], before[i - 1] + w
+        value = np.maximum(np.maximum(up, left), both)
+        from_.append((lo, np.packbits(value == up), np.packbits(value == left)))
+        before, last = last, np.zeros(n + 1, np.int64)
+        last[i] = value
+    total = int(last[n])
+    i, j, pairs = n, m, []
+    while i and j:
+        lo, up, left = from_[i + j - 2]
+        k = i - lo
+        if up[k >> 3] >> (7 - (k & 7)) & 1:
+            i -= 1
+        elif left[k >> 3] >> (7 - (k & 7)) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((us[i], vs[j]))
+    return total, pairs[::-1]
 
 
 def main_text(root: Node, template: set[int]) -> str:
@@ -249,7 +331,7 @@ def main_text(root: Node, template: set[int]) -> str:
 
     def collect(top: Node, use: set[int]) -> list[str]:
         blocks: list[str] = []
-        todo: list[Node | str] = [top]
+        todo: list[Node | str | None] = [top]
         held: list[str] = []
 
         def close() -> None:
@@ -265,11 +347,15 @@ def main_text(root: Node, template: set[int]) -> str:
                 close()
             elif isinstance(c, str):
                 held.append(c)
-            elif c.tag in _NEVER or c.boilerplate or id(c) in use:
+            elif c is not top and (c.tag in _NEVER or c.boilerplate):
                 close()
+            elif id(c) in use:
+                close()
+                # a template node's own text goes; blocks inside it speak for themselves
+                todo += [None, *reversed(c.kids)]
             elif c.tag in _BLOCK:
                 close()
-                todo += [None, *reversed(c.children)]  # type: ignore[list-item]
+                todo += [None, *reversed(c.children)]
             else:
                 if c.tag == "br":
                     held.append(" ")
@@ -277,35 +363,43 @@ def main_text(root: Node, template: set[int]) -> str:
         close()
         return blocks
 
-    tops = _content_roots(root)
-    blocks = [b for t in tops for b in collect(t, template)]
-    if not blocks and template:  # pages that are all alike leave no slot: the article stays
-        blocks = [b for t in tops for b in collect(t, set())]
-    return "\n\n".join(blocks)
+    whole = collect(root, template)
+    if not whole and template:  # pages that are all alike leave no slot: what markup says is all there is to go by
+        template = set()
+        whole = collect(root, template)
+    size = sum(map(len, whole))
+    for tag in ("article", "main"):
+        blocks = [b for top in _outermost(root, tag) for b in collect(top, template)]
+        if blocks and sum(map(len, blocks)) >= ARTICLES * size:
+            return "\n\n".join(blocks)
+    header = _page_headers(root)
+    return "\n\n".join(collect(root, template | header) if header else whole)
 
 
-def _content_roots(root: Node) -> list[Node]:
-    """The outermost articles, or else main, or else the page without its header."""
-    for tag in ("article", "main"):
-        found: list[Node] = []
-        todo: list[Node] = [root]
-        while todo:
-            n = todo.pop()
-            if n.tag == tag:
-                found.append(n)
-            elif n.tag not in _NEVER and not n.boilerplate:
-                todo += reversed(n.elements())
-        if found:
-            return found
-    todo = [root]
+def _outermost(root: Node, tag: str) -> list[Node]:
+    """The outermost elements of a name that are not beside the content."""
+    found: list[Node] = []
+    todo: list[Node] = [root]
     while todo:
         n = todo.pop()
-        for c in n.elements():
-            if c.tag == "header":
-                c.boilerplate = True
-            elif c.tag not in _NEVER:
-                todo.append(c)
-    return [root]
+        if n.tag == tag and not n.boilerplate:
+            found.append(n)
+        elif n is root or n.tag not in _NEVER and not n.boilerplate:
+            todo += reversed(n.elements())
+    return found
+
+
+def _page_headers(root: Node) -> set[int]:
+    """Nodes of headers of a page without an article, and of all that is in them."""
+    found: set[int] = set()
+    todo = [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        inside = inside or n.tag == "header"
+        if inside:
+            found.add(id(n))
+        todo += ((c, inside) for c in n.elements())
+    return found
 
 
 def host_of(url: Column) -> Column:
@@ -314,96 +408,124 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-@lru_cache(maxsize=256)
-def _reference(source: str) -> tuple[Node, dict[int, int], list[int]]:
-    """A reference page's tree, the number of each node, and a hash of each one's text."""
-    root = parse(source)
-    nodes = nodes_of(root)
-    return root, {id(n): i for i, n in enumerate(nodes)}, [crc32(tidy(n.text).encode()) for n in nodes]
+_references: dict[str, tuple[Node, dict[int, int]]] = {}
+#: Characters of the references whose trees a worker keeps.
+KEPT_CHARS = 4_000_000
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, pages, same): how often each reference node with text was aligned, and to the same text."""
-    held: dict[tuple[str, int], list[int]] = {}
+def _reference(source: str) -> tuple[Node, dict[int, int]]:
+    """A reference page's tree, and the number of each node."""
+    if source not in _references:
+        if sum(map(len, _references)) + len(source) > KEPT_CHARS:
+            _references.clear()
+        root = parse(source)
+        _references[source] = root, {id(n): i for i, n in enumerate(nodes_of(root))}
+    return _references[source]
 
-    def out() -> pa.RecordBatch:
-        keys = list(held)
-        b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1] for k in keys], pa.int64())], ["host", "node", "pages", "same"])
-        held.clear()
-        return b
 
+def _page(source: str | None) -> Node:
+    page = parse(source or "")
+    nodes_of(page)
+    return page
+
+
+def layout_of(source: Column) -> Column:
+    """What pages that are laid out alike have in common: their sectioning elements, in order of first appearance."""
+    tags = F.regexp_extract_all(F.lower(source), F.lit(rf"<({SECTIONS})[\s/>]"), F.lit(1))
+    return F.coalesce(F.array_join(F.array_distinct(tags), " "), F.lit(""))
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, layout, mark, aligned, same): for each page, bitmaps of the reference nodes with text that it has, and with the same text."""
     for batch in slices(batches, "html"):
-        for host, source, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference"))):
-            if ref is None:
+        keep, bitmaps = [], ([], [])
+        for i, (source, ref) in enumerate(zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist())):
+            if ref is None or ref == source:
                 continue
-            root, number, hashes = _reference(ref)
-            page = parse(source or "")
-            nodes_of(page)
-            for theirs, ours in simple_tree_matching(root, page):
-                i = number[id(theirs)]
-                if theirs.text and not theirs.text.isspace():
-                    v = held.setdefault((host, i), [0, 0])
-                    v[0] += 1
-                    v[1] += theirs.text == ours.text or crc32(tidy(ours.text).encode()) == hashes[i]
-        if len(held) > 100_000:
-            yield out()
-    if held:
-        yield out()
+            root, number = _reference(ref)
+            bits = np.zeros((2, len(number)), bool)
+            for theirs, ours in simple_tree_matching(root, _page(source)):
+                if theirs.text:
+                    bits[:, number[id(theirs)]] = True, theirs.text == ours.text
+            keep.append(i)
+            for held, row in zip(bitmaps, bits):
+                held.append(np.packbits(row).tobytes())
+        part = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("host", "layout", "mark")), *(pa.array(x, pa.binary()) for x in bitmaps)], ["host", "layout", "mark", "aligned", "same"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, layout, node, aligned, same) of bitmaps, summed."""
+    held: dict[tuple[str, str], np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (host, layout), n in held.items():
+            nodes = np.flatnonzero(n[0])
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(nodes), pa.string()), pa.array([layout] * len(nodes), pa.string()), pa.array(nodes.astype(np.int32)), pa.array(n[0][nodes]), pa.array(n[1][nodes])], ["host", "layout", "node", "aligned", "same"])
+        held.clear()
+
+    for batch in batches:
+        for host, layout, *bitmaps in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "aligned", "same"))):
+            bits = np.stack([np.unpackbits(np.frombuffer(x, np.uint8)) for x in bitmaps]).astype(np.int64)
+            held[host, layout] = held.get((host, layout), 0) + bits
+        if sum(x.size for x in held.values()) > 1_000_000:
+            yield from out()
+    yield from out()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html"):
         texts = []
         for source, ref, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "constant"))):
-            page = parse(source or "")
+            page = _page(source)
             template: set[int] = set()
             if ref is not None and constant:
-                root, number, hashes = _reference(ref)
+                root, number = _reference(ref)
                 fixed = set(constant)
-                nodes_of(page)
                 # an aligned node that says something else here is a slot after all
-                template = {id(ours) for theirs, ours in simple_tree_matching(root, page) if number[id(theirs)] in fixed and crc32(tidy(ours.text).encode()) == hashes[number[id(theirs)]]}
+                template = {id(ours) for theirs, ours in simple_tree_matching(root, page) if number[id(theirs)] in fixed and theirs.text == ours.text}
             texts.append(main_text(page, template))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def _with_side(pages: DataFrame, side: DataFrame, size: int) -> DataFrame:
-    """Pages with what a small or large table has of their host; hosts without an entry get nulls."""
-    return pages.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "host", "left")
+    """Pages with what a small or large table has of their host and layout; pages without an entry get nulls."""
+    return pages.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, ["host", "layout"], "left")
 
 
-def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONSTANT) -> DataFrame:
+def extract_pages(pages: DataFrame, constant: float = CONSTANT) -> DataFrame:
     """page_id, url and main text of every row of pages (page_id, url, html; other columns are ignored).
 
-    Null or empty html and pages without content have an empty text. A host's
-    reference is its page with the smallest page_id that has html. Hosts of
-    fewer than min_pages pages, and pages without a host, get no template:
-    their articles are what HTML itself does not mark otherwise. A node is
-    template if it holds the same text in a share of at least `constant` of
-    the pages it is aligned in, and in as many of all pages of its host; where
-    that leaves nothing of a page, its article stays. Repeated rows are rows
+    Null or empty html and pages without content have an empty text. Pages of
+    a host with the same layout share a reference, the shortest of them (then
+    the one with the smallest page_id, then by its text). Pages that are alike
+    in every character count once. A reference node is template if it has the
+    same text in at least `constant` times one more than the pages that it is
+    aligned in. Pages without a host, and those without a sibling, have no
+    template: what their markup says is all there is. Repeated rows are rows
     of their own; an empty table gives no rows.
     """
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    first = rows.filter("host IS NOT NULL AND html IS NOT NULL AND page_id IS NOT NULL").groupBy("host").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("of_host"))
-    first = settle(first.filter(F.col("of_host") >= min_pages), "hosts")
-    n, = first.agg(F.count(F.lit(1))).first()
-    picked = first.select("page_id", "host", "of_host")
-    source = rows.filter("html IS NOT NULL").select("page_id", "host", F.col("html").alias("reference"))
-    found = source.join(F.broadcast(picked) if n * 64 <= BROADCAST_BYTES else picked, ["page_id", "host"])
-    # rows may repeat a page_id
-    reference = settle(found.groupBy("host").agg(F.min("reference").alias("reference"), F.max("of_host").alias("of_host")), "references")
-    size, = reference.agg(F.coalesce(F.sum(F.octet_length("reference") + 64), F.lit(0))).first()
-    voted = _with_side(rows.filter("html IS NOT NULL").select("host", "html"), reference.select("host", "reference"), size)
-    votes = voted.select("host", "html", "reference").mapInArrow(_votes, "host string, node int, pages long, same long")
-    fixed = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same")).join(reference.select("host", "of_host"), "host")
-    fixed = fixed.filter((F.col("same") >= constant * F.col("pages")) & (F.col("same") >= constant * F.col("of_host")))
-    side = settle(reference.select("host", "reference").join(fixed.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant")), "host", "left"), "templates")
-    told = _with_side(rows, side, 2 * size)
+    lean(pages.sparkSession)
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), layout_of(F.col("html")).alias("layout"))
+    told = rows.filter("host IS NOT NULL AND html <> ''").withColumn("mark", F.xxhash64("html"))
+    # the shortest page, by its number; pages themselves are fetched for the chosen ones alone
+    place = F.struct(F.octet_length("html"), "page_id", "mark")
+    first = settle(told.groupBy("host", "layout").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("host", "layout", "at"), "hosts")
+    small = first.count() * 128 <= BROADCAST_BYTES
+    found = told.select("host", "layout", place.alias("at"), F.col("html").alias("reference")).join(F.broadcast(first) if small else first, ["host", "layout", "at"])
+    reference = settle(found.groupBy("host", "layout").agg(F.min("reference").alias("reference")), "references")
+    size, = reference.agg(F.coalesce(F.sum(F.octet_length("reference") + 128), F.lit(0))).first()
+    votes = _with_side(told.select("host", "layout", "mark", "html"), reference, size).mapInArrow(frugal(_votes), "host string, layout string, mark long, aligned binary, same binary")
+    counts = votes.distinct().drop("mark").mapInArrow(frugal(_counts), "host string, layout string, node int, aligned long, same long")
+    fixed = counts.groupBy("host", "layout", "node").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
+    fixed = fixed.filter(F.col("same") >= constant * (F.col("aligned") + 1)).groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("constant"))
+    side = settle(reference.join(fixed, ["host", "layout"], "left"), "templates")
+    out = _with_side(rows, side, 2 * size)
     kinds = {f.name: f.dataType for f in pages.schema}
     schema = T.StructType([T.StructField("page_id", kinds["page_id"]), T.StructField("url", kinds["url"]), T.StructField("text", T.StringType())])
-    return told.select("page_id", "url", "html", "reference", "constant").mapInArrow(_extract, schema)
+    return out.select("page_id", "url", "html", "reference", "constant").mapInArrow(frugal(_extract), schema)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
