@@ -8,20 +8,20 @@ window's length is a hit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import frugal, lean, slices, table
 
 WINDOW = 8
-#: Item words of one automaton; larger benchmarks are cut into blocks of items that are streamed one after the other.
-BLOCK_WORDS = 2_000_000
+#: Item words of one automaton (about 150 MB); larger benchmarks are cut into blocks of items, which many texts meet one after the other.
+BLOCK_WORDS, MANY_BYTES = 200_000, 32 << 20
 #: Bytes to spaces where they part words, A-Z to a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -176,49 +176,82 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list:
     return [*blocks, sc.broadcast(held)] if held else blocks
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every row of docs with what it shares with the benchmark.
+#: The automaton that a worker has made last, for the tasks that follow: of which search, of which block.
+_made: dict[tuple[str, int], SuffixAutomaton] = {}
 
-    Adds to the columns of docs n_words, n_hit (words inside an occurring
-    window), hit_spans (word spans from, to), hit_items (as sorted strings).
-    Windows are `window` consecutive words of an item, or all words of an item
-    that has fewer, but some. Null or empty texts have no words; an empty
-    benchmark hits nothing; a repeated item counts once for each item_id,
-    items without item_id as one item named "null". Columns that are already
-    named so are replaced.
-    """
-    docs = docs.drop("n_words", "n_hit", "hit_spans", "hit_items")
-    blocks = _blocks(benchmark, block_words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, SuffixAutomaton] = {}
+def _automaton(search: str, k: int, items, window: int) -> SuffixAutomaton:
+    if (search, k) not in _made:
+        _made.clear()  # one at a time
+        _made[search, k] = SuffixAutomaton(items.value, window)
+    return _made[search, k]
+
+
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `size` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
 
-        def automaton(k: int) -> SuffixAutomaton:
-            if k not in made:
-                made.clear()  # one at a time
-                made[k] = SuffixAutomaton(blocks[k].value, window)
-            return made[k]
+def _searcher(benchmark: DataFrame, window: int, block_words: int):
+    """A function that gives of Arrow batches slices with each text's words, merged spans of hit words, and items."""
+    blocks, search = _blocks(benchmark, block_words), uuid.uuid4().hex
 
-        for batch in slices(batches, "text", 1_000_000):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
+        # several blocks: an automaton is made once for many texts
+        for batch in slices(batches, "text", 1_000_000) if len(blocks) < 2 else _together(batches, MANY_BYTES):
             split = [words_of(x.as_py()) for x in batch.column("text").cast(pa.binary())]
             spans: list[list] = [[] for _ in split]
             items: list[set] = [set() for _ in split]
             for k in range(len(blocks)):
-                a = automaton(k)
+                a = _automaton(search, k, blocks[k], window)
                 for i, words in enumerate(split):
                     s, t = a.matches(words)
                     spans[i] += s
                     items[i] |= t
-            for s in spans:
-                s.sort()
-                merged: list = []
-                for a_, b_ in s:
-                    if merged and merged[-1][1] >= a_:
-                        merged[-1] = (merged[-1][0], max(merged[-1][1], b_))
-                    else:
-                        merged.append((a_, b_))
-                s[:] = merged
-            pair = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+            yield batch, split, [_merged(s) for s in spans], items
+
+    return found
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Every row of docs (text, other columns) with what it shares with the benchmark.
+
+    Adds to the columns of docs n_words, n_hit (words inside an occurring
+    window), hit_spans (word spans from, to), hit_items (as sorted strings);
+    docs must have no columns of these names. Windows are `window` consecutive
+    words of an item, or all words of an item that has fewer, but some. Null
+    or empty texts have no words; an empty benchmark hits nothing; a repeated
+    item counts once for each item_id, items without item_id as one item named
+    "null". The benchmark is streamed through the driver and broadcast in
+    blocks of at most block_words words (or one item); a worker holds the
+    automaton of one block.
+    """
+    if own := {"n_words", "n_hit", "hit_spans", "hit_items"} & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(own)} of its own")
+    lean(docs.sparkSession)
+    found = _searcher(benchmark, window, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+        for batch, split, spans, items in found(batches):
             added = {
                 "n_words": pa.array([len(w) for w in split], pa.int64()),
                 "n_hit": pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
@@ -229,7 +262,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     spans_type = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", spans_type), T.StructField("hit_items", T.ArrayType(T.StringType()))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str:
@@ -257,29 +290,59 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_items: int = 1, max_coverage: float = 0.5) -> DataFrame:
-    """docs without what they share with the benchmark, in the columns of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_items: int = 1, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without what they share with the benchmark, in the columns of docs, in one pass over them.
 
     Documents that hold windows of more than max_items items, or of which more
     than max_coverage of the words are hit, go; from the others, the hit spans
     are cut, and n_chars, if there, follows. Documents without a hit stay as
-    they are.
+    they are. Items and windows are as in find_contamination.
     """
-    found = find_contamination(docs, benchmark, window)
-    kept = found.filter((F.size("hit_items") <= max_items) & (F.col("n_hit") <= F.col("n_words") * max_coverage))
+    lean(docs.sparkSession)
+    found = _searcher(benchmark, window, block_words)
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        return pd.Series([cut_spans(t, [(s["from"], s["to"]) for s in x]) for t, x in zip(text, spans)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, split, spans, items in found(batches):
+            keep = [len(t) <= max_items and sum(b - a for a, b in s) <= max_coverage * len(w) for w, s, t in zip(split, spans, items)]
+            texts = batch.column("text")
+            if any(s and k for s, k in zip(spans, keep)):
+                cut = [cut_spans(t.as_py(), s) if s and k else t.as_py() for t, s, k in zip(texts, spans, keep)]
+                columns = {n: batch.column(n) for n in batch.schema.names} | {"text": pa.array(cut, texts.type)}
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(c) if s and k else n for c, s, k, n in zip(cut, spans, keep, columns["n_chars"].to_pylist())], columns["n_chars"].type)
+                batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    clean = kept.filter("n_hit = 0").select(docs.columns)
-    rest = kept.filter("n_hit > 0").withColumn("text", cut("text", "hit_spans"))
-    if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(rest.select(docs.columns))
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark."""
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n = F.size("hit_items").cast("long")
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+
+
+#: Windows and words by their definition: an equality join of all document windows of the lengths that items have.
+ORACLE = r"""
+WITH dw AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), bw AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 8) AS n, array_to_string(w[k:k + least(len(w), 8) - 1], ' ') AS said
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM bw WHERE len(w) > 0)
+), places AS (
+    SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw
+), hits AS (
+    SELECT p.doc_id, p.i, x.n, x.item_id FROM (SELECT DISTINCT n FROM windows) s
+    JOIN places p ON p.i + s.n - 1 <= len(p.w)
+    JOIN windows x ON x.n = s.n AND x.said = array_to_string(p.w[p.i:p.i + s.n - 1], ' ')
+), words AS (
+    SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

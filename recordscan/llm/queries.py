@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import ORACLE as CHAT_SQL
 from .chat import op1_chat_format
+from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import op9_decontamination
 from .embeddings import ORACLE as EMBEDDING_SQL
 from .embeddings import op6_embedding_dedup
@@ -30,4 +31,4 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLES = {"op1_chat_format": CHAT_SQL, "op3_license_scan": LICENSE_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
+ORACLES = {"op1_chat_format": CHAT_SQL, "op3_license_scan": LICENSE_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_decontamination": DECONTAMINATION_SQL}
