@@ -192,13 +192,18 @@ STEPS = 1000
 
 
 def learn_margin(counts: list[tuple[int, int, int]]) -> float:
-    """The margin below which predictions are no better than a coin, from (step, right, wrong) of labelled texts that were held out."""
-    bound, right, wrong = 0, 0, 0
-    for step, good, bad in sorted(counts):
-        right, wrong = right + good, wrong + bad
-        if wrong >= right:
-            bound = step + 1
-    return bound / STEPS
+    """The margin up to which predictions are no better than a coin, from (step, right, wrong) of labelled texts that were held out.
+
+    The share that is right is fitted as one that does not fall with the
+    margin (neighbouring steps are pooled where it does).
+    """
+    pools: list[list[int]] = []  # last step, right, wrong
+    for step, right, wrong in sorted(counts):
+        pools.append([step, right, wrong])
+        while len(pools) > 1 and pools[-2][1] * (pools[-1][1] + pools[-1][2]) >= pools[-1][1] * (pools[-2][1] + pools[-2][2]):
+            step, right, wrong = pools.pop()
+            pools[-1] = [step, pools[-1][1] + right, pools[-1][2] + wrong]
+    return max((step + 1 for step, right, wrong in pools if wrong >= right), default=0) / STEPS
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -207,8 +212,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     Profiles are learned from labelled rows that are not held out (held_out,
     by doc_id). Those that are tell how far one language must be nearer than
     the next: the rejected texts are those without a letter and those whose
-    margin is so small that held-out predictions up to it were wrong at least
-    as often as right. Where no row has a lang, nothing can be learned and
+    margin is so small that held-out predictions are wrong at least as often
+    as right (learn_margin). Where no row has a lang, nothing can be learned and
     only texts without a letter go.
     """
     lean(docs.sparkSession)
