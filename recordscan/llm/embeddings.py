@@ -32,10 +32,8 @@ from .components import connected_components
 WIDTH = 6
 #: Whole numbers in a length of one; coordinates keep within 16 bits.
 SCALE = 8192
-#: Rows dealt for a vector and block, and share of all pairs that meet there, by the coordinates that make the grid (figures of vectors without structure).
-_DEALT, _MET = (1.0, 1.5, 2.4, 3.9, 6.5, 10.9, 18.0), (1.0, 0.6, 0.34, 0.19, 0.1, 0.05, 0.025)
-#: Pairs that meet in the time that it takes to deal a row.
-_PAIRS_A_ROW = 1300
+#: Coordinates of a block that make its grid: each one more deals half as many rows again and nearly halves the pairs that meet.
+GRID = 2
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -44,11 +42,6 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def grid_for(largest: int) -> int:
-    """How many of a block's coordinates make its grid, where so many vectors have one label."""
-    return min(range(len(_MET)), key=lambda k: _DEALT[k] + largest * _MET[k] / 2 / _PAIRS_A_ROW)
-
-
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), dims)
 
@@ -204,12 +197,11 @@ def _verified(cosine: float):
     return run
 
 
-def embedding_links(reps: DataFrame, cosine: float) -> DataFrame:
+def embedding_links(reps: DataFrame, cosine: float, grid: int = GRID) -> DataFrame:
     """(kind, a, b) of settled distinct vectors: kind 0, copies b linked to rep a; kind 1, links a-b that connect all linked vectors."""
     label = reps.schema["label"].dataType.simpleString()
-    largest = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     schema = f"label {label}, dims int, block int, cell long, home boolean, id long, copies long, code binary"
-    dealt = reps.select("label", "dims", "rep", "copies", "embedding").mapInArrow(frugal(_deal(cosine, grid_for(largest))), schema)
+    dealt = reps.select("label", "dims", "rep", "copies", "embedding").mapInArrow(frugal(_deal(cosine, grid)), schema)
     found = settle(tiled(settle(dealt, "cells"), _CELL).mapInArrow(frugal(_meet(cosine)), "kind int, a long, b long"), "embedding-found")
     side = lambda rep, vector, copies: reps.select(F.col("rep").alias(rep), F.col("embedding").alias(vector), F.col("copies").alias(copies))
     both = found.filter("kind = 2").select("a", "b").join(side("a", "one", "copies_a"), "a").join(side("b", "other", "copies_b"), "b")
@@ -218,7 +210,7 @@ def embedding_links(reps: DataFrame, cosine: float) -> DataFrame:
     return found.filter("kind < 2").unionByName(sure.select(F.lit(1).alias("kind"), "a", "b")).unionByName(counts[0]).unionByName(counts[1])
 
 
-def embedding_components(rows: DataFrame, cosine: float = 0.93) -> DataFrame:
+def embedding_components(rows: DataFrame, cosine: float = 0.93, grid: int = GRID) -> DataFrame:
     """Links and components of every row of rows (vec_id, embedding, label; other columns are ignored).
 
     Vectors are compared when their labels are equal and not null, and linked
@@ -233,7 +225,7 @@ def embedding_components(rows: DataFrame, cosine: float = 0.93) -> DataFrame:
         raise ValueError("cosine must be over 0 and at most 1")
     lean(rows.sparkSession)
     reps = settle(distinct_vectors(rows), "vectors")
-    found = settle(embedding_links(reps, cosine), "embedding-links")
+    found = settle(embedding_links(reps, cosine, grid), "embedding-links")
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     comp = connected_components(found.filter("kind = 1").select("a", "b"))
     by_rep = reps.select("label", "embedding", "rep", "copies").join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
