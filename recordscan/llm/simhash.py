@@ -19,7 +19,6 @@ on each candidate.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +35,15 @@ SEED = 42
 WORDS = 3
 #: Bits in which linked fingerprints may differ.
 LIMIT = 2
-#: Reference fingerprints: the first ones deal, the next OUTER filter whole blocks of a cell, the others what is left.
+#: Reference fingerprints: the first RINGS deal, the next OUTER filter whole blocks of a cell, the others what is left.
 PIVOTS = np.random.default_rng(20240607).integers(0, 2**64, 64, dtype=np.uint64)
-MOST_RINGS, OUTER = 11, 4
+#: One pivot more that deals doubles the rows dealt and halves the pairs that meet: for each fourfold of fingerprints one more is well spent.
+RINGS, OUTER = 5, 4
 #: More than the numbers of rings around a pivot.
 _PLACES = 40
 GROUPS = 4
 
 
-def rings_for(n: int) -> int:
-    """How many pivots deal n fingerprints: each one more doubles the rows dealt and halves the pairs that meet."""
-    return min(MOST_RINGS, max(1, round(math.log(max(n, 1) / 424) / math.log(3.85)))) if n > 424 else 1
-
-
 def fingerprint(text: bytes | None, words: int = WORDS, block: int = 65_536) -> int:
     """SimHash of a text's word shingles, as an unsigned 64-bit number (see the contract of linked_components)."""
     w = (text or b"").lower().split()
@@ -138,13 +133,12 @@ def _meet(rings: int, limit: int):
     return run
 
 
-def simhash_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+def simhash_links(fps: DataFrame, limit: int = LIMIT, rings: int = RINGS) -> DataFrame:
     """Links (a, b) between documents that suffice to connect all fingerprints within the limit.
 
-    fps: settled (fp long, doc long), each fp once, doc the document that
-    stands for it. The work grows with the power 1.5 of the fingerprints.
+    fps: (fp long, doc long), each fp once, doc the document that stands for
+    it. rings, at most 11: how many pivots deal.
     """
-    rings = rings_for(fps.count())
     dealt = fps.mapInArrow(frugal(_deal(rings, limit)), "cell long, home boolean, id long, fp long")
     return settle(tiled(dealt, ["cell"]).mapInArrow(frugal(_meet(rings, limit)), "a long, b long"), "simhash-links")
 
@@ -261,7 +255,7 @@ def _close(fp: np.ndarray, tbl: int, key: int, rows: np.ndarray, comp: np.ndarra
     """The pairs that a bucket owns, of one of the given rows with a later one or one that is not given, between components if there are any."""
     given = np.full(len(fp), False)
     given[rows] = True
-    step = max(1, 1_000_000 // len(fp))
+    step = max(1, 150_000 // len(fp))  # as many pairs at once
     for s in range(0, len(rows), step):
         r = rows[s : s + step]
         i, j = np.nonzero(np.bitwise_count(fp[r][:, None] ^ fp[None, :]) <= NEAR_LIMIT)
