@@ -72,10 +72,11 @@ def test_texts_under_the_mask_are_read_back_from_tokens():
 
 def test_margin_below_which_predictions_are_a_guess():
     assert langid.learn_margin([]) == 0 and langid.learn_margin([(0, 5, 1), (40, 900, 0)]) == 0
-    assert langid.learn_margin([(0, 1, 3), (2, 3, 1), (3, 50, 1)]) == 3 / langid.STEPS
+    assert langid.learn_margin([(0, 1, 3), (2, 3, 1), (3, 50, 1)]) == 1 / langid.STEPS
+    assert langid.learn_margin([(0, 3, 1), (2, 0, 4), (5, 50, 1)]) == 3 / langid.STEPS
 
 
-def test_chunks_have_the_tokenizers_ids():
+def test_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
@@ -83,10 +84,9 @@ def test_chunks_have_the_tokenizers_ids():
     r = random.Random(8)
     parts = [" ", " ", "  ", "\n", "\t", "\r\n", "a", "b", "it's", " 's", "é", "1", "Ж", "中", "\xa0", "\u3000", "\u200b", "<|endoftext|>", "!", "\x00", "\x1c", "\x85", "😀", "_", "I'll"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(3000)] + ["", "word " * 50, "x" * 5000, " " * 3000]
-    encoder = packing.Encoder(path)
-    encoder.KEPT_CHUNKS = 500
-    got = [x for i in range(0, len(texts), 100) for x in encoder.ids(texts[i : i + 100])]
-    assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    every = [f"a {chr(c)}b{chr(c)} " for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(every[i : i + 50]) for i in range(0, len(every), 50)]
+    assert all(packing.token_ids(t, path).tolist() == e.ids for t, e in zip(texts, whole.encode_batch_fast(texts, add_special_tokens=False)))
 
 
 def test_rendering_is_reversible_and_masks_are_exact():
@@ -259,7 +259,6 @@ def test_fingerprints_follow_their_definition():
 @pytest.mark.parametrize("tile, rings", [(5, 1), (3, 3), (2048, 6), (16, 11)])
 def test_links_reach_all_close_fingerprints(spark, monkeypatch, tile, rings):
     monkeypatch.setattr(cells, "TILE", tile)
-    monkeypatch.setattr(simhash, "rings_for", lambda n: rings)
     r = np.random.default_rng(tile)
     base = r.integers(0, 2**64, 30, dtype=np.uint64)
     near = [b ^ np.bitwise_xor.reduce(np.uint64(1) << r.integers(0, 64, r.integers(0, 6)).astype(np.uint64), initial=np.uint64(0)) for b in base for _ in range(8)]
@@ -277,7 +276,7 @@ def test_links_reach_all_close_fingerprints(spark, monkeypatch, tile, rings):
         for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2):
             a, b = find(i), find(i + 1 + int(j))
             root[max(a, b)] = min(a, b)
-    got = {x["node"]: x["component"] for x in connected_components(simhash.simhash_links(frame(spark, rows, "fp long, doc long"))).collect()}
+    got = {x["node"]: x["component"] for x in connected_components(simhash.simhash_links(frame(spark, rows, "fp long, doc long"), rings=rings)).collect()}
     assert [got.get(i, i) for i in range(len(fps))] == [find(i) for i in range(len(fps))]
 
 
@@ -328,7 +327,6 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, crowded):
 @pytest.mark.parametrize("tile, grid", [(4, 0), (7, 2), (1024, 6)])
 def test_embedding_links_by_brute_force(spark, monkeypatch, tile, grid):
     monkeypatch.setattr(cells, "TILE", tile)
-    monkeypatch.setattr(embeddings, "grid_for", lambda n: grid)
     r = np.random.default_rng(tile)
     centre = r.standard_normal((6, 16))
     v = np.concatenate([centre[r.integers(0, 6, 70)] + r.standard_normal((70, 16)) * r.choice([0.02, 0.2, 0.35], (70, 1)), r.standard_normal((20, 16))]).astype(np.float32)
@@ -342,7 +340,7 @@ def test_embedding_links_by_brute_force(spark, monkeypatch, tile, grid):
     comp = np.arange(90)
     for _ in range(90):
         comp = np.array([min([comp[i], *comp[link[i]]]) for i in range(90)])
-    got = {x["vec_id"]: x for x in embeddings.embedding_components(frame(spark, rows, "vec_id long, embedding array<float>, label int")).collect()}
+    got = {x["vec_id"]: x for x in embeddings.embedding_components(frame(spark, rows, "vec_id long, embedding array<float>, label int"), grid=grid).collect()}
     assert [got[i]["n_links"] for i in range(90)] == link.sum(1).tolist()
     assert [got[i]["component_id"] for i in range(90)] == comp.tolist() and all(got[i]["kept"] == (comp[i] == i) for i in range(90))
 
@@ -472,15 +470,19 @@ def test_decontamination_edge_cases(spark):
     passage = "One two-three four FIVE six seven eight nine ten"
     bench = frame(spark, [(1, passage), (2, "tiny item"), (3, None), (4, ""), (None, "nameless thing here"), (1, passage)], "item_id long, text string")
     rows = [(1, f"before {passage.lower()} after and much more text that is clean and stays here, as it should do"), (2, "a tiny item and tiny item"), (3, None), (4, ""), (5, "clean words " * 30_000), (None, "nameless thing here"), (6, f"{passage} tiny item"), (1, "clean")]
-    docs = clashing(frame(spark, rows))
+    docs = clashing(frame(spark, rows)).drop("n_words")
     for block in (2_000_000, 3):
         got = [(r["doc_id"], r["n_words"], r["n_hit"], r["hit_items"]) for r in decontaminate.find_contamination(docs, bench, block_words=block).collect()]
         assert ([g for g in got if g[0] == 1 and g[2]] == [(1, 26, 10, ["1"])]) and (2, 6, 4, ["2"]) in got and (3, 0, 0, []) in got and (4, 0, 0, []) in got
         assert (None, 3, 3, ["null"]) in got and (6, 12, 12, ["1", "2"]) in got and (5, 60_000, 0, []) in got
+    with pytest.raises(ValueError):
+        decontaminate.find_contamination(docs.withColumn("n_hit", F.lit(1)), bench)
+    docs = docs.withColumn("n_hit", F.lit(-5)).withColumn("n_chars", F.length("text"))
     clean = decontaminate.decontaminate(docs, bench)
-    assert clean.columns == docs.columns
+    assert clean.columns == docs.columns and {r["n_hit"] for r in clean.collect()} == {-5} and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in clean.collect())
     left = {(r["doc_id"], r["text"]) for r in clean.collect()}
     assert {d for d, _ in left} == {1, 3, 4, 5} and (1, "before  after and much more text that is clean and stays here, as it should do") in left
+    docs = docs.drop("n_hit")
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
 
@@ -519,3 +521,75 @@ def test_tree_matching_keeps_order():
     a, b = tree("<div><p>x</p><h1>y</h1></div><ul><li>1</ul>"), tree("<h1>q</h1><div><h1>y</h1><p>z</p></div><ul><li>1<li>2</ul>")
     pairs = [(x.tag, x.text, y.text) for x, y in htmltext.simple_tree_matching(a, b)]
     assert ("h1", "y", "y") in pairs and ("li", "1", "1") in pairs and ("p", "x", "z") not in pairs
+
+
+def _tree(source):
+    root = htmltext.parse(source)
+    htmltext.nodes_of(root)
+    return root
+
+
+def _random_source(r, depth=0):
+    kids = "".join(_random_source(r, depth + 1) for _ in range(r.randint(0, 3 if depth < 3 else 0)))
+    tag = r.choice(["div", "section", "ul"]) if kids else r.choice(["h1", "h2", "h3"])
+    return f"<{tag}>{r.choice('ab')}{kids}</{tag}>"
+
+
+def _largest_match(u, v, known):
+    """Size and equal texts of the best match, by its definition."""
+    if u.tag != v.tag:
+        return (0, 0)
+    key = (id(u), id(v))
+    if key not in known:
+        def best(i, j):
+            if i == len(u.kids) or j == len(v.kids):
+                return (0, 0)
+            here, rest = _largest_match(u.kids[i], v.kids[j], known), best(i + 1, j + 1)
+            return max(best(i + 1, j), best(i, j + 1), (here[0] + rest[0], here[1] + rest[1]) if here[0] else (0, 0))
+
+        n, same = best(0, 0)
+        known[key] = (n + 1, same + (u.text == v.text))
+    return known[key]
+
+
+@pytest.mark.parametrize("cells", [0, 4000])
+def test_tree_matching_is_the_largest(monkeypatch, cells):
+    monkeypatch.setattr(htmltext, "BY_CELLS", cells)
+    r = random.Random(5)
+    for _ in range(400):
+        a, b = (_tree("".join(_random_source(r) for _ in range(r.randint(0, 4)))) for _ in "ab")
+        pairs = htmltext.simple_tree_matching(a, b)
+        assert (len(pairs), sum(x.text == y.text for x, y in pairs)) == _largest_match(a, b, {})
+        assert all(x.tag == y.tag for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_broken_pages_take_time_by_their_length():
+    import time
+
+    began = time.process_time()
+    for source in ("<div>" * 20_000 + "</span>" * 20_000 + "end", "<p><b>" * 9000 + "end", "<li><div>" * 9000 + "<li>x" * 9000 + "end"):
+        page = _tree(source)
+        assert htmltext.main_text(page, set()).endswith("end") and len(htmltext.simple_tree_matching(page, _tree(source))) >= 9000
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("name, aside", [("ad-banner", True), ("site-footer", True), ("related posts", True), ("comments", True), ("with-sidebar", False), ("no-sidebar", False), ("related-work", False), ("search-algorithms", False), ("content", False), ("promotion", False), ("market-share", False)])
+def test_names_of_what_is_beside_the_content(name, aside):
+    assert htmltext.is_aside(name) == aside
+    page = f'<body><div class="{name}"><p>Words</p></div><p>More</p></body>'
+    assert htmltext.main_text(_tree(page), set()) == ("More" if aside else "Words\n\nMore")
+    assert htmltext.main_text(_tree(f'<div class="{name}"><article><h2 id="{name}">Head</h2><p>Words</p></article></div>'), set()) == "Head\n\nWords"
+
+
+def test_two_layouts_and_a_notice_that_comes_and_goes(spark):
+    def page(i):
+        notice = "<div><p>We use biscuits here</p></div>" if i % 2 else ""
+        own = "".join(f"<p>Story {i} goes on in part {k}</p>" for k in range(2 + i % 3))
+        if i % 5 < 2:
+            return f"<body>{notice}<section><p>Old menu</p></section><div><p>Story {i} begins</p>{own}<p>Old end</p></div></body>"
+        return f"<body>{notice}<header><p>New menu</p></header><div><p>More menu</p></div><div><h1>Story {i} begins</h1>{own}</div><div><p>New end</p></div></body>"
+
+    rows = [(i, f"http://two.example/{i}", page(i)) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        assert got[i] == "\n\n".join([f"Story {i} begins", *(f"Story {i} goes on in part {k}" for k in range(2 + i % 3))])
