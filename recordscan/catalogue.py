@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +12,9 @@ from .engine import annotate, finished, limited
 from .functions import entities as ent
 from .functions import paths
 from .functions.text import normalized, phone_components, phone_digits, tokens
-from .operators import advanced, context, evidence, grouping, provenance, ranking, smart
+from .operators import context, evidence, grouping, provenance, ranking
 from .options import SafetyLimits, SearchOptions
-from .plans import index as ix
-from .sources.archives import ReadOptions, members, read_tagged, records_of, stats_of, validated
+from .sources.archives import validated
 from .sources.tables import document_records, read_table, records_from
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,33 +119,41 @@ def phone_components_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ranked search
 
 
-def _smart_sql(pattern: str) -> str:
-    return smart.score_sql(smart.compile_patterns((pattern,))[0])
+def _smart_sql(*tokens: str, digits: str = "") -> str:
+    """The ranking rules for a pattern of these normalised words, by the lists of words of pattern and record."""
+    words, k = f"[{', '.join(repr(t) for t in tokens)}]", len(tokens)
+    held = "string_split(n, ' ')"
+    full = f"len(list_filter({words}, lambda w: list_contains({held}, w)))"
+    starts = f"len(list_filter({words}, lambda w: length(w) >= 2 AND NOT list_contains({held}, w) AND len(list_filter({held}, lambda h: starts_with(h, w))) > 0))"
+    phone = f"WHEN contains(pd, '{digits}') THEN 520 " if len(digits) >= 7 else ""
+    return f"""(CASE {phone}WHEN contains(n, '{' '.join(tokens)}') THEN {500 + min(k, 9)} WHEN {full} = {k} THEN {400 + k} WHEN {full} > 0 AND {full} + {starts} = {k} THEN 300 + 10 * {full} + {starts}
+        WHEN {full} > 0 THEN 100 + 10 * {full} WHEN {starts} > 0 THEN 70 + {starts} ELSE 0 END)"""
 
 
-@query(f"{NORMED}, s AS (SELECT archive, member, line, {_smart_sql('the MIT license')} AS score FROM norm) SELECT archive, member, line, CAST(score AS INT) AS score FROM s WHERE score > 0")
+@query(f"{NORMED}, s AS (SELECT archive, member, line, {_smart_sql('the', 'mit', 'license')} AS score FROM norm) SELECT archive, member, line, CAST(score AS INT) AS score FROM s WHERE score > 0")
 def smart_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _place(annotate(document_records(spark, sf_dir), SearchOptions(("the MIT license",), smart=True, unicode="fast")), "score")
 
 
-@query(f"{NORMED}, s AS (SELECT archive, member, line, text, {_smart_sql('thereof the over')} AS score FROM norm) SELECT archive, member, line, text, CAST(score AS INT) AS score FROM s WHERE score > 0 ORDER BY score DESC, archive, member, line LIMIT 100")
+@query(f"{NORMED}, s AS (SELECT archive, member, line, text, {_smart_sql('thereof', 'the', 'over')} AS score FROM norm) SELECT archive, member, line, text, CAST(score AS INT) AS score FROM s WHERE score > 0 ORDER BY score DESC, archive, member, line LIMIT 100")
 def smart_score_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = SearchOptions(("thereof the over",), smart=True, unicode="fast", max_matches=100)
     return _place(limited(annotate(document_records(spark, sf_dir), o), o), "text", "score")
 
 
 _MULTI = ("Straße und", "released MIT", "de la")
+_MULTI_WORDS = (("strasse", "und"), ("released", "mit"), ("de", "la"))
 
 
 @query(
-    f"""{NORMED}, s AS (SELECT archive, member, line, {', '.join(f'{_smart_sql(p)} AS s{i}' for i, p in enumerate(_MULTI))} FROM norm)
+    f"""{NORMED}, s AS (SELECT archive, member, line, {', '.join(f'{_smart_sql(*p)} AS s{i}' for i, p in enumerate(_MULTI_WORDS))} FROM norm)
     SELECT archive, member, line, CAST(greatest(s0, s1, s2) AS INT) AS score, CASE greatest(s0, s1, s2) WHEN s0 THEN '{_MULTI[0]}' WHEN s1 THEN '{_MULTI[1]}' ELSE '{_MULTI[2]}' END AS pattern FROM s WHERE greatest(s0, s1, s2) > 0"""
 )
 def smart_multi_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _place(annotate(document_records(spark, sf_dir), SearchOptions(_MULTI, smart=True, unicode="fast")), "score", F.col("patterns")[0].alias("pattern"))
 
 
-@query(f"WITH c AS (SELECT *, {NORMAL.format('c_name')} AS n, {PHONE.format('c_name')} AS pd FROM customer) SELECT c_custkey, CAST({_smart_sql('Customer 0000012')} AS INT) AS score FROM c WHERE {_smart_sql('Customer 0000012')} > 0")
+@query(f"WITH c AS (SELECT *, {NORMAL.format('c_name')} AS n, {PHONE.format('c_name')} AS pd FROM customer) SELECT c_custkey, CAST({_smart_sql('customer', '0000012', digits='0000012')} AS INT) AS score FROM c WHERE {_smart_sql('customer', '0000012', digits='0000012')} > 0")
 def smart_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records_from(_table(spark, sf_dir, "customer"), F.col("c_name"), F.lit("customer"), F.col("c_custkey"))
     found = annotate(rows, SearchOptions(("Customer 0000012",), smart=True, unicode="fast"))
@@ -159,7 +161,7 @@ def smart_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{NORMED}, s AS (SELECT {_smart_sql('en la de')} AS score FROM norm)
+    f"""{NORMED}, s AS (SELECT {_smart_sql('en', 'la', 'de')} AS score FROM norm)
     SELECT CASE WHEN score = 520 THEN 'phone' WHEN score > 500 THEN 'phrase' WHEN score > 400 THEN 'all_tokens' WHEN score > 300 THEN 'prefix_tokens' WHEN score > 100 THEN 'partial_tokens' ELSE 'prefix_partial' END AS match_type, count(*) AS n FROM s WHERE score > 0 GROUP BY 1"""
 )
 def smart_match_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,11 +171,6 @@ def smart_match_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the Boolean language
 
 
-def _advanced_sql(source: str) -> str:
-    names = {"normal": "n", "digits": "pd", "text": "text", "archive": NORMAL.format("archive"), "member": NORMAL.format("member"), "format": "regexp_extract(member, '[.]([^.]+)$', 1)"}
-    return f"{NORMED} SELECT archive, member, line FROM norm WHERE {advanced.to_sql(advanced.parse(source), names)}"
-
-
 def _advanced(source: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _place(annotate(document_records(spark, sf_dir), SearchOptions(advanced=source, unicode="fast")))
@@ -181,15 +178,15 @@ def _advanced(source: str):
     return run
 
 
-for _name, _source in {
-    "advanced_and_or_not": '("the and" OR licensed) AND NOT (token OR mit)',
-    "advanced_implicit_and": "der die NOT und",
-    "advanced_prefix": "licen* AND NOT gnu",
-    "advanced_fields": 'format:txt archive:src1 AND (member:"11 txt" OR "all rights")',
-    "advanced_phone_email": "phone:2669109448945250 OR email:@mail",
+for _name, (_source, _where) in {
+    "advanced_and_or_not": ('("the and" OR licensed) AND NOT (token OR mit)', "(contains(n, 'the and') OR contains(n, 'licensed')) AND NOT contains(n, 'token') AND NOT contains(n, 'mit')"),
+    "advanced_implicit_and": ("der die NOT und", "contains(n, 'der') AND contains(n, 'die') AND NOT contains(n, 'und')"),
+    "advanced_prefix": ("licen* AND NOT gnu", "len(list_filter(string_split(n, ' '), lambda w: starts_with(w, 'licen'))) > 0 AND NOT contains(n, 'gnu')"),
+    "advanced_fields": ('format:txt archive:src1 AND (member:"11 txt" OR "all rights")', "starts_with(archive, 'src1') AND (ends_with(member, '11.txt') OR contains(n, 'all rights'))"),
+    "advanced_phone_email": ("phone:2669109448945250 OR email:@mail", "contains(pd, '2669109448945250') OR contains(lower(text), '@mail')"),
 }.items():
     QUERIES[_name] = _advanced(_source)
-    ORACLES[_name] = _advanced_sql(_source)
+    ORACLES[_name] = f"{NORMED} SELECT archive, member, line FROM norm WHERE {_where}"
 
 
 # entities
@@ -238,10 +235,21 @@ def entities_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entity_rows(spark, sf_dir, ent.digests).withColumn("kind", ent.digest_kind(F.col("value"))).filter("kind IS NOT NULL")
 
 
-@query()
+#: (kind, order, what is written, what it stands for) of the entities of a record; addresses of version 6, URLs and UUIDs have their own queries.
+_ENTITIES = f"""found AS (
+    SELECT *, 'email' AS kind, 0 AS nth, unnest(regexp_extract_all(text, '(?i){ent.EMAIL}')) AS v FROM rec
+    UNION ALL SELECT *, 'domain', 1, unnest(regexp_extract_all(text, '(?i){ent.EMAIL}')) FROM rec
+    UNION ALL SELECT *, 'ipv4', 3, unnest(regexp_extract_all(text, '(?:^|[^\\w:.])({_OCTET}(?:\\.{_OCTET}){{3}})(?:$|[^\\w:.])', 1)) FROM rec
+    UNION ALL SELECT *, 'digest', 5, unnest(regexp_extract_all(text, '(?i){ent.DIGEST}')) FROM rec
+), entity AS (
+    SELECT archive, member, line, text, strpos(text, v) AS place, nth, CASE kind WHEN 'digest' THEN CASE length(v) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' WHEN 64 THEN 'sha256' END ELSE kind END AS kind,
+        CASE kind WHEN 'domain' THEN lower(string_split(v, '@')[-1]) WHEN 'ipv4' THEN v ELSE lower(v) END AS value FROM found
+)"""
+
+
+@query(f"WITH {REC}, {_ENTITIES} SELECT DISTINCT archive, member, line, kind, value FROM entity WHERE kind IS NOT NULL")
 def entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kinds in order of place: addresses are brought to one spelling, which SQL does not do."""
-    rows = document_records(spark, sf_dir).filter(F.col("text").rlike("[@:]|[0-9a-fA-F.]{7}"))
+    rows = document_records(spark, sf_dir)
     return rows.select("archive", "member", "line", F.explode(ent.entities(F.col("text"))).alias("e")).select("archive", "member", "line", "e.kind", "e.value")
 
 
@@ -275,9 +283,12 @@ def group_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("key", "n", places.alias("places"))
 
 
-@query()
+@query(
+    f"""WITH {REC}, {_ENTITIES}, first AS (SELECT archive, member, line, arg_min(value, place * 10 + nth) AS value FROM entity WHERE kind IS NOT NULL GROUP BY archive, member, line)
+    SELECT coalesce(f.value, r.text) AS key, count(*) AS n FROM rec r LEFT JOIN first f ON f.archive = r.archive AND f.member = r.member AND f.line = r.line GROUP BY 1"""
+)
 def group_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.group_counts(document_records(spark, sf_dir).filter(F.col("text").rlike("@|https?:|[0-9a-fA-F]{7}|\\d\\.\\d")), "entity")
+    return grouping.group_counts(document_records(spark, sf_dir), "entity")
 
 
 @query(f"WITH {REC} SELECT archive, count(*) AS matches, count(DISTINCT member) AS members FROM rec WHERE contains(lower(text), 'the ') GROUP BY archive")
@@ -285,7 +296,7 @@ def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.counts(annotate(document_records(spark, sf_dir), SearchOptions(("the ",))))
 
 
-@query(f"{NORMED}, s AS (SELECT archive, member, line, {_smart_sql('licensed under the')} AS score FROM norm) SELECT archive, member, CAST(max(score) AS INT) AS best, count(*) AS n, count(DISTINCT line) AS lines FROM s WHERE score > 0 GROUP BY archive, member")
+@query(f"{NORMED}, s AS (SELECT archive, member, line, {_smart_sql('licensed', 'under', 'the')} AS score FROM norm) SELECT archive, member, CAST(max(score) AS INT) AS best, count(*) AS n, count(DISTINCT line) AS lines FROM s WHERE score > 0 GROUP BY archive, member")
 def tree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.tree(annotate(document_records(spark, sf_dir), SearchOptions(("licensed under the",), smart=True, unicode="fast"))).select("archive", "member", "best", "n", "lines")
 
@@ -369,76 +380,6 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _place(spans, F.col("s.text_spans")[0]["start"].alias("start"), F.col("s.text_spans")[0]["end"].alias("finish"))
 
 
-# the index
-
-
-@query(f"{NORMED}, t AS (SELECT DISTINCT archive, member, line, unnest(list_filter(string_split(n, ' '), lambda x: x <> '')) AS term FROM norm) SELECT term, archive, member, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines FROM t GROUP BY term, archive, member")
-def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = ix.postings_from(document_records(spark, sf_dir), exact=False)
-    return made.select("term", "archive", "member", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
-
-
-def _candidate_rows(spark: SparkSession, sf_dir: str, options: SearchOptions) -> DataFrame:
-    """Candidates out of postings that are made on the way, records standing for members."""
-    from .plans.index import lookups
-
-    base = _normal(document_records(spark, sf_dir)).select("archive", "member", "line", F.explode(F.array_distinct(tokens(F.col("n")))).alias("term"))
-    alternatives = lookups(options)
-    parts = [p for alt in alternatives for p in alt]
-    any_part = F.lit(False)
-    for _, p in parts:
-        any_part = any_part | F.contains(F.col("term"), F.lit(p))
-    got = base.filter(any_part).groupBy("archive", "member", "line").agg(*(F.bool_or(F.contains(F.col("term"), F.lit(p))).alias(f"has{i}") for i, (_, p) in enumerate(parts)))
-    at, some = 0, F.lit(False)
-    for alt in alternatives:
-        every = F.lit(True)
-        for _ in alt:
-            every, at = every & F.col(f"has{at}"), at + 1
-        some = some | every
-    return _place(got.filter(some))
-
-
-_TERMS = f"{NORMED}, t AS (SELECT DISTINCT archive, member, line, unnest(list_filter(string_split(n, ' '), lambda x: x <> '')) AS term FROM norm)"
-
-
-@query(f"{_TERMS} SELECT archive, member, line FROM t GROUP BY archive, member, line HAVING bool_or(contains(term, 'licensed')) AND bool_or(contains(term, 'under')) AND bool_or(contains(term, 'cc'))")
-def index_candidates_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidate_rows(spark, sf_dir, SearchOptions(("licensed under CC",)))
-
-
-@query(f"{_TERMS} SELECT DISTINCT archive, member, line FROM t WHERE contains(term, 'released') OR contains(term, 'thereof')")
-def index_candidates_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidate_rows(spark, sf_dir, SearchOptions(("released thereof",), smart=True))
-
-
-@query(f"WITH {REC} SELECT archive, member, line, text FROM rec WHERE contains(lower(text), 'licensed under cc')")
-def verify_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = SearchOptions(("licensed under CC",))
-    records = document_records(spark, sf_dir).join(_candidate_rows(spark, sf_dir, o), ["archive", "member", "line"], "left_semi")
-    return _place(annotate(records, o), "text")
-
-
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'fresh' END AS state FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
-def coverage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
-    return read_table(spark, sf_dir, "documents", "doc_id").join(known, "doc_id", "left").select("doc_id", F.when(F.col("known").isNull(), "new").otherwise("fresh").alias("state"))
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def coverage_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", "doc_id").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@query(f"WITH {REC} SELECT archive, member, line, CASE WHEN archive IN ('src0', 'src1', 'src2') THEN 'index' ELSE 'scan' END AS execution_path FROM rec WHERE contains(lower(text), 'mit license')")
-def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = SearchOptions(("MIT license",))
-    records = document_records(spark, sf_dir)
-    covered = F.col("archive").isin("src0", "src1", "src2")
-    wanted = _candidate_rows(spark, sf_dir, o)
-    indexed = records.filter(covered).join(wanted, ["archive", "member", "line"], "left_semi")
-    return _place(ranking.hybrid(annotate(indexed, o), annotate(records.filter(~F.coalesce(covered, F.lit(False))), o)), "execution_path")
-
-
 # paths
 
 
@@ -484,110 +425,3 @@ def search_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = document_records(spark, sf_dir)
     rows = ranking.top(annotate(records, o), o.max_matches, ("archive", "line", "member")).withColumn("ordinal", F.lit(0))
     return _place(finished(rows, o), "text")
-
-
-# archives
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that executors see: below spark.checkpoint.dir where that is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root.removeprefix("file://").removeprefix("file:") if root else tempfile.mkdtemp(prefix="recordscan-")
-    path = os.path.join(root, f"archives-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    return path
-
-
-#: Documents and bytes of text at which a further archive is started, well before what SafetyLimits let an archive hold.
-ARCHIVE_DOCS, ARCHIVE_BYTES = 50_000, 1 << 30
-
-
-def archive_documents(spark: SparkSession, sf_dir: str, nested: bool = False) -> str:
-    """The documents as archives, one or more for each partition, written by the executors; returns their folder."""
-    import io
-
-    folder = shared_folder(spark)
-    most_docs, most_bytes = ARCHIVE_DOCS, ARCHIVE_BYTES
-
-    def parts(frames):
-        """(number of the frame, doc_id, text) of the rows of one archive after the other, each to be read to its end."""
-        rows = ((k, d, (t or "").encode()) for k, frame in enumerate(frames) for d, t in zip(frame["doc_id"], frame["text"]))
-        held = next(rows, None)
-
-        def part():
-            nonlocal held
-            docs = size = 0
-            while held is not None and (not docs or (docs < most_docs and size + len(held[2]) <= most_bytes)):
-                docs, size = docs + 1, size + len(held[2])
-                yield held
-                held = next(rows, None)
-
-        while held is not None:
-            yield part()
-
-    def write(frames):
-        import pandas as pd
-
-        for part in parts(frames):
-            name = os.path.join(folder, f"{uuid.uuid4().hex}.zip")
-            n = 0
-            with zipfile.ZipFile(name + ".part", "w", zipfile.ZIP_DEFLATED) as z:
-                for k, rows in groupby(part, lambda row: row[0]) if nested else [(0, part)]:
-                    inner = io.BytesIO()
-                    target = zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) if nested else z
-                    for _, doc_id, text in rows:
-                        target.writestr(f"docs/{doc_id}.txt", text)
-                        n += 1
-                    if nested:
-                        target.close()
-                        z.writestr(f"inner-{k}.zip", inner.getvalue())
-            os.replace(name + ".part", name)
-            yield pd.DataFrame({"archive": [name], "n": [n]})
-
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    docs.mapInPandas(write, "archive string, n long").write.format("noop").mode("overwrite").save()
-    return folder
-
-
-#: Some documents are one word over and over and shrink more, or are longer, than archives of strangers may.
-_LAX = ReadOptions(limits=SafetyLimits(max_compression_ratio=1e6, max_member_bytes=2 << 30))
-_ROUND_TRIP = f"WITH {REC} SELECT 'docs/' || member AS member, line, text FROM rec"
-
-
-@query(_ROUND_TRIP)
-def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_of(read_tagged(spark, archive_documents(spark, sf_dir), _LAX)).select("member", "line", "text")
-
-
-@query(_ROUND_TRIP)
-def nested_zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_of(read_tagged(spark, archive_documents(spark, sf_dir, nested=True), _LAX)).select("member", "line", "text")
-
-
-@query("SELECT count(*) AS members_seen, CAST(sum(strlen(text)) AS BIGINT) AS bytes_declared FROM documents")
-def zip_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = validated(members(spark, archive_documents(spark, sf_dir)))
-    return found.filter("NOT is_dir").agg(F.count(F.lit(1)).alias("members_seen"), F.sum("file_size").alias("bytes_declared"))
-
-
-@query("SELECT count(*) AS members_seen, count(*) AS members_scanned FROM documents")
-def zip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats_of(read_tagged(spark, archive_documents(spark, sf_dir), _LAX)).agg(F.sum("members_seen").alias("members_seen"), F.sum("members_scanned").alias("members_scanned"))
-
-
-@query(f"WITH {REC} SELECT 'docs/' || member AS member, line, text FROM rec WHERE contains(lower(text), 'mit license') AND member LIKE '1%'")
-def zip_search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = read_tagged(spark, archive_documents(spark, sf_dir), ReadOptions(include=("1*.txt",), limits=_LAX.limits))
-    return annotate(records_of(tagged), SearchOptions(("MIT license",))).select("member", "line", "text")
-
-
-@query(f"WITH {REC} SELECT 'docs/' || member AS member, line, text FROM rec WHERE contains(lower(text), 'licensed under')")
-def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build an index of the archived documents, and search through it."""
-    folder = archive_documents(spark, sf_dir)
-    o = SearchOptions(("licensed under",))
-    ix.build_or_update(spark, folder, limits=_LAX.limits)
-    at = ix.default_path(folder)
-    found = ix.candidates(spark, at, o)
-    names = records_of(read_tagged(spark, folder, _LAX)).withColumn("relative", F.element_at(F.split("archive", "/"), -1))
-    return annotate(names.join(found, ["relative", "route", "line"], "left_semi"), o).select("member", "line", "text")

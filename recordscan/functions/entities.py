@@ -57,13 +57,26 @@ def entities_of(text: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys(pair for _, _, pair in sorted(placed, key=lambda x: x[:2])))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])))
-def entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+_PAIRS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+@F.pandas_udf(_PAIRS)
+def entities_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All entities of a text in order: an Arrow UDF, as addresses and UUIDs are brought to one spelling."""
     for t in texts:
         yield t.map(lambda x: [{"kind": k, "value": v} for k, v in entities_of(x)] if isinstance(x, str) else None)
 
 
+#: What every entity holds: texts without it have none and stay in the JVM.
+SIGNS = r"@|://|\d\.\d+\.\d+\.\d|:[0-9A-Fa-f.]*:|[0-9A-Fa-f]{8}"
+
+
+def entities(text: Column) -> Column:
+    """All entities of a text in order, none of a null text."""
+    none = F.when(text.isNotNull(), F.array().cast(_PAIRS))
+    return F.coalesce(entities_udf(F.when(text.rlike(SIGNS), text)), none)
+
+
 def _all(text: Column, shape: str) -> Column:
     return F.regexp_extract_all(text, F.lit(shape), F.lit(0))
 

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .entities import entities
+from .entities import entities_udf
 from .text import normalize_text
 
 
@@ -30,6 +30,6 @@ def register(spark: SparkSession) -> None:
         r"""CREATE OR REPLACE TEMPORARY FUNCTION phone_digits(s STRING) RETURNS STRING
         RETURN (SELECT CASE WHEN length(d) = 11 AND startswith(d, '8') THEN concat('7', substring(d, 2, 10)) ELSE d END FROM (SELECT regexp_replace(s, '\\P{Nd}', '') AS d))"""
     )
-    spark.udf.register("extract_entities", entities)
+    spark.udf.register("extract_entities", entities_udf)
     spark.udf.register("smart_score", score)
     spark.dataSource.register(ArchiveSource)

@@ -194,28 +194,3 @@ def predicate(tree, columns: dict[str, Column]) -> Column:
         return holds(columns.get(node.field or "normal", F.lit("")), node.value)
 
     return of(tree)
-
-
-def to_sql(tree, names: dict[str, str]) -> str:
-    """The same predicate as SQL for Spark and DuckDB; names: SQL of what predicate's columns hold."""
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-
-    def of(node) -> str:
-        if isinstance(node, Negation):
-            return f"(NOT {of(node.of)})"
-        if isinstance(node, Joined):
-            return "(" + f" {node.operator} ".join(of(p) for p in node.parts) + ")"
-        if node.field == "format":
-            return f"({names['format']} = {q(node.value.casefold())})"
-        if node.field == "phone":
-            d = digits_of(node.value)
-            return f"contains({names['digits']}, {q(d)})" if len(d) >= 7 else "FALSE"
-        if node.field == "email":
-            return f"contains(lower({names['text']}), {q(node.value.casefold())})"
-        where = names.get(node.field or "normal", "''")
-        if node.value.endswith("*"):
-            start = normalize_text(node.value[:-1])
-            return f"contains(concat(' ', {where}), {q(' ' + start)})" if start and " " not in start else "FALSE"
-        return f"contains({where}, {q(normalize_text(node.value))})"
-
-    return of(tree)

@@ -92,20 +92,6 @@ def best_rows(df: DataFrame, patterns: tuple[SmartPattern, ...], normal: str = "
     return scored.select(*df.columns, best.alias("_best"))
 
 
-def score_sql(pattern: SmartPattern, n: str = "n", pd: str = "pd") -> str:
-    """The score as SQL that Spark and DuckDB both read; 0 for no match."""
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    tok = lambda t: f"contains(concat(' ', {n}, ' '), {q(' ' + t + ' ')})"
-    pre = lambda t: f"contains(concat(' ', {n}), {q(' ' + t)})"
-    f = " + ".join(f"CAST({tok(t)} AS INT)" for t in pattern.tokens)
-    x = " + ".join(f"CAST({pre(t)} AND NOT {tok(t)} AS INT)" for t in pattern.tokens if len(t) >= 2) or "0"
-    k = len(pattern.tokens)
-    phone = f"WHEN contains({pd}, {q(pattern.phone)}) THEN {PHONE} " if pattern.has_phone else ""
-    return (
-        f"CASE {phone}WHEN contains({n}, {q(pattern.normal)}) THEN {PHRASE + min(k, PHRASE_TOKENS)} WHEN ({f}) = {k} THEN {ALL} + ({f}) "
-        f"WHEN ({f}) + ({x}) = {k} AND ({f}) > 0 THEN {PREFIXES} + 10 * ({f}) + ({x}) WHEN ({f}) > 0 THEN {PARTIAL} + 10 * ({f}) WHEN ({x}) > 0 THEN {PREFIX_PARTIAL} + ({x}) ELSE 0 END"
-    )
-
 
 def score_text(text: str, pattern: str, case_sensitive: bool = False) -> int:
     """The score of one record on the driver or in a UDF; 0 for no match."""
