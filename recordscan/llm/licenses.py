@@ -2,17 +2,22 @@
 
 Texts and known license texts are brought to one canonical form (case,
 punctuation, copyright lines and equivalent spellings do not count); entire
-texts are joined to the known ones by the digest of that form.
+texts are joined to the known ones by the digest of that form. Only texts that
+hold a word which some known text holds in any case are brought to it.
 """
 
 from __future__ import annotations
 
+import os
+import re
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Spellings that mean the same, the first form standing for both.
+#: Spellings that mean the same, the first form standing for both.
 SPELLINGS = [
     ("license", "licence"), ("licensed", "licenced"), ("licenses", "licences"), ("sublicense", "sublicence"), ("acknowledgment", "acknowledgement"), ("analog", "analogue"), ("analyze", "analyse"),
     ("artifact", "artefact"), ("authorization", "authorisation"), ("authorized", "authorised"), ("center", "centre"), ("color", "colour"), ("copyright holder", "copyright owner"), ("customization", "customisation"),
@@ -20,6 +25,7 @@ SPELLINGS = [
     ("organization", "organisation"), ("per cent", "percent"), ("program", "programme"), ("recognize", "recognise"), ("utilization", "utilisation"), ("while", "whilst"), ("website", "web site"),
 ]
 
+# Texts of licenses and notices.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -83,7 +89,45 @@ KNOWN = [
     ("CC-BY-NC-4.0", "line", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "line", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "line", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "line", "Licensed under CC0 1.0."),
 ]
 
-_COPYRIGHT = r"(?m)^[\s#*/;-]*(copyright\b|\(c\)|©|all rights reserved\b)[^\n]*$"
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+
+
+@cache
+def known_texts() -> tuple[tuple[str, str, str], ...]:
+    """(name, scope, text) of all known texts: KNOWN and the whole licenses in the folder TEXTS."""
+    whole = []
+    for f in sorted(os.listdir(TEXTS)):
+        with open(os.path.join(TEXTS, f), encoding="utf-8") as t:
+            text = t.read()
+        whole.append((f.removesuffix(".txt"), "text", text))
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        if rest:  # without what says how to apply it
+            whole += [(f.removesuffix(".txt"), "text", terms), (f.removesuffix(".txt"), "text", terms + end)]
+    return (*KNOWN, *whole)
+
+
+#: A line that states a copyright: with a year, a sign or a place for them, or nothing but the reservation of rights.
+_COPYRIGHT = r"(?m)^[\s#*/;-]*(?:copyright\s*(?:\(c\)|©|[0-9]{4}|[<\[{]|by\b)|\(c\)\s*(?:copyright|[0-9]{4})|©)[^\n]*$|^[\s#*/;-]*all rights reserved[^\w\n]*$"
+
+
+def anchors(known, scope: str) -> str:
+    """A regular expression that every text holds, lower-cased, whose canonical form is that of a known one: its longest word, in any spelling."""
+    spellings: dict[str, set[str]] = {}
+    torn = set()
+    for forms in SPELLINGS:
+        if all(" " not in f for f in forms):
+            for f in forms:
+                spellings.setdefault(f, set(forms)).update(forms)
+        else:
+            torn.update(w for f in forms for w in f.split())
+    found = set()
+    for _, s, text in known:
+        if s == scope:
+            kept = re.sub(_COPYRIGHT, " ", text.lower())
+            words = [w for w in re.findall(r"[^\W_]+", kept) if w not in torn]
+            best = max(words, key=lambda w: (len(w), w), default="")
+            found |= {re.escape(f) for f in spellings.get(best, {best})}
+    return "|".join(sorted(found, key=lambda w: (-len(w), w)))
 
 
 def canonical(text: Column) -> Column:
@@ -102,40 +146,40 @@ def digest(canonical_text: Column) -> Column:
     return F.sha2(canonical_text, 256)
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """license, scope, digest of every known text: a table as long as KNOWN."""
-    rows = spark.createDataFrame(KNOWN, "license string, scope string, text string")
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """license, scope, digest of every known text."""
+    rows = spark.createDataFrame(list(known_texts() if known is None else known), "license string, scope string, text string")
     return rows.select("license", "scope", digest(canonical(F.col("text"))).alias("digest")).distinct()
 
 
-#: A text of more characters than any known one cannot be known; texts that differ this much in length are not worth canonicalising.
-LONGEST = 4 * max(len(t) for _, _, t in KNOWN)
-
-
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, known=None) -> DataFrame:
     """What licenses the texts of docs (doc_id, text; other columns are ignored) are or name.
 
-    A row for each doc_id row whose entire text (scope text) or one or more of
-    whose lines (scope line) have the digest of a known license: doc_id,
-    scope, license, n (1, or the lines). Null and empty texts match nothing;
-    repeated rows count each; an empty table gives no rows. Every text is
-    looked at, and every line with a word like license or CC; texts longer
-    than four times the longest known one without their copyright lines and
-    punctuation cannot match.
+    known: (name, scope, text) of each known text, those of known_texts()
+    where none are given. A row for each doc_id row whose entire text (scope
+    text) or one or more of whose lines (scope line) have the digest of a known
+    license: doc_id, scope, license, n (1, or the lines). Null and empty texts
+    match nothing; repeated rows count each; an empty table gives no rows; no
+    known texts match nothing. Every text and every line is looked at.
     """
-    known = known_digests(docs.sparkSession)
-    no_copyright = F.regexp_replace(F.lower("text"), _COPYRIGHT, " ")
-    whole = docs.select("doc_id", "text").filter((F.length("text") <= LONGEST) | (F.length(F.regexp_replace(no_copyright, r"[^\p{L}\p{N}]+", " ")) <= LONGEST))
-    whole = whole.select("doc_id", F.lit("text").alias("scope"), canonical(F.col("text")).alias("form"))
-    line = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    line = line.filter(F.lower("line").rlike("licen[sc]|\\bcc")).select("doc_id", F.lit("line").alias("scope"), canonical(F.col("line")).alias("form"))
-    found = whole.unionByName(line).filter("form <> ''").withColumn("digest", digest(F.col("form")))
-    # the known digests are a constant of this module, far below any bound of a broadcast
-    matched = found.join(F.broadcast(known), ["scope", "digest"]).groupBy("doc_id", "scope", "license").agg(F.count(F.lit(1)).alias("n"))
-    return matched
+    known = list(known_texts() if known is None else known)
+    digests = known_digests(docs.sparkSession, known)
+    candidates = []
+    for scope in ("text", "line"):
+        if not (words := anchors(known, scope)):
+            continue
+        rows = docs.select("doc_id", F.col("text").alias("said")) if scope == "text" else docs.filter(F.lower("text").rlike(words)).select("doc_id", F.explode(F.split("text", "\n")).alias("said"))
+        candidates.append(rows.filter(F.lower("said").rlike(words)).select("doc_id", F.lit(scope).alias("scope"), canonical(F.col("said")).alias("form")))
+    if not candidates:
+        return docs.limit(0).select("doc_id", F.lit("text").alias("scope"), F.lit("").alias("license"), F.lit(0).cast("long").alias("n"))
+    found = candidates[0] if len(candidates) == 1 else candidates[0].unionByName(candidates[1])
+    found = found.filter("form <> ''").withColumn("digest", digest(F.col("form")))
+    # one row for each known text; whether it is broadcast is left to its size
+    return found.join(digests, ["scope", "digest"]).groupBy("doc_id", "scope", "license").agg(F.count(F.lit(1)).alias("n"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all documents and of their lines."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
@@ -143,14 +187,14 @@ def _oracle() -> str:
     """The same in DuckDB's SQL, over the same known texts."""
 
     def form(x: str) -> str:
-        y = rf"trim(regexp_replace(regexp_replace(lower({x}), '(?m)^[\s#*/;-]*(copyright\b|\(c\)|©|all rights reserved\b)[^\n]*$', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        y = rf"trim(regexp_replace(regexp_replace(lower({x}), '{_COPYRIGHT}', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
         y = f"' ' || replace({y}, ' ', '  ') || ' '"
         for one, other in SPELLINGS:
             a, b = (f" {s.replace(' ', '  ')} " for s in (one, other))
             y = f"replace({y}, '{b}', '{a}')"
         return f"trim(regexp_replace({y}, ' +', ' ', 'g'))"
 
-    quoted = ", ".join(f"('{n}', '{s}', '" + t.replace("'", "''") + "')" for n, s, t in KNOWN)
+    quoted = ", ".join(f"('{n}', '{s}', '" + t.replace("'", "''") + "')" for n, s, t in known_texts())
     return f"""
 WITH known AS (SELECT DISTINCT license, scope, {form("text")} AS form FROM (VALUES {quoted}) AS t(license, scope, text)),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
