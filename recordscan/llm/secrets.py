@@ -3,8 +3,8 @@
 The forest looks at a candidate's length and characters, at its character
 transitions against those of ordinary words, at how much of it dictionary
 words cover, at the path it comes from and at the words beside it. It is
-trained here from labelled findings; the ones that come with the module are
-made by a seeded generator of secrets of common shapes and of look-alikes.
+trained here from labelled findings: those a caller has, or the module's own,
+which are the candidates in texts of a seeded generator.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import frugal, lean, slices, table
 
 #: Labelled findings that the forest is fitted on at most, its trees and their depth.
 FINDINGS, TREES, DEPTH = 6000, 40, 12
@@ -42,25 +42,44 @@ WORDS = frozenset(
 )
 
 _RUN = re.compile(r"[A-Za-z0-9_+/.=~$@!#%^&*-]{8,}")
-_ASSIGNED = re.compile(r"""(?i)\b[\w.-]*(?:api|auth|bearer|credential|key|passphrase|passwd|password|pwd|secret|token)[\w.-]*["'`]?\s{0,3}(?::=|=>|[:=])\s{0,3}["'`]?\Z""")
+#: Where a value starts inside a run: behind a sign that joins a name and a value, or two such pairs.
+_JOINT = re.compile(r"(?<=[=&])(?=[^=&])")
+_ASSIGNED = re.compile(r"""(?i)(?:\b[\w.-]*(?:api|auth|bearer|credential|key|passphrase|passwd|password|pwd|secret|token)[\w.-]*["'`]?\s{0,3}(?::=|=>|[:=])|\b(?:bearer|basic|token))\s{0,3}["'`]?\Z""")
 _MIXED = re.compile(r"[0-9]")
+_PREFIX = re.compile("|".join(rf"(?<![A-Za-z0-9]){re.escape(p)}" for p in PREFIXES))
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s+((?:[A-Za-z0-9+/=:,-]+\s+)+?)-----END")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Places of a text that may be secrets: from, to, and why (prefix, assigned, random)."""
-    found = []
+    """Places of a text that may be secrets: from, to, and why (pem, prefix, assigned, random), in order.
+
+    A run of the characters of keys is cut behind "=" and "&", so that a name
+    before a value is not part of it, and starts at a service's prefix that
+    stands inside it. Candidates are values of 16 characters with a prefix, of
+    8 that are assigned to a name of a secret, of 16 with a digit, and what
+    stands between the lines of a private key.
+    """
+    found = [(*m.span(1), "pem") for m in _PEM.finditer(text)]
+    keys = [(a, b) for a, b, _ in found]
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        value = m[0].strip("=.,!-") if m[0][-1] in ".,!" or m[0][0] in "=-" else m[0]
-        start += m[0].find(value)
-        end = start + len(value)
-        if value.startswith(PREFIXES) and len(value) >= 16:
-            found.append((start, end, "prefix"))
-        elif len(value) >= 8 and text[start - 1 : start] in ("'", '"', "`", "=", ":", " ") and _ASSIGNED.search(text, max(0, start - NEAR), start):
-            found.append((start, end, "assigned"))
-        elif len(value) >= 16 and _MIXED.search(value):
-            found.append((start, end, "random"))
-    return found
+        cuts = [0, *(j.start() for j in _JOINT.finditer(m[0])), len(m[0])]
+        for a, b in zip(cuts, cuts[1:]):
+            piece = m[0][a:b]
+            mark = _PREFIX.search(piece)
+            if mark and len(piece) - mark.start() >= 16:
+                a, piece = a + mark.start(), piece[mark.start() :]
+            value = piece.strip("=&.,!-") if b < len(m[0]) or piece[-1] in ".,!-" or piece[0] in "=-" else piece
+            start = m.start() + a + piece.find(value)
+            end = start + len(value)
+            if any(x <= start < y for x, y in keys):
+                continue
+            if mark and len(value) >= 16 and value.startswith(PREFIXES):
+                found.append((start, end, "prefix"))
+            elif len(value) >= 8 and text[start - 1 : start] in ("'", '"', "`", "=", ":", " ") and _ASSIGNED.search(text, max(0, start - NEAR), start):
+                found.append((start, end, "assigned"))
+            elif len(value) >= 16 and _MIXED.search(value):
+                found.append((start, end, "random"))
+    return sorted(found)
 
 
 def _class(c: str) -> int:
@@ -114,7 +133,7 @@ def features(value: str, before: str, after: str, path: str, why: str) -> list[f
         float(all(c in "0123456789abcdef" for c in low)), float(value.isdigit()), float(n in (32, 40, 64)), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
         float("@" in value[1:-1]), value.count(".") / n, value.count("/") / n, float(low.startswith(("http", "www."))),
         float(any(w in NAMING for w in words)), float(any(w in NAMING for w in behind)), float(any(w in STAND_IN for w in words + behind)), float(any(s in low for s in STAND_IN)),
-        float(any(p in path.lower() for p in EXAMPLE_PATHS)), float(before.rstrip()[-1:] in ("=", ":", '"', "'", "`")), float(why == "prefix"), float(why == "assigned"),
+        float(any(p in path.lower() for p in EXAMPLE_PATHS)), float(before.rstrip()[-1:] in ("=", ":", '"', "'", "`")), float(why == "prefix"), float(why == "assigned"), float(why == "pem"),
     ]
 
 
@@ -129,52 +148,75 @@ class Finding:
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[Finding]:
-    """Labelled findings by a seeded generator: secrets of common shapes, and what looks like them."""
+    """Labelled findings: what candidates() finds in generated texts, a secret if it is one that was put there.
+
+    The generator plants secrets of common shapes, as they are assigned, sent
+    or listed, and what looks like them; it knows nothing of any table.
+    """
     r = random.Random(seed)
+    out: list[Finding] = []
+    while len(out) < n:
+        text, planted, path = labelled_text(r)
+        for start, end, why in candidates(text):
+            secret = any(a < end and start < b for a, b in planted)
+            out.append(Finding(text[start:end], text[max(0, start - NEAR) : start], text[end : end + NEAR], path, why, secret))
+    return out[:n]
+
+
+def labelled_text(r: random.Random) -> tuple[str, list[tuple[int, int]], str]:
+    """A text, the places of the secrets in it, and a path."""
     pool = sorted(WORDS)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     b62, hex_, b64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
-    prose = lambda: " ".join(r.choice(pool) for _ in range(r.randint(1, 7)))
-    paths = ["src0", "src17", "app/config.py", ".env", "deploy/values.yaml", "lib/client.go", "web/index.js", "notes.txt", ""]
-    samples = ["tests/test_auth.py", "docs/example.md", "fixtures/mock.json", "README.md"]
-    out = []
-    while len(out) < n:
-        named = f'{prose()} {r.choice(["", "my_", "app.", "X-"])}{r.choice(NAMING)}{r.choice([" = ", ": ", "=", " := "])}{r.choice(["", chr(34), chr(39)])}'
-        path = r.choice(paths)
-        if r.random() < 0.5:
-            shape = r.randrange(6)
-            value = [pick(hex_, r.choice([32, 40, 64])), pick(b62, r.randint(20, 48)), pick(b64, r.choice([40, 64])), r.choice(PREFIXES[:-4]) + pick(b62, r.randint(16, 40)), "eyJ" + pick(b62, 20) + "." + pick(b62, 40) + "." + pick(b62, 43), pick(b62 + "!#%&*", r.randint(10, 18))][shape]
-            bare = shape in (3, 4) and r.random() < 0.5
-            why = "prefix" if value.startswith(PREFIXES) else "assigned"
-            out.append(Finding(value, prose() + " " if bare else named, r.choice(['"', "'", "", " "]) + prose(), path if r.random() < 0.95 else r.choice(samples), why, True))
-            continue
-        shape = r.randrange(11)
-        before, why = prose() + r.choice([" ", " commit ", " sha256 ", " id ", " at "]), "random"
-        if shape == 0:
-            value = r.choice(["_", "-", "."]).join(r.choice(pool) for _ in range(r.randint(3, 6))) + str(r.randint(0, 999))
-        elif shape == 1:
-            value = "".join(r.choice(pool).title() for _ in range(r.randint(3, 5))) + str(r.randint(0, 99))
-        elif shape == 2:
-            value = "-".join(pick(hex_, k) for k in (8, 4, 4, 4, 12))
-        elif shape == 3:
-            value = pick(hex_, r.choice([32, 40, 64]))
-        elif shape == 4:
-            value = pick(string.digits, r.randint(16, 20))
-        elif shape == 5:
-            value = f"{r.choice(pool)}.{r.choice(pool)}{r.randint(1, 99)}@{r.choice(pool)}.example.com"
+    prose = lambda low=1: " ".join(r.choice(pool) for _ in range(r.randint(low, 7)))
+    path = r.choice(["app/config.py", ".env", "deploy/values.yaml", "lib/client.go", "web/index.js", "notes.txt", "mail/0001", "crawl/part-7", "", ""])
+    joint = r.choice([" = ", ": ", "=", " := ", "=", " => "])
+    name = r.choice(["", "my_", "app.", "X-", "AWS_", "db-"]) + r.choice(NAMING)
+    quote = r.choice(["", '"', "'"])
+    before, after = prose(), r.choice([" ", ", ", "\n", ". "]) + prose()
+    if r.random() < 0.5:
+        shape = r.randrange(9)
+        value = [pick(hex_, r.choice([32, 40, 64])), pick(b62, r.randint(20, 48)), pick(b64, r.choice([40, 64])) + r.choice(["", "=", "=="]), r.choice(PREFIXES[:-4]) + pick(b62, r.randint(16, 40)), "eyJ" + pick(b62, 20) + "." + pick(b62, 40) + "." + pick(b62, 43), pick(b62 + "!#%&*", r.randint(10, 18)), pick(b62, r.randint(24, 44)), "", pick(hex_, 40)][shape]
+        if shape in (3, 4) and r.random() < 0.5:
+            head = f"{before} "
         elif shape == 6:
-            value = f"/{r.choice(pool)}/{r.choice(pool)}-{r.randint(1, 9)}.{r.randint(0, 20)}/{r.choice(pool)}.{r.choice(['py', 'html', 'tar.gz'])}"
+            head = f"{before}\nAuthorization: {r.choice(['Bearer', 'Basic', 'token'])} "
         elif shape == 7:
-            value, before, why = r.choice(STAND_IN) + r.choice(["_", "-", ""]) + r.choice(pool) + pick(string.digits, r.randint(0, 4)) + r.choice(["", "_here"]), named, "assigned"
+            value = "\n".join(pick(b64, 64) for _ in range(r.randint(2, 5))) + "\n"
+            head, after = f"{before}\n-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n" + prose()
         elif shape == 8:
-            value, before, why = r.choice(["_", ".", "-"]).join(r.choice(pool) for _ in range(r.randint(2, 4))), named, "assigned"
-        elif shape == 9:
-            value, before, why = r.choice("xX*0") * r.randint(8, 40), named, "assigned"
+            head = f"https://{r.choice(pool)}.example.com/{r.choice(pool)}?id={r.randint(1, 99)}&{r.choice(['token', 'api_key', 'secret'])}="
         else:
-            value, before, why, path = pick(b62, r.randint(16, 40)), named, "assigned", r.choice(samples)
-            before = before.replace(prose(), "") + r.choice(["example ", "dummy ", "fake "]) if r.random() < 0.5 else f"example {named}"
-        out.append(Finding(value, before, " " + prose(), path, why, False))
-    return out
+            head, after = f"{before} {name}{joint}{quote}", quote + after
+        if r.random() < 0.03:
+            path = r.choice(["tests/test_auth.py", "docs/example.md"])
+        return head + value + after, [(len(head), len(head) + len(value))], path
+    shape = r.randrange(11)
+    if shape == 0:
+        value = r.choice(["_", "-", "."]).join(r.choice(pool) for _ in range(r.randint(3, 6))) + str(r.randint(0, 999))
+    elif shape == 1:
+        value = "".join(r.choice(pool).title() for _ in range(r.randint(3, 5))) + str(r.randint(0, 99))
+    elif shape == 2:
+        value = "-".join(pick(hex_, k) for k in (8, 4, 4, 4, 12))
+    elif shape == 3:
+        value = pick(hex_, r.choice([32, 40, 64]))
+    elif shape == 4:
+        value = pick(string.digits, r.randint(16, 20))
+    elif shape == 5:
+        value = f"{r.choice(pool)}.{r.choice(pool)}{r.randint(1, 99)}@{r.choice(pool)}.example.com"
+    elif shape == 6:
+        value = f"/{r.choice(pool)}/{r.choice(pool)}-{r.randint(1, 9)}.{r.randint(0, 20)}/{r.choice(pool)}.{r.choice(['py', 'html', 'tar.gz'])}"
+    elif shape == 7:
+        value = r.choice(STAND_IN) + r.choice(["_", "-", ""]) + r.choice(pool) + pick(string.digits, r.randint(0, 4)) + r.choice(["", "_here"])
+    elif shape == 8:
+        value = r.choice(["_", ".", "-"]).join(r.choice(pool) for _ in range(r.randint(2, 4)))
+    elif shape == 9:
+        value = r.choice("xX*0") * r.randint(8, 40)
+    else:
+        value, path = pick(b62, r.randint(16, 40)), r.choice(["tests/test_auth.py", "docs/example.md", "fixtures/mock.json", "README.md"])
+        before = r.choice(["example", "dummy", "fake", "sample"])
+    head = f"{before} {name}{joint}{quote}" if shape >= 7 else before + r.choice([" ", " commit ", " sha256 ", " id ", " at ", f" {r.choice(pool)}="])
+    return head + value + (quote if shape >= 7 else "") + after, [], path
 
 
 class Forest:
@@ -248,6 +290,7 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float
     """
     from pyspark.sql import functions as F
 
+    lean(docs.sparkSession)
     forest = forest or train()
     kind = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", "text", (F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")).alias("path"))
@@ -269,8 +312,9 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("rule", T.StringType()), T.StructField("value_sha256", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("secret", T.BooleanType())]
     )
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all documents, with the verdict on each."""
     return scan_secrets(table(spark, sf_dir, "documents"))
