@@ -6,11 +6,12 @@ import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from recordscan.llm import decontaminate, linededup, simhash
+from recordscan.llm import decontaminate, linededup, secrets, simhash
 from recordscan.llm.queries import ORACLES
 
 SF = "/root/testdata/sf0.001"
@@ -92,8 +93,15 @@ def test_other_queries_give_whole_results(spark, name):
     elif name == "op4_packing":
         assert got.select("doc_id").distinct().count() == len(rows_of(spark, "documents"))
     else:
-        tokens = sum(len(re.findall('token = "[0-9a-f]{40}"', r["text"])) for r in rows_of(spark, "documents"))
-        assert got.filter("secret").count() >= tokens
+        tokens, expected, forest = 0, [], secrets.train()
+        for r in rows_of(spark, "documents"):
+            text = r["text"] or ""
+            tokens += len(re.findall('token = "[0-9a-f]{40}"', text))
+            for a, b, why in secrets.candidates(text):
+                x = secrets.features(text[a:b], text[max(0, a - secrets.NEAR) : a], text[b : b + secrets.NEAR], r["source"] or "", why)
+                score = forest.scores(np.array([x]))[0]
+                expected.append((r["doc_id"], a, b, why, hashlib.sha256(text[a:b].encode()).hexdigest(), score, score >= 0.5))
+        assert sorted(map(tuple, got.collect())) == sorted(expected) and got.filter("secret").count() >= tokens
 
 
 def test_pipeline_stages_take_effect(spark):
