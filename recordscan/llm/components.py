@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle
+from .common import frugal, release, settle
 
-#: Links that the union-find of one block holds at once.
+#: Links that the union-find of one block holds at once (about 100 MB).
 BLOCK = 500_000
 
 
@@ -58,22 +58,27 @@ def connected_components(links: DataFrame) -> DataFrame:
     and links from a node to itself add nothing; repeated links count once; no
     links give no rows.
 
-    Each round hooks every node to its smallest neighbour, shortens the
-    chains, and relabels the links, which merges nodes; no node's links are
-    ever gathered in one task (the minimum is combined before the shuffle,
-    the joins are between a side with unique keys and one that adaptive
-    execution may split).
+    Each task first replaces its links by a spanning forest. Fewer than BLOCK
+    links that are left are joined in one task; more of them go through rounds
+    that hook every node to its smallest neighbour, shorten the chains, and
+    relabel the links, which merges nodes. No node's links are ever gathered
+    in one task (the minimum is combined before the shuffle, the joins are
+    between a side with unique keys and one that adaptive execution may split).
     """
     a, b = links.columns[:2]
     e = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo"))
-    e = settle(e.mapInArrow(_forest, "hi long, lo long").distinct(), "links")
-    labels = None
-    while not e.isEmpty():
-        hook = e.groupBy("hi").agg(F.min("lo").alias("lo"))
-        for _ in range(2):
-            up = hook.select(F.col("hi").alias("lo"), F.col("lo").alias("top"))
-            hook = hook.join(up, "lo", "left").select("hi", F.coalesce("top", "lo").alias("lo"))
-        hook = settle(hook, "hooks")
+    forest = lambda df: df.mapInArrow(frugal(_forest), "hi long, lo long")
+    e = settle(forest(e), "links")
+    labels, left = None, e.count()
+    while left:
+        if left < BLOCK:
+            hook = settle(forest(e.repartition(1)), "hooks")
+        else:
+            hook = e.groupBy("hi").agg(F.min("lo").alias("lo"))
+            for _ in range(2):
+                up = hook.select(F.col("hi").alias("lo"), F.col("lo").alias("top"))
+                hook = hook.join(up, "lo", "left").select("hi", F.coalesce("top", "lo").alias("lo"))
+            hook = settle(hook, "hooks")
         to = hook.select(F.col("hi").alias("node"), F.col("lo").alias("to"))
         if labels is None:
             new = to.select("node", F.col("to").alias("component"))
@@ -81,11 +86,17 @@ def connected_components(links: DataFrame) -> DataFrame:
             new = labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
             # Nodes that were hooked for the first time in this round
             new = new.unionByName(to.join(labels, "node", "left_anti").select("node", F.col("to").alias("component")))
+        if left < BLOCK and labels is None:
+            labels = new
+            break
         labels = settle(new, "labels", drop=labels)
+        if left < BLOCK:
+            break
         r = e.join(to.withColumnRenamed("node", "hi"), "hi", "left").select(F.coalesce("to", "hi").alias("hi"), "lo")
         r = r.join(to.withColumnRenamed("node", "lo"), "lo", "left").select("hi", F.coalesce("to", "lo").alias("lo"))
         r = r.filter("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
-        e = settle(r.mapInArrow(_forest, "hi long, lo long").distinct(), "links", drop=e)
+        e = settle(forest(r), "links", drop=e)
+        left = e.count()
         release(hook)
     if labels is None:
         return links.sparkSession.createDataFrame([], "node long, component long")

@@ -176,7 +176,7 @@ NEAR_WORDS, NEAR = 5, 0.8
 #: The stage's candidates: words of their fingerprints' shingles, and bits in which they may differ: 3 * GROUPS - 1, what shared points of a group reach.
 NEAR_FP_WORDS, NEAR_LIMIT = 3, 3 * GROUPS - 1
 #: Close pairs for each member of a bucket beyond which it is connected in rounds.
-CROWDED = 8
+CROWDED = 4
 _ROW = "tbl int, key int, fp long, node long, doc long"
 _PAIR = "a long, b long, doc_a long, doc_b long"
 _AROUND = np.concatenate([[0], 1 << np.arange(16)])
@@ -360,7 +360,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def tried(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.select("a", "b", "doc_a", "doc_b"), "near-pairs")
-        needed = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+        needed = pairs.select(F.col("doc_a").alias("doc_id")).unionByName(pairs.select(F.col("doc_b").alias("doc_id"))).distinct()
         sets = settle(docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(frugal(_shingle_sets), "node long, set binary").dropDuplicates(["node"]), "near-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         links = settle(both.mapInArrow(frugal(_similar), "doc_a long, doc_b long"), "near-links", drop=sets)
@@ -368,10 +368,10 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         return links
 
     def some(found: DataFrame) -> DataFrame:
-        """Of the pairs of kind 2, at most four for each text."""
+        """Of the pairs of kind 2, at most two for each text: others are tried in later rounds, if they are still needed."""
         pairs = found.filter("kind = 2").select("a", "b", "doc_a", "doc_b").distinct()
         rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
-        return pairs.withColumn("rank", rank).filter("rank <= 4").drop("rank")
+        return pairs.withColumn("rank", rank).filter("rank <= 2").drop("rank")
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("tbl", "key").sortWithinPartitions("tbl", "key", "fp", "node")
@@ -381,7 +381,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     crowded = found.filter("kind = 1").select("tbl", "key", "fp", F.col("a").alias("node"), F.col("doc_a").alias("doc"))
     if crowded.isEmpty():
         return links
-    for whole in (False, False, True):
+    for whole in (False, True):
         comp = connected_components(links).select(F.col("node").alias("doc"), "component")
         rows = crowded.join(comp, "doc", "left").select("tbl", "key", "fp", "node", "doc", F.coalesce("component", "doc").alias("comp"))
         more = settle(dealt(rows).mapInArrow(frugal(_between(whole)), _FOUND), "near-found")
