@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 
 
+#: Files of a settled frame for each core of the cluster.
+FILES = 3
 #: Bytes and rows of an Arrow batch: whole texts travel in them, and a batch exists in the JVM and in Python at once.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
@@ -66,15 +68,17 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def settle(df: DataFrame, label: str, drop: DataFrame | None = None) -> DataFrame:
+def settle(df: DataFrame, label: str, drop: DataFrame | None = None, few: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor costs no more than reading those files again. drop: an
-    earlier settled frame that nothing needs any more; its files are deleted.
+    A lost executor costs no more than reading those files again. A core writes
+    a few files, one partition after the other, however many partitions there
+    are. drop: an earlier settled frame that nothing needs any more; its files
+    are deleted.
     """
     spark = df.sparkSession
     path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(FILES * max(4, spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._settled_at = path
     if drop is not None:

@@ -67,7 +67,7 @@ def tokenize(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) ->
     Only documents of more than `size` ids are cut: into pieces of `size`, the
     first of which is shorter where that does not come out even. ids are
     little-endian unsigned 32-bit numbers. nth counts the pieces of equal
-    length within the task `part`; write the result before reading it twice.
+    length within the task `part`: write the result as it is before it is read.
     """
     path = tokenizer or default_tokenizer()
 
@@ -246,7 +246,7 @@ def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = No
     null; an empty table gives no rows.
     """
     pieces = tokenize(docs, size, tokenizer).withColumn("ids_crc32", F.crc32("ids"))
-    return pack_pieces(settle(pieces if with_ids else pieces.drop("ids"), "pieces"), size)
+    return pack_pieces(settle(pieces if with_ids else pieces.drop("ids"), "pieces", few=False), size)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
