@@ -16,6 +16,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import render
 from .catalogue import DIGITS, NORMAL, PHONE, query
 from .engine import annotate, search
 from .operators import provenance
@@ -23,6 +24,7 @@ from .options import SafetyLimits, SearchOptions
 from .plans import index as ix
 from .sources.archives import ReadOptions, inspect, members, read_tagged, records_of, stats_of, validated
 from .sources.tables import read_table
+from .streaming.ingest import match_stream
 
 #: Documents of an archive, customers of an archive; a folder has as many archives as the table asks for.
 DOCS, CUSTOMERS = 100, 250
@@ -501,3 +503,79 @@ def advanced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def advanced_csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = search(spark, customer_archives(spark, sf_dir), SearchOptions(advanced="fields:segment machinery format:csv", limits=LAX))
     return _named(r.matches).select("archive", "member", "text")
+
+
+# what is made of a result
+
+_WORDS = "regexp_extract_all(text, '(?i)(?:^|[^\\p{L}\\p{N}])((?:released|thereof)[\\p{L}\\p{N}]*)', 1)"
+
+
+@query(
+    _first(f"{_SCORE} > 0", "'index'", _SCORE, "score DESC, archive, member, line", 200).replace(
+        "SELECT archive, member, line, text, score, 'index' AS execution_path FROM",
+        f"SELECT archive, member, line, array_to_string({_WORDS}, '|') AS said, array_to_string(list_filter([CASE WHEN regexp_matches(' ' || n, ' released') THEN 'released' END, CASE WHEN regexp_matches(' ' || n, ' thereof') THEN 'thereof' END], lambda x: x IS NOT NULL), '|') AS asked FROM",
+    )
+)
+def engine_smart_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of text and pattern that a ranked search's spans cover."""
+    o = SearchOptions(("released thereof",), smart=True, limits=LAX, max_matches=200)
+    r = search(spark, indexed_archives(spark, sf_dir), o)
+    cut = lambda text, spans: F.array_join(F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])), "|")
+    return _named(r.matches).select("archive", "member", "line", cut(F.col("text"), F.col("text_spans")).alias("said"), cut(F.lit(o.patterns[0]), F.col("query_spans")).alias("asked"))
+
+
+_LICENSED = _first("contains(lower(text), 'licensed under')")
+
+
+@query(f"SELECT text AS key, count(*) AS n FROM ({_LICENSED}) GROUP BY text")
+def engine_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark, indexed_archives(spark, sf_dir), SearchOptions(("licensed under",), limits=LAX)).groups("exact").select("key", "n")
+
+
+@query(f"SELECT archive, member, CAST(max(score) AS INT) AS best, count(*) AS n, string_agg(line || ':' || text, '|' ORDER BY line) AS said FROM ({_LICENSED}) GROUP BY archive, member")
+def engine_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of a result with their rows."""
+    tree = _named(search(spark, indexed_archives(spark, sf_dir), SearchOptions(("licensed under",), limits=LAX)).tree())
+    said = F.array_join(F.transform("rows", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["text"])), "|")
+    return tree.select("archive", "member", "best", "n", said.alias("said"))
+
+
+@query(f"SELECT archive, member, line, text FROM ({_LICENSED})")
+def export_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result exported as JSON lines, read again."""
+    out = os.path.join(shared_folder(spark), "jsonl")
+    render.write(search(spark, indexed_archives(spark, sf_dir), SearchOptions(("licensed under",), limits=LAX)).matches, out, "jsonl")
+    return _named(spark.read.schema("archive string, member string, line long, text string").json(out))
+
+
+@query(f"SELECT archive, member, line, text, 'scan' AS execution_path FROM ({_LICENSED})")
+def cli_search_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints for at most 1,000 matches."""
+    from . import cli
+
+    out, err = io.StringIO(), io.StringIO()
+    code = cli.main(["search", document_archives(spark, sf_dir), "licensed under", "--jsonl", "--max-ratio", "1000000", "--max-member-mib", "2048", "--no-index"], out, err)
+    if code != cli.OK:
+        raise RuntimeError(err.getvalue())
+    found = [m for m in map(json.loads, out.getvalue().splitlines()) if m["type"] == "match"]
+    rows = [(m["archive"], m["member"], m["line"], m["text"], m["execution_path"]) for m in found]
+    return _named(spark.createDataFrame(rows, "archive string, member string, line long, text string, execution_path string"))
+
+
+@query(f"WITH {DOC} SELECT archive, member, line, text FROM doc WHERE contains(lower(text), 'licensed under')")
+def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A standing query over the folder, as a stream that ends when it has seen all archives."""
+    folder, work = document_archives(spark, sf_dir), shared_folder(spark)
+    found = match_stream(spark, folder, SearchOptions(("licensed under",), limits=LAX)).select("archive", "member", "line", "text")
+    found.writeStream.format("parquet").option("path", os.path.join(work, "found")).option("checkpointLocation", os.path.join(work, "at")).trigger(availableNow=True).start().awaitTermination()
+    return _named(spark.read.schema(found.schema).parquet(os.path.join(work, "found")))
+
+
+@query(f"SELECT c_custkey, {NORMAL.format('c_name')} AS n, {PHONE.format('c_name')} AS d, CASE WHEN contains({NORMAL.format('c_name')}, 'customer 00') THEN 502 ELSE 311 END AS score FROM customer")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions under their SQL names."""
+    from .functions.registry import register
+
+    register(spark)
+    read_table(spark, sf_dir, "customer", "c_custkey", "c_name").createOrReplaceTempView("recordscan_customer")
+    return spark.sql("SELECT c_custkey, normalize_text(c_name) AS n, phone_digits(c_name) AS d, smart_score(c_name, 'customer 00') AS score FROM recordscan_customer")

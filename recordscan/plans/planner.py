@@ -75,9 +75,8 @@ def plan_search(spark: SparkSession, path: str, options: SearchOptions, index_pa
     if known_status.state not in ("READY", "STALE", "BUILDING"):
         return SearchPlan("scan", f"the index is {known_status.state}", known_status)
     try:
-        fresh = {r["relative"]: r["archive"] for r in cover.filter("state = 'fresh'").collect()}
         uncovered = sorted(r["archive"] for r in cover.filter("state IN ('new', 'changed')").collect())
-        names = spark.createDataFrame(list(fresh.items()), "relative string, archive string") if fresh else spark.createDataFrame([], "relative string, archive string")
+        names = cover.filter("state = 'fresh'").select("relative", "archive")
         found = ix.candidates(spark, at, options, known).join(names, "relative").select("archive", "route", "line").persist()
         by_member = found.groupBy("archive", "route").agg(F.count(F.lit(1)).alias("n")).limit(PLAN_MEMBERS + 1).collect()
     finally:

@@ -239,8 +239,42 @@ def test_command_line(spark, corpus):
     assert run("index", "build", root)[0] == 0 and run("index", "verify", root)[0] == 0
     assert json.loads(run("index", "status", root, "--json")[1])["state"] == "READY"
     assert run("index", "compact", root)[0] == 0 and run("index", "clean", root)[0] == 0
+    told = json.loads(run("inspect", str(corpus / "1.zip"), "--json")[1])
+    assert set(told) == {"archive", "members", "declared_uncompressed_bytes", "issues"} and told["members"] > 0
+    generations = []
+    for action in ("build", "update", "build", "build"):
+        assert run("index", action, root)[0] == 0
+        generations.append(json.loads(run("index", "status", root, "--json")[1])["generations"])
+    assert generations[0] == generations[1] == generations[2] == generations[3]  # made anew, not added to
+    with pytest.raises(SystemExit) as stop:
+        run("--version")
+    assert stop.value.code == 0
+    for wrong in (("search", root, "a", "--max-matches", "0"), ("search", root), ("index", root), ("search", root, "a", "--group-by", "x")):
+        with pytest.raises(SystemExit) as stop:
+            run(*wrong)
+        assert stop.value.code == 2
     (corpus / "bad.zip").write_bytes(b"x")
     assert run("search", root, "unique3", "-q")[0] == 1
+    code, out, _ = run("inspect", str(corpus / "bad.zip"), "--json")
+    assert code == 1 and json.loads(out)["issues"][0]["kind"] == "archive"
+
+
+def test_cells_of_sheets():
+    from recordscan.sources.decoders import sheet_records
+
+    rows = (
+        '<row><c><v>1</v><v>2</v></c><c><v/><is><t>in</t></is></c><c><is><r><t>a</t></r><r><t>b<x>no</x>tail</t></r></is></c><c t="s"><v>0</v></c><c t="s"><v>9</v></c><c t="s"><v>x</v></c></row><row><c/></row>'
+        '<row><c><f><v>inner</v></f></c><c><v>&amp; é</v></c></row><row xmlns=""><c><v>no namespace</v></c></row>'
+    )
+    found = list(sheet_records(io.BytesIO(xlsx_bytes(rows, "<si><t>one</t><r><t> two</t></r></si>")), "auto", 1 << 20))
+    assert found == [(1, "1 in ab one two 9 x"), (3, "& é")]
+
+
+def test_blocks_inside_blocks_are_records_of_their_own():
+    from recordscan.sources.decoders import office_records
+
+    said = '<w:d xmlns:w="urn:w"><w:p>outer <w:p> inner </w:p>end</w:p><w:p>  </w:p><w:t>no</w:t><p>no</p></w:d>'
+    assert list(office_records(".docx")(io.BytesIO(zip_bytes({"word/document.xml": said, "word/header1.xml": '<w:p xmlns:w="u">head</w:p>', "word/other.xml": '<w:p xmlns:w="u">no</w:p>'})), "auto", 1 << 20)) == [(1, "inner"), (2, "outer end"), (3, "head")]
 
 
 def test_exports(spark, corpus, tmp_path):
