@@ -116,26 +116,48 @@ class Plan:
         self.sequences += n
 
 
-def _exact_fill(gap: int, have: np.ndarray, parts: int) -> tuple[int, ...] | None:
-    """Available lengths, `parts` of them, that sum to gap; the largest first."""
-    if parts == 1:
-        return (gap,) if have[gap] else None
-    if parts == 2:
-        low = np.arange(1, gap // 2 + 1)
-        ok = (have[low] > 0) & (have[gap - low] > 0)
-        if gap % 2 == 0 and gap and have[gap // 2] < 2:
-            ok[-1] = False
-        i = np.flatnonzero(ok)
-        return (int(gap - low[i[0]]), int(low[i[0]])) if len(i) else None
-    for a in np.flatnonzero(have[: gap - 1])[::-1].tolist():
-        if 3 * a < gap:
-            break
-        have[a] -= 1
-        rest = _exact_fill(gap - a, have, 2)
-        have[a] += 1
-        if rest and rest[0] <= a:
-            return (a, *rest)
-    return None
+class Sums:
+    """An index of what the lengths at hand sum to, under how many there are of each.
+
+    Single lengths are looked up by their count. pairs[s] says how many ordered
+    pairs of lengths make s, and follows as lengths run out. A triple is a
+    length whose complement is a pair's sum.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.live = (have > 0).astype(np.int64)
+        self.pairs = np.convolve(self.live, self.live)[: len(have)]
+
+    def take(self, need: dict[int, int], n: int) -> None:
+        for x, k in need.items():
+            self.have[x] -= n * k
+            if not self.have[x]:
+                self.live[x] = 0
+                self.pairs[x:] -= 2 * self.live[: len(self.pairs) - x]
+                if 2 * x < len(self.pairs):
+                    self.pairs[2 * x] -= 1
+
+    def fill(self, gap: int, parts: int, most: int) -> tuple[int, ...] | None:
+        """Lengths at hand of at most `most`, `parts` of them, that sum to gap; the largest first."""
+        have = self.have
+        if parts == 1:
+            return (gap,) if gap <= most and have[gap] else None
+        if parts == 2:
+            if not self.pairs[gap]:
+                return None
+            low = np.arange(max(1, gap - most), gap // 2 + 1)
+            ok = (have[low] > 0) & (have[gap - low] > np.where(low == gap - low, 1, 0))
+            i = np.flatnonzero(ok)
+            return (int(gap - low[i[0]]), int(low[i[0]])) if len(i) else None
+        first = np.arange(-(-gap // 3), min(gap - 2, most) + 1)
+        for a in first[(have[first] > 0) & (self.pairs[gap - first] > 0)][::-1].tolist():
+            have[a] -= 1
+            rest = self.fill(gap - a, 2, a)
+            have[a] += 1
+            if rest:
+                return (a, *rest)
+        return None
 
 
 def plan_packing(counts: dict[int, int], size: int = SIZE) -> Plan:
@@ -153,22 +175,22 @@ def plan_packing(counts: dict[int, int], size: int = SIZE) -> Plan:
     if have[size]:
         plan.put([(size, 1)], int(have[size]))
         have[size] = 0
+    sums = Sums(have)
     for large in range(size - 1, 0, -1):
         gap = size - large
         for parts in (1, 2, 3):
-            while have[large]:
+            while have[large] and gap >= parts:
                 have[large] -= 1
-                fill = _exact_fill(gap, have, parts) if gap >= parts else None
+                fill = sums.fill(gap, parts, large)
                 have[large] += 1
-                if not fill or fill[0] > large:
+                if not fill:
                     break
                 need: dict[int, int] = {}
                 for x in (large, *fill):
                     need[x] = need.get(x, 0) + 1
                 n = min(int(have[x]) // k for x, k in need.items())
                 plan.put(sorted(need.items(), reverse=True), n)
-                for x, k in need.items():
-                    have[x] -= n * k
+                sums.take(need, n)
     # best fit, the longest first: bins of equal gaps and contents are kept as one
     bins: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     gaps: list[int] = []
