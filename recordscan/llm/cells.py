@@ -16,29 +16,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a tile.
+#: Rows of a tile, where nothing else is said.
 TILE = 1024
 #: What a row of a crowded cell is given beside its cell; `other` is -1 in cells that are not crowded, and `tile` for a tile among itself.
 PLACE = ["tile", "other"]
 
 
-def tiled(dealt: DataFrame, cell: list[str]) -> DataFrame:
+def tiled(dealt: DataFrame, cell: list[str], rows: int = TILE) -> DataFrame:
     """dealt (cell columns, home, id, ...) with PLACE, and home as it is there; sorted by all of it, home rows first.
 
-    Which cells are crowded is a table of far fewer rows; whether it is
+    rows: those of a tile. Which cells are crowded is a table of far fewer rows; whether it is
     broadcast is left to its size.
     """
     homes, guests = F.count_if(F.col("home")), F.count_if(~F.col("home"))
-    crowd = dealt.groupBy(*cell).agg(homes.alias("homes"), guests.alias("guests")).filter((F.col("homes") > TILE) | (F.col("homes") > 0) & (F.col("guests") > TILE))
-    crowd = crowd.select(*cell, F.ceil(F.col("homes") / TILE).cast("int").alias("n"), F.ceil(F.col("guests") / TILE).cast("int").alias("m"))
+    crowd = dealt.groupBy(*cell).agg(homes.alias("homes"), guests.alias("guests")).filter((F.col("homes") > rows) | (F.col("homes") > 0) & (F.col("guests") > rows))
+    crowd = crowd.select(*cell, F.ceil(F.col("homes") / rows).cast("int").alias("n"), F.ceil(F.col("guests") / rows).cast("int").alias("m"))
     at = """CASE WHEN n IS NULL THEN array(named_struct('tile', 0, 'other', -1, 'home', home))
         WHEN home THEN concat(transform(sequence(own, n + m - 1), j -> named_struct('tile', own, 'other', j, 'home', true)),
             transform(filter(sequence(0, own), j -> j < own), j -> named_struct('tile', j, 'other', own, 'home', false)))
         ELSE transform(sequence(0, n - 1), i -> named_struct('tile', i, 'other', n + own, 'home', false)) END"""
     own = F.expr("CAST(pmod(xxhash64(id), CASE WHEN home THEN n ELSE m END) AS INT)")
-    rows = dealt.join(crowd, cell, "left").withColumn("own", own).withColumn("at", F.explode(F.expr(at)))
-    rows = rows.select(*cell, "at.*", *(c for c in dealt.columns if c not in (*cell, "home")))
-    return rows.repartition(*cell, *PLACE).sortWithinPartitions(*cell, *PLACE, F.desc("home"), "id")
+    placed = dealt.join(crowd, cell, "left").withColumn("own", own).withColumn("at", F.explode(F.expr(at)))
+    placed = placed.select(*cell, "at.*", *(c for c in dealt.columns if c not in (*cell, "home")))
+    return placed.repartition(*cell, *PLACE).sortWithinPartitions(*cell, *PLACE, F.desc("home"), "id")
 
 
 def meetings(batches: Iterator[pa.RecordBatch], cell: list[str], columns: list[str]) -> Iterator[tuple[tuple, tuple, tuple | None]]:

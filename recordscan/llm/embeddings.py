@@ -34,6 +34,8 @@ WIDTH = 6
 SCALE = 8192
 #: Coordinates of a block that make its grid: each one more deals half as many rows again and nearly halves the pairs that meet.
 GRID = 2
+#: Rows of a tile of a crowded cell.
+TILE = 2048
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -202,10 +204,10 @@ def embedding_links(reps: DataFrame, cosine: float, grid: int = GRID) -> DataFra
     label = reps.schema["label"].dataType.simpleString()
     schema = f"label {label}, dims int, block int, cell long, home boolean, id long, copies long, code binary"
     dealt = reps.select("label", "dims", "rep", "copies", "embedding").mapInArrow(frugal(_deal(cosine, grid)), schema)
-    found = settle(tiled(settle(dealt, "cells"), _CELL).mapInArrow(frugal(_meet(cosine)), "kind int, a long, b long"), "embedding-found")
+    found = settle(tiled(settle(dealt, "cells"), _CELL, TILE).mapInArrow(frugal(_meet(cosine)), "kind int, a long, b long"), "embedding-found", few=True)
     side = lambda rep, vector, copies: reps.select(F.col("rep").alias(rep), F.col("embedding").alias(vector), F.col("copies").alias(copies))
     both = found.filter("kind = 2").select("a", "b").join(side("a", "one", "copies_a"), "a").join(side("b", "other", "copies_b"), "b")
-    sure = settle(both.select("a", "b", "copies_a", "copies_b", "one", "other").mapInArrow(frugal(_verified(cosine)), "a long, b long, copies_a long, copies_b long"), "embedding-verified")
+    sure = settle(both.select("a", "b", "copies_a", "copies_b", "one", "other").mapInArrow(frugal(_verified(cosine)), "a long, b long, copies_a long, copies_b long"), "embedding-verified", few=True)
     counts = [sure.select(F.lit(0).alias("kind"), F.col(x).alias("a"), F.col(f"copies_{y}").alias("b")) for x, y in ("ab", "ba")]
     return found.filter("kind < 2").unionByName(sure.select(F.lit(1).alias("kind"), "a", "b")).unionByName(counts[0]).unionByName(counts[1])
 
@@ -224,8 +226,8 @@ def embedding_components(rows: DataFrame, cosine: float = 0.93, grid: int = GRID
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be over 0 and at most 1")
     lean(rows.sparkSession)
-    reps = settle(distinct_vectors(rows), "vectors")
-    found = settle(embedding_links(reps, cosine, grid), "embedding-links")
+    reps = settle(distinct_vectors(rows), "vectors", few=True)
+    found = settle(embedding_links(reps, cosine, grid), "embedding-links", few=True)
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     comp = connected_components(found.filter("kind = 1").select("a", "b"))
     by_rep = reps.select("label", "embedding", "rep", "copies").join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
