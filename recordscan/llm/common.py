@@ -68,13 +68,13 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def settle(df: DataFrame, label: str, drop: DataFrame | None = None, few: bool = True) -> DataFrame:
+def settle(df: DataFrame, label: str, drop: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor costs no more than reading those files again. A core writes
-    a few files, one partition after the other, however many partitions there
-    are. drop: an earlier settled frame that nothing needs any more; its files
-    are deleted.
+    A lost executor costs no more than reading those files again. few: a small
+    table that comes out of a shuffle; a core writes a few files of it, one
+    partition after the other. drop: an earlier settled frame that nothing
+    needs any more; its files are deleted.
     """
     spark = df.sparkSession
     path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"

@@ -68,17 +68,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     a, b = links.columns[:2]
     e = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo"))
     forest = lambda df: df.mapInArrow(frugal(_forest), "hi long, lo long")
-    e = settle(forest(e), "links")
+    e = settle(forest(e), "links", few=True)
     labels, left = None, e.count()
     while left:
         if left < BLOCK:
-            hook = settle(forest(e.repartition(1)), "hooks")
+            hook = settle(forest(e.repartition(1)), "hooks", few=True)
         else:
             hook = e.groupBy("hi").agg(F.min("lo").alias("lo"))
             for _ in range(2):
                 up = hook.select(F.col("hi").alias("lo"), F.col("lo").alias("top"))
                 hook = hook.join(up, "lo", "left").select("hi", F.coalesce("top", "lo").alias("lo"))
-            hook = settle(hook, "hooks")
+            hook = settle(hook, "hooks", few=True)
         to = hook.select(F.col("hi").alias("node"), F.col("lo").alias("to"))
         if labels is None:
             new = to.select("node", F.col("to").alias("component"))
@@ -89,13 +89,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         if left < BLOCK and labels is None:
             labels = new
             break
-        labels = settle(new, "labels", drop=labels)
+        labels = settle(new, "labels", few=True, drop=labels)
         if left < BLOCK:
             break
         r = e.join(to.withColumnRenamed("node", "hi"), "hi", "left").select(F.coalesce("to", "hi").alias("hi"), "lo")
         r = r.join(to.withColumnRenamed("node", "lo"), "lo", "left").select("hi", F.coalesce("to", "lo").alias("lo"))
         r = r.filter("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
-        e = settle(forest(r), "links", drop=e)
+        e = settle(forest(r), "links", few=True, drop=e)
         left = e.count()
         release(hook)
     if labels is None:
