@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cells import Merger, gathered, meetings, tiled
+from .cells import TILE, Merger, gathered, meetings, tiled
 from .common import frugal, lean, release, settle, slices, table
 from .components import connected_components
 
@@ -140,7 +140,7 @@ def simhash_links(fps: DataFrame, limit: int = LIMIT, rings: int = RINGS) -> Dat
     it. rings, at most 11: how many pivots deal.
     """
     dealt = fps.mapInArrow(frugal(_deal(rings, limit)), "cell long, home boolean, id long, fp long")
-    return settle(tiled(dealt, ["cell"]).mapInArrow(frugal(_meet(rings, limit)), "a long, b long"), "simhash-links")
+    return settle(tiled(dealt, ["cell"], TILE).mapInArrow(frugal(_meet(rings, limit)), "a long, b long"), "simhash-links", few=True)
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     """
     lean(docs.sparkSession)
     fps = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(_fingerprints), "doc_id long, fp long"), "fingerprints")
-    nodes = settle(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
+    nodes = settle(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes", few=True)
     links = simhash_links(nodes)
     same = fps.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id")
     repeats = fps.join(same, "doc_id", "left_semi").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
@@ -176,7 +176,7 @@ NEAR_WORDS, NEAR = 5, 0.8
 #: The stage's candidates: words of their fingerprints' shingles, and bits in which they may differ: 3 * GROUPS - 1, what shared points of a group reach.
 NEAR_FP_WORDS, NEAR_LIMIT = 3, 3 * GROUPS - 1
 #: Close pairs for each member of a bucket beyond which it is connected in rounds.
-CROWDED = 4
+CROWDED = 2
 _ROW = "tbl int, key int, fp long, node long, doc long"
 _PAIR = "a long, b long, doc_a long, doc_b long"
 _AROUND = np.concatenate([[0], 1 << np.arange(16)])
@@ -313,7 +313,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _found(1, tbl, key, fp, node, doc, np.arange(len(u)))
                 mates = np.zeros(len(u), np.int64)
                 for d in range(1, min(16, len(u))):
-                    i = np.flatnonzero((np.bitwise_count(u[:-d] ^ u[d:]) <= NEAR_LIMIT) & (mates[:-d] < 2))
+                    i = np.flatnonzero((np.bitwise_count(u[:-d] ^ u[d:]) <= NEAR_LIMIT) & (mates[:-d] < 1))
                     mates[i] += 1
                     yield _found(2, tbl, key, fp, node, doc, i, i + d)
             elif n:
@@ -322,25 +322,55 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from gathered(each())
 
 
+#: Buckets of a text's sketch.
+SKETCH = 256
+
+
+def sketch(text: bytes | None) -> np.ndarray:
+    """How many of a text's shingles fall into each of SKETCH buckets."""
+    return np.bincount(shingles(text) % SKETCH, minlength=SKETCH).astype(np.int32)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 2_000_000):
+        texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sketch(x).tobytes() for x in texts], pa.binary())], ["doc", "sketch"])
+
+
+def _may_be_similar(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether texts can have a similarity of NEAR: in a bucket they share no more shingles than the one with fewer has."""
+    out = [np.zeros(0, bool)]
+    size = sketches.sum(1)
+    for s in range(0, len(i), 20_000):
+        ii, jj = i[s : s + 20_000], j[s : s + 20_000]
+        shared = np.minimum(sketches[ii], sketches[jj]).sum(1)
+        out.append(shared >= NEAR * (size[ii] + size[jj] - shared))
+    return np.concatenate(out)
+
+
 def _between(whole: bool):
-    """Close pairs of crowded buckets between components: all, or for each row outside the bucket's largest component some."""
+    """Close pairs of crowded buckets between components that may be similar: all, or for each row outside the bucket's largest component some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
-            for tbl, key, fp, node, doc, comp in _buckets(batches, ["tbl", "key", "fp", "node", "doc", "comp"]):
+            for tbl, key, fp, node, doc, comp, held in _buckets(batches, ["tbl", "key", "fp", "node", "doc", "comp", "sketch"]):
                 u = fp.view(np.uint64)
+                of = np.frombuffer(b"".join(held), np.int32).reshape(-1, SKETCH)
                 kinds, place, n = np.unique(comp, return_inverse=True, return_counts=True)
                 out = np.flatnonzero(place != n.argmax())
                 if whole:
                     for i, j in _close(u, tbl[0], key[0], out, comp):
-                        yield _found(0, tbl, key, fp, node, doc, i, j)
+                        ok = _may_be_similar(of, i, j)
+                        yield _found(0, tbl, key, fp, node, doc, i[ok], j[ok])
                     continue
                 mates = np.zeros(len(u), np.int64)
                 for d in range(1, min(64, len(u))):
                     to = (out + d) % len(u)
                     ok = (np.bitwise_count(u[out] ^ u[to]) <= NEAR_LIMIT) & (comp[out] != comp[to]) & (mates[out] < 2)
-                    mates[out[ok]] += 1
-                    yield _found(2, tbl, key, fp, node, doc, out[ok], to[ok])
+                    i, j = out[ok], to[ok]
+                    ok = _may_be_similar(of, i, j)
+                    mates[i[ok]] += 1
+                    yield _found(2, tbl, key, fp, node, doc, i[ok], j[ok])
 
         yield from gathered(each())
 
@@ -355,15 +385,16 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     bits; near-duplicates are those with a Jaccard similarity of NEAR or more
     in shingles of NEAR_WORDS words. Buckets in which very many are close are
     not paired at once: some pairs are tried first, then all those between
-    components that have not met.
+    components that have not met. There, a bound on the similarity from counts
+    of shingles discards pairs before their shingles are fetched.
     """
 
     def tried(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs.select("a", "b", "doc_a", "doc_b"), "near-pairs")
+        pairs = settle(pairs.select("a", "b", "doc_a", "doc_b"), "near-pairs", few=True)
         needed = pairs.select(F.col("doc_a").alias("doc_id")).unionByName(pairs.select(F.col("doc_b").alias("doc_id"))).distinct()
-        sets = settle(docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(frugal(_shingle_sets), "node long, set binary").dropDuplicates(["node"]), "near-sets")
+        sets = settle(docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(frugal(_shingle_sets), "node long, set binary").dropDuplicates(["node"]), "near-sets", few=True)
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        links = settle(both.mapInArrow(frugal(_similar), "doc_a long, doc_b long"), "near-links", drop=sets)
+        links = settle(both.mapInArrow(frugal(_similar), "doc_a long, doc_b long"), "near-links", few=True, drop=sets)
         release(pairs)
         return links
 
@@ -376,15 +407,17 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("tbl", "key").sortWithinPartitions("tbl", "key", "fp", "node")
 
-    found = settle(dealt(nodes.select("fp", "node", "doc").mapInArrow(frugal(_points), _ROW)).mapInArrow(frugal(_candidates), _FOUND), "near-found")
+    found = settle(dealt(nodes.select("fp", "node", "doc").mapInArrow(frugal(_points), _ROW)).mapInArrow(frugal(_candidates), _FOUND), "near-found", few=True)
     links = tried(found.filter("kind = 0").unionByName(some(found), allowMissingColumns=True))
     crowded = found.filter("kind = 1").select("tbl", "key", "fp", F.col("a").alias("node"), F.col("doc_a").alias("doc"))
     if crowded.isEmpty():
         return links
-    for whole in (False, True):
+    members = docs.join(crowded.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sketches = settle(members.mapInArrow(frugal(_sketches), "doc long, sketch binary").dropDuplicates(["doc"]), "near-sketches", few=True)
+    for whole in (False, False, True):
         comp = connected_components(links).select(F.col("node").alias("doc"), "component")
-        rows = crowded.join(comp, "doc", "left").select("tbl", "key", "fp", "node", "doc", F.coalesce("component", "doc").alias("comp"))
-        more = settle(dealt(rows).mapInArrow(frugal(_between(whole)), _FOUND), "near-found")
+        rows = crowded.join(comp, "doc", "left").join(sketches, "doc").select("tbl", "key", "fp", "node", "doc", F.coalesce("component", "doc").alias("comp"), "sketch")
+        more = settle(dealt(rows).mapInArrow(frugal(_between(whole)), _FOUND), "near-found", few=True)
         links = links.unionByName(tried(more if whole else some(more)))
     return links
 
@@ -401,7 +434,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fps = settle(docs.mapInArrow(frugal(_nodes(NEAR_FP_WORDS)), "doc_id long, fp long, node long"), "near-fingerprints")
-    nodes = settle(fps.filter("doc_id IS NOT NULL").groupBy("node", "fp").agg(F.min("doc_id").alias("doc")), "near-nodes")
+    nodes = settle(fps.filter("doc_id IS NOT NULL").groupBy("node", "fp").agg(F.min("doc_id").alias("doc")), "near-nodes", few=True)
     same = fps.join(nodes, ["node", "fp"]).filter("doc_id <> doc").select(F.col("doc_id").alias("doc_a"), F.col("doc").alias("doc_b"))
     comp = connected_components(near_links(docs, nodes).unionByName(same)).withColumnRenamed("node", "doc_id")
     out = fps.join(comp, "doc_id", "left")

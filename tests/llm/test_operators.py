@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recordscan.llm import cells, chat, decontaminate, embeddings, htmltext, langid, licenses, linededup, packing, secrets, simhash
+from recordscan.llm import chat, decontaminate, embeddings, htmltext, langid, licenses, linededup, packing, secrets, simhash
 from recordscan.llm import components
 from recordscan.llm.components import connected_components
 
@@ -237,6 +237,24 @@ def test_exact_complements_are_found():
         packing.plan_packing({9: 1}, 8)
 
 
+def test_sums_of_lengths_at_hand_are_found_and_follow():
+    from itertools import combinations_with_replacement
+
+    for seed in range(60):
+        r = random.Random(seed)
+        have = np.zeros(25, np.int64)
+        for x in r.sample(range(1, 25), r.randint(1, 9)):
+            have[x] = r.randint(1, 3)
+        sums = packing.Sums(have)
+        while have.any():
+            for parts, gap, most in ((k, g, m) for k in (1, 2, 3) for g in range(k, 25) for m in (g, 12)):
+                choices = [c for c in combinations_with_replacement(np.flatnonzero(have).tolist(), parts) if sum(c) == gap and max(c) <= most and all(have[x] >= n for x, n in Counter(c).items())]
+                found = sums.fill(gap, parts, most)
+                assert (found is None) == (not choices) and (found is None or tuple(sorted(found)) in choices)
+            x = r.choice(np.flatnonzero(have).tolist())
+            sums.take({x: 1}, r.randint(1, int(have[x])))
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -287,7 +305,7 @@ def test_fingerprints_follow_their_definition():
 
 @pytest.mark.parametrize("tile, rings", [(5, 1), (3, 3), (2048, 6), (16, 11)])
 def test_links_reach_all_close_fingerprints(spark, monkeypatch, tile, rings):
-    monkeypatch.setattr(cells, "TILE", tile)
+    monkeypatch.setattr(simhash, "TILE", tile)
     r = np.random.default_rng(tile)
     base = r.integers(0, 2**64, 30, dtype=np.uint64)
     near = [b ^ np.bitwise_xor.reduce(np.uint64(1) << r.integers(0, 64, r.integers(0, 6)).astype(np.uint64), initial=np.uint64(0)) for b in base for _ in range(8)]
@@ -319,7 +337,21 @@ def test_simhash_edge_cases(spark):
     assert simhash.simhash_components(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [0, 8])
+def test_sketches_bound_similarity_from_above():
+    r = random.Random(4)
+    word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz")
+    texts = [" ".join(word() for _ in range(r.choice([3, 40, 600, 3000]))) for _ in range(20)]
+    texts += [" ".join(w if r.random() < 0.97 else word() for w in t.split()) for t in texts]
+    held = np.stack([simhash.sketch(t.encode()) for t in texts])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    may = simhash._may_be_similar(held, i, j)
+    for a, b, m in zip(i, j, may):
+        x, y = (set(simhash.shingles(texts[k].encode()).tolist()) for k in (a, b))
+        assert m or len(x & y) < simhash.NEAR * len(x | y)
+    assert may.mean() < 0.5
+
+
+@pytest.mark.parametrize("crowded", [0, 2])
 def test_near_duplicates_by_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(simhash, "CROWDED", crowded)
     r = random.Random(crowded)
@@ -355,7 +387,7 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, crowded):
 
 @pytest.mark.parametrize("tile, grid", [(4, 0), (7, 2), (1024, 6)])
 def test_embedding_links_by_brute_force(spark, monkeypatch, tile, grid):
-    monkeypatch.setattr(cells, "TILE", tile)
+    monkeypatch.setattr(embeddings, "TILE", tile)
     r = np.random.default_rng(tile)
     centre = r.standard_normal((6, 16))
     v = np.concatenate([centre[r.integers(0, 6, 70)] + r.standard_normal((70, 16)) * r.choice([0.02, 0.2, 0.35], (70, 1)), r.standard_normal((20, 16))]).astype(np.float32)
