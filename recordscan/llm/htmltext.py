@@ -529,3 +529,14 @@ def extract_pages(pages: DataFrame, constant: float = CONSTANT) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: The same for pages whose content is one plain article, as that of the test tables is; pages of other shapes are held against fixtures.
+ORACLE = r"""
+WITH blocks AS (
+    SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:p|h1)>'),
+        lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b
+    FROM pages
+)
+SELECT page_id, url, array_to_string(b, chr(10) || chr(10)) AS text, length(array_to_string(b, chr(10) || chr(10))) AS n_chars FROM blocks
+"""

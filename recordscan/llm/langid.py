@@ -237,3 +237,32 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = learn_profiles(docs.filter(~held_out()))
     return identify(docs.select("doc_id", "text", held_out().alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: The same by the definition of profiles and distance; chr(1) stands for a word's edge, and the digest is taken bit by bit.
+ORACLE = r"""
+WITH docs AS (
+    SELECT doc_id, lang, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+        lambda i: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)) % 3 = 1 AS held_out
+    FROM documents
+), words AS (
+    SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')) AS w FROM docs) GROUP BY doc_id, w
+), grams AS (
+    SELECT doc_id, g, sum(k) AS n FROM (
+        SELECT doc_id, k, unnest(list_concat(list_transform(range(1, length(w) + 1), lambda i: substr(w, i, 1)), list_concat(
+            list_transform(range(1, length(w) + 2), lambda i: substr(chr(1) || w || chr(1), i, 2)), list_transform(range(1, length(w) + 1), lambda i: substr(chr(1) || w || chr(1), i, 3))))) AS g FROM words
+    ) GROUP BY doc_id, g
+), profile AS (
+    SELECT lang, g, r FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS r FROM (
+        SELECT lang, g, sum(n) AS n FROM grams JOIN docs USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g)) WHERE r < 400
+), ranked AS (
+    SELECT doc_id, g, r FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS r FROM grams) WHERE r < 400
+), apart AS (
+    SELECT x.doc_id, l.lang, sum(CASE WHEN p.r IS NULL THEN 400 ELSE abs(p.r - x.r) END) AS distance, count(*) AS n
+    FROM ranked x CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.g = x.g GROUP BY x.doc_id, l.lang
+), best AS (
+    SELECT doc_id, lang, 1 - distance / CAST(n * 400 AS DOUBLE) AS score FROM apart QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1
+)
+SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(b.score, 0.0) AS score FROM docs d LEFT JOIN best b USING (doc_id)
+"""

@@ -8,7 +8,9 @@ from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import op9_decontamination
 from .embeddings import ORACLE as EMBEDDING_SQL
 from .embeddings import op6_embedding_dedup
+from .htmltext import ORACLE as HTML_SQL
 from .htmltext import op10_html_text
+from .langid import ORACLE as LANGUAGE_SQL
 from .langid import op2_language_id
 from .licenses import ORACLE as LICENSE_SQL
 from .licenses import op3_license_scan
@@ -31,4 +33,4 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLES = {"op1_chat_format": CHAT_SQL, "op3_license_scan": LICENSE_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_decontamination": DECONTAMINATION_SQL}
+ORACLES = {"op1_chat_format": CHAT_SQL, "op2_language_id": LANGUAGE_SQL, "op3_license_scan": LICENSE_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op10_html_text": HTML_SQL}
