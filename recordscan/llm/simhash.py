@@ -182,27 +182,42 @@ _PAIR = "a long, b long, doc_a long, doc_b long"
 _AROUND = np.concatenate([[0], 1 << np.arange(16)])
 
 
+def shingles(text: bytes | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """The set of a text's word shingles, as sorted 64-bit digests; fewer words make one shingle, none an empty set."""
+    w = (text or b"").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
+    if len(w) <= words:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts)))
+
+
+#: Buckets of a text's sketch, and the count from which one is no longer known.
+SKETCH, FULL = 128, 255
+
+
+def sketch(text: bytes | None) -> np.ndarray:
+    """How many of a text's shingles fall into each of SKETCH buckets."""
+    return np.minimum(np.bincount(shingles(text) % SKETCH, minlength=SKETCH), FULL).astype(np.uint8)
+
+
 def _nodes(words: int):
-    """(doc_id, fp, node) of documents; node is the digest of a text's words."""
+    """(doc_id, fp, node, sketch) of documents; node is the digest of a text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
             fp = np.fromiter((fingerprint(x, words) for x in texts), np.uint64, len(texts))
             node = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64))], ["doc_id", "fp", "node"])
+            held = pa.array([sketch(x).tobytes() for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), held], ["doc_id", "fp", "node", "sketch"])
 
     return run
 
 
-def shingles(text: bytes | None, words: int = NEAR_WORDS) -> np.ndarray:
-    """The set of a text's word shingles, as sorted 64-bit digests; fewer words make one shingle, none an empty set."""
-    w = (text or b"").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))), np.uint64))
-
-
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 2_000_000):
         texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
@@ -322,29 +337,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from gathered(each())
 
 
-#: Buckets of a text's sketch.
-SKETCH = 256
-
-
-def sketch(text: bytes | None) -> np.ndarray:
-    """How many of a text's shingles fall into each of SKETCH buckets."""
-    return np.bincount(shingles(text) % SKETCH, minlength=SKETCH).astype(np.int32)
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2_000_000):
-        texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sketch(x).tobytes() for x in texts], pa.binary())], ["doc", "sketch"])
-
-
 def _may_be_similar(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether texts can have a similarity of NEAR: in a bucket they share no more shingles than the one with fewer has."""
     out = [np.zeros(0, bool)]
-    size = sketches.sum(1)
+    full = (sketches == FULL).any(1)  # counts that are no longer known say nothing
+    size = sketches.sum(1, dtype=np.int64)
     for s in range(0, len(i), 20_000):
         ii, jj = i[s : s + 20_000], j[s : s + 20_000]
-        shared = np.minimum(sketches[ii], sketches[jj]).sum(1)
-        out.append(shared >= NEAR * (size[ii] + size[jj] - shared))
+        shared = np.minimum(sketches[ii], sketches[jj]).sum(1, dtype=np.int64)
+        out.append(full[ii] | full[jj] | (shared >= NEAR * (size[ii] + size[jj] - shared)))
     return np.concatenate(out)
 
 
@@ -355,7 +356,7 @@ def _between(whole: bool):
         def each():
             for tbl, key, fp, node, doc, comp, held in _buckets(batches, ["tbl", "key", "fp", "node", "doc", "comp", "sketch"]):
                 u = fp.view(np.uint64)
-                of = np.frombuffer(b"".join(held), np.int32).reshape(-1, SKETCH)
+                of = np.frombuffer(b"".join(held), np.uint8).reshape(-1, SKETCH)
                 kinds, place, n = np.unique(comp, return_inverse=True, return_counts=True)
                 out = np.flatnonzero(place != n.argmax())
                 if whole:
@@ -377,11 +378,11 @@ def _between(whole: bool):
     return run
 
 
-def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def near_links(docs: DataFrame, nodes: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b) between documents that connect all near-duplicates among the candidates.
 
     docs: (doc_id long, text); nodes: (node long, fp long, doc long), a row for
-    each text. Candidates are texts whose fingerprints are within NEAR_LIMIT
+    each text; sketches: (node long, sketch binary). Candidates are texts whose fingerprints are within NEAR_LIMIT
     bits; near-duplicates are those with a Jaccard similarity of NEAR or more
     in shingles of NEAR_WORDS words. Buckets in which very many are close are
     not paired at once: some pairs are tried first, then all those between
@@ -412,11 +413,10 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     crowded = found.filter("kind = 1").select("tbl", "key", "fp", F.col("a").alias("node"), F.col("doc_a").alias("doc"))
     if crowded.isEmpty():
         return links
-    members = docs.join(crowded.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sketches = settle(members.mapInArrow(frugal(_sketches), "doc long, sketch binary").dropDuplicates(["doc"]), "near-sketches", few=True)
+    crowded = crowded.join(sketches.join(crowded.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
     for whole in (False, False, True):
         comp = connected_components(links).select(F.col("node").alias("doc"), "component")
-        rows = crowded.join(comp, "doc", "left").join(sketches, "doc").select("tbl", "key", "fp", "node", "doc", F.coalesce("component", "doc").alias("comp"), "sketch")
+        rows = crowded.join(comp, "doc", "left").select("tbl", "key", "fp", "node", "doc", F.coalesce("component", "doc").alias("comp"), "sketch")
         more = settle(dealt(rows).mapInArrow(frugal(_between(whole)), _FOUND), "near-found", few=True)
         links = links.unionByName(tried(more if whole else some(more)))
     return links
@@ -433,10 +433,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fps = settle(docs.mapInArrow(frugal(_nodes(NEAR_FP_WORDS)), "doc_id long, fp long, node long"), "near-fingerprints")
+    fps = settle(docs.mapInArrow(frugal(_nodes(NEAR_FP_WORDS)), "doc_id long, fp long, node long, sketch binary"), "near-fingerprints")
     nodes = settle(fps.filter("doc_id IS NOT NULL").groupBy("node", "fp").agg(F.min("doc_id").alias("doc")), "near-nodes", few=True)
     same = fps.join(nodes, ["node", "fp"]).filter("doc_id <> doc").select(F.col("doc_id").alias("doc_a"), F.col("doc").alias("doc_b"))
-    comp = connected_components(near_links(docs, nodes).unionByName(same)).withColumnRenamed("node", "doc_id")
+    comp = connected_components(near_links(docs, nodes, fps.select("node", "sketch")).unionByName(same)).withColumnRenamed("node", "doc_id")
     out = fps.join(comp, "doc_id", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
