@@ -130,3 +130,23 @@ def test_pipeline_runs_whole(spark):
     got = entry.queries()["pipeline"](spark, SF)
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "decontamination", "packing"]
+
+
+def test_all_queries_are_registered():
+    names = set(entry.queries())
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= names
+
+
+def test_settled_tables_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from recordscan.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        common.work_root(Session)
