@@ -12,6 +12,7 @@ from .engine import annotate, finished, limited
 from .functions import entities as ent
 from .functions import paths
 from .functions.text import normalized, phone_components, phone_digits, tokens
+from .functions.width import cells
 from .operators import context, evidence, grouping, provenance, ranking
 from .options import SafetyLimits, SearchOptions
 from .sources.archives import validated
@@ -116,6 +117,13 @@ def phone_components_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(phone_components(F.col("c_name")), ",").alias("phones"))
 
 
+@query("SELECT doc_id, length(text) + 2 * length('漢字') + length('é') AS cells FROM documents")
+def cell_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of documents with wide characters and a combining mark behind them."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select("doc_id", cells(F.concat("text", F.lit("漢字e\u0301"))).cast("long").alias("cells"))
+
+
 # ranked search
 
 

@@ -1,6 +1,12 @@
+import os
+import subprocess
+import sys
+
 from recordscan.functions.registry import register
+from recordscan.functions.width import cells, cells_of, clipped
 from recordscan.history import KEPT, LocalState
 from recordscan.operators.smart import score_text
+from recordscan.package import build
 
 from .helpers import make_zip, model_score
 
@@ -32,3 +38,17 @@ def test_local_state(tmp_path):
     assert again.saved == []
     (tmp_path / "bad.json").write_text("[")
     assert LocalState.load(str(tmp_path / "bad.json")).history == []
+
+
+def test_cells_of_a_terminal(spark):
+    texts = ["", "abc", "漢字", "é", "ｶﾞ", "한글 x", "😀", "〪", "日本゙", None]
+    got = [r["c"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(cells("t").alias("c")).collect()]
+    assert got == [0, 3, 4, 1, 2, 6, 2, 0, 4, None] and [cells_of(t) for t in texts[:-1]] == got[:-1]
+    assert clipped("漢字x", 3) == "漢" and clipped("漢字x", 5) == "漢字x" and clipped("a", -1) == "" and clipped("éx", 1) == "é"
+
+
+def test_the_library_as_one_archive(tmp_path):
+    target = build(str(tmp_path / "tool.pyz"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, target, "--version"], capture_output=True, text=True, cwd=tmp_path, env=env)
+    assert ran.returncode == 0 and ran.stdout.startswith("recordscan ")
