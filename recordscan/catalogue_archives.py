@@ -376,6 +376,7 @@ def index_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     tell("rebuilt", ix.build_or_update(spark, folder, rebuild=True)[0])
     ix.clean(at)
     tell("cleaned", ix.status(spark, folder))
+    shutil.rmtree(folder)
     return spark.createDataFrame(told, "step string, state string, archives long")
 
 
