@@ -19,17 +19,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import digits_of, normalize_text, normalized, phone_digits, token_list, tokens
 from ..options import SafetyLimits, SearchOptions
-from ..sources.archives import Issue, ReadOptions, discover, issues_of, read_tagged, records_of
+from ..sources.archives import Issue, ReadOptions, discover, read_tagged
 
 VERSION = 1
-#: Archives whose postings are written, and counted as done, together.
-BATCH = 256
+#: Archives, and bytes of them, whose postings are written, and counted as done, together.
+BATCH, BATCH_BYTES = 8192, 4 << 30
 #: Terms that a lookup names one by one; more are joined.
 LOOKUP_TERMS = 5000
 #: Digits that a record needs for its digits to be looked up.
@@ -141,15 +140,20 @@ def archives_table(spark: SparkSession, index: str, manifest: Manifest) -> DataF
 
 _POSTINGS = "kind string, term string, relative string, route array<int>, line long"
 #: Rows of a term lie together, and its members and lines in order: Parquet stores their repeats once.
-_SORTED = ["kind", "term", "relative", "route", "line"]
+_SORTED = ["term", "kind", "relative", "route", "line"]
+#: Kinds of rows that are postings; a generation also holds what its reading had to tell (stat, issue), as JSON in place of a term.
+_IS_POSTING = "kind IN ('term', 'digits')"
 
 
-def posting_rows(records: DataFrame, exact: bool = True) -> DataFrame:
-    """records' places with (kind, term): each token once, and the digits of records with enough of them. No shuffle."""
-    base = records.select("archive", "route", "line", normalized(F.col("text"), False, exact).alias("n"), phone_digits(F.col("text")).alias("d"))
-    words = F.transform(F.array_distinct(tokens(F.col("n"))), lambda t: F.struct(F.lit("term").alias("kind"), t.alias("term")))
-    digits = F.when(F.length("d") >= DIGITS, F.array(F.struct(F.lit("digits").alias("kind"), F.col("d").alias("term")))).otherwise(F.array().cast("array<struct<kind:string,term:string>>"))
-    return base.select("archive", "route", "line", F.explode(F.concat(words, digits)).alias("t")).select("t.kind", "t.term", "archive", "route", "line")
+def posting_rows(tagged: DataFrame, exact: bool = True) -> DataFrame:
+    """records' places with (kind, term): each token once, and the digits of records with enough of them; counts and issues of archives. No shuffle."""
+    told = F.when(F.col("kind") == "stat", F.to_json(F.struct("records"))).when(F.col("kind") == "issue", F.to_json(F.struct("member", "message", "issue")))
+    base = tagged.select("kind", "archive", "route", "line", normalized(F.col("text"), False, exact).alias("n"), phone_digits(F.col("text")).alias("d"), told.alias("told"))
+    of = lambda kind, term: F.struct(kind.alias("kind"), term.alias("term"))
+    words = F.transform(F.array_distinct(tokens(F.col("n"))), lambda t: of(F.lit("term"), t))
+    digits = F.when(F.length("d") >= DIGITS, F.array(of(F.lit("digits"), F.col("d")))).otherwise(F.array().cast("array<struct<kind:string,term:string>>"))
+    found = F.when(F.col("kind") == "record", F.concat(words, digits)).otherwise(F.array(of(F.col("kind"), F.col("told"))))
+    return base.select("archive", "route", "line", F.explode(found).alias("t")).select("t.kind", "t.term", "archive", "route", "line")
 
 
 def postings_from(records: DataFrame, exact: bool = True) -> DataFrame:
@@ -159,9 +163,11 @@ def postings_from(records: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _mark(df: DataFrame) -> DataFrame:
-    """members, records, postings and a checksum of each archive's postings, whatever their order."""
-    one = F.xxhash64("kind", "term", "route", "line")
-    return df.groupBy("relative").agg(F.countDistinct("route").alias("members"), F.count(F.lit(1)).alias("postings"), F.bit_xor(one).alias("checksum"))
+    """members, records (where its reading is still told), postings and a checksum of each archive's postings, whatever their order."""
+    posting = F.expr(_IS_POSTING)
+    one = F.when(posting, F.xxhash64("kind", "term", "route", "line"))
+    records = F.when(F.col("kind") == "stat", F.get_json_object("term", "$.records").cast("long"))
+    return df.groupBy("relative").agg(F.countDistinct("route").alias("members"), F.count_if(posting).alias("postings"), F.bit_xor(one).alias("checksum"), F.sum(records).alias("records"))
 
 
 def postings(spark: SparkSession, index: str, live: DataFrame | None = None) -> DataFrame:
@@ -171,7 +177,7 @@ def postings(spark: SparkSession, index: str, live: DataFrame | None = None) ->
     folder = os.path.join(index, "postings")
     if not os.path.isdir(folder):
         return spark.createDataFrame([], _POSTINGS)
-    found = spark.read.schema(_POSTINGS + ", generation int").parquet(folder)
+    found = spark.read.schema(_POSTINGS + ", generation int").parquet(folder).filter(_IS_POSTING)
     return found.join(live.select("relative", "generation"), ["relative", "generation"], "left_semi").drop("generation")
 
 
@@ -191,30 +197,30 @@ def build_or_update(
     on_disk = fingerprints(spark, root).persist()
     known = archives_table(spark, index, manifest)
     gone = known.join(on_disk.select("relative"), "relative", "left_anti").select("relative")
-    todo = [(r["relative"], r["archive"]) for r in on_disk.join(known, ["relative", "fingerprint"], "left_anti").select("relative", "archive").orderBy("relative").toLocalIterator()]
+    todo = [tuple(r) for r in on_disk.join(known, ["relative", "fingerprint"], "left_anti").select("relative", "archive", "size").orderBy("relative").collect()]  # a row for each archive
     manifest = _commit(index, replace(manifest, state="BUILDING"))
     if not gone.isEmpty():
         rows = gone.select("relative", *(F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in _ROW.split(", ")[1:])))
         manifest = _add(index, manifest, rows)
     issues, done = [], 0
-    for i in range(0, len(todo), batch):
+    for part in _batches(todo, batch):
         if cancelled and cancelled():
             break
-        part = todo[i : i + batch]
-        names = spark.createDataFrame([(a, r) for r, a in part], "archive string, relative string")
-        tagged = read_tagged(spark, root, ReadOptions(limits=limits), archives=[a for _, a in part]).persist(StorageLevel.DISK_ONLY)
-        made = posting_rows(records_of(tagged).join(F.broadcast(names), "archive").withColumn("archive", F.col("relative"))).withColumnRenamed("archive", "relative").select(*_SORTED)
+        names = spark.createDataFrame([(a, r) for r, a, _ in part], "archive string, relative string")
+        tagged = read_tagged(spark, root, ReadOptions(limits=limits), archives=[a for _, a, _ in part])
         at = os.path.join(index, "postings", f"generation={manifest.generation + 1}")
-        made.repartitionByRange(*_SORTED[:4]).sortWithinPartitions(*_SORTED).write.mode("overwrite").parquet(at)
-        counted = records_of(tagged).groupBy("archive").agg(F.count(F.lit(1)).alias("records")).join(F.broadcast(names), "archive")
+        # each task sorts and writes what it read, so archives are read once and nothing is shuffled; a stable sort keeps members and lines in order
+        made = posting_rows(tagged).join(F.broadcast(names), "archive").select(*_SORTED)
+        made.sortWithinPartitions("term", "kind").write.mode("overwrite").parquet(at)
         written = spark.read.schema(_POSTINGS).parquet(at)
-        _write_terms(index, manifest.generation + 1, written)
-        marks = _mark(written)
+        _write_terms(index, manifest.generation + 1, written.filter(_IS_POSTING))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-        new = on_disk.join(F.broadcast(names.select("relative")), "relative", "left_semi").join(counted.select("relative", "records"), "relative", "left").join(marks, "relative", "left")
+        new = on_disk.join(F.broadcast(names.select("relative")), "relative", "left_semi").join(_mark(written), "relative", "left")
         manifest = _add(index, manifest, new.select("relative", "fingerprint", "size", "declared", zero("members"), zero("records"), zero("postings"), zero("checksum")))
-        issues += [Issue(f"{r['archive']}: {r['message']}", r["member"], r["issue"]) for r in issues_of(tagged).collect()]
-        tagged.unpersist()
+        path_of = {r: a for r, a, _ in part}
+        for r in written.filter("kind = 'issue'").select("relative", "term").collect():
+            said = json.loads(r["term"])
+            issues.append(Issue(f"{path_of[r['relative']]}: {said['message']}", said.get("member"), said["issue"]))
         done += len(part)
         if progress:
             progress(done, len(todo))
@@ -224,6 +230,20 @@ def build_or_update(
     return status(spark, root, index), issues
 
 
+def _batches(todo: list[tuple[str, str, int]], most: int) -> Iterator[list[tuple[str, str, int]]]:
+    """Archives (relative, archive, size) by `most` at once, fewer where they are large."""
+    held: list[tuple[str, str, int]] = []
+    size = 0
+    for a in todo:
+        if held and (len(held) >= most or size + a[2] > BATCH_BYTES):
+            yield held
+            held, size = [], 0
+        held.append(a)
+        size += a[2]
+    if held:
+        yield held
+
+
 def _write_terms(index: str, generation: int, written: DataFrame) -> None:
     """The dictionary of a generation: its distinct terms, far fewer than its postings."""
     written.select("kind", "term").distinct().write.mode("overwrite").parquet(os.path.join(index, "terms", f"generation={generation}"))

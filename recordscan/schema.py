@@ -17,7 +17,7 @@ RECORD = T.StructType([*PLACE, T.StructField("text", T.StringType()), T.StructFi
 TAGGED = T.StructType(
     [
         T.StructField("kind", T.StringType()), *RECORD.fields, T.StructField("message", T.StringType()), T.StructField("issue", T.StringType()),
-        T.StructField("members_seen", T.LongType()), T.StructField("members_scanned", T.LongType()), T.StructField("bytes_declared", T.LongType()),
+        T.StructField("members_seen", T.LongType()), T.StructField("members_scanned", T.LongType()), T.StructField("bytes_declared", T.LongType()), T.StructField("records", T.LongType()),
     ]
 )
 

@@ -7,9 +7,11 @@ in place and emit Arrow batches of records, issues and counts.
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import stat
+import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
@@ -102,6 +104,7 @@ class _Counts:
     seen: int = 0
     scanned: int = 0
     declared: int = 0
+    records: int = 0
 
 
 def read_archive(source, options: ReadOptions, share: tuple[int, int] = (0, 1), routes: frozenset[tuple[int, ...]] | None = None) -> Iterator[tuple]:
@@ -147,6 +150,7 @@ def read_archive(source, options: ReadOptions, share: tuple[int, int] = (0, 1),
                         for line, text in decoder(suffix)(member, options.encoding, options.limits.max_member_bytes):
                             if line == 1 and suffix in (".csv", ".tsv"):
                                 header = text
+                            counts.records += 1
                             yield "record", info.filename, path, here, line, text, header
                     counts.scanned += 1
                 except Exception as e:  # a member that cannot be read is an issue, whatever is wrong with it
@@ -162,7 +166,7 @@ def read_archive(source, options: ReadOptions, share: tuple[int, int] = (0, 1),
 _ARROW = pa.schema(
     [
         ("kind", pa.string()), ("archive", pa.string()), ("member", pa.string()), ("nested_path", pa.list_(pa.string())), ("route", pa.list_(pa.int32())), ("line", pa.int64()), ("text", pa.string()), ("header", pa.string()),
-        ("message", pa.string()), ("issue", pa.string()), ("members_seen", pa.int64()), ("members_scanned", pa.int64()), ("bytes_declared", pa.int64()),
+        ("message", pa.string()), ("issue", pa.string()), ("members_seen", pa.int64()), ("members_scanned", pa.int64()), ("bytes_declared", pa.int64()), ("records", pa.int64()),
     ]
 )
 
@@ -179,12 +183,12 @@ def batches(archive: str, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         if row[0] == "record":
             _, member, path, route, line, text, header = row
             text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
-            held.append(("record", archive, member, path, route, line, text, header, None, None, None, None, None))
+            held.append(("record", archive, member, path, route, line, text, header, None, None, None, None, None, None))
             chars += len(text)
         elif row[0] == "issue":
-            held.append(("issue", archive, row[1].member, None, None, None, None, None, row[1].message, row[1].kind, None, None, None))
+            held.append(("issue", archive, row[1].member, None, None, None, None, None, row[1].message, row[1].kind, None, None, None, None))
         else:
-            held.append(("stat", archive, None, None, None, None, None, None, None, None, row[1].seen, row[1].scanned, row[1].declared))
+            held.append(("stat", archive, None, None, None, None, None, None, None, None, row[1].seen, row[1].scanned, row[1].declared, row[1].records))
         if len(held) >= BATCH or chars >= BATCH_CHARS:
             yield out()
             held, chars = [], 0
@@ -194,13 +198,14 @@ def batches(archive: str, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class ArchivePart(InputPartition):
-    """Shares of archives: (path, k, n)."""
+    """Shares of archives: (path, k, n); routes: the members of these archives that are read, None for all."""
 
     shares: list[tuple[str, int, int]]
+    routes: dict[str, frozenset[tuple[int, ...]]] | None = None
 
-    def __init__(self, shares: list[tuple[str, int, int]]):
+    def __init__(self, shares: list[tuple[str, int, int]], routes: dict[str, frozenset[tuple[int, ...]]] | None = None):
         super().__init__(None)
-        self.shares = shares
+        self.shares, self.routes = shares, routes
 
 
 def pack(paths: list[str], target: int = PARTITION_BYTES, cores: int = 1) -> list[ArchivePart]:
@@ -229,23 +234,30 @@ class ArchiveReader(DataSourceReader):
         self.path = options.get("path", "")
         self.read_options = ReadOptions.from_json(options["read"]) if "read" in options else ReadOptions()
         self.recursive = options.get("recursive", "true").lower() != "false"
-        self.only = json.loads(options["archives"]) if "archives" in options else None
-        self.routes = {a: frozenset(tuple(r) for r in rs) for a, rs in json.loads(options["routes"]).items()} if "routes" in options else None
+        self.listing = options.get("listing")
         self.target, self.cores = int(options.get("partitionbytes", PARTITION_BYTES)), int(options.get("cores", 1))
 
     def partitions(self) -> list[ArchivePart]:
-        paths = discover(self.path, self.recursive) if self.only is None else self.only
-        if self.routes is not None:
-            paths = [p for p in paths if p in self.routes]
-        return pack(paths, self.target, self.cores) or [ArchivePart([])]
+        only, routes = None, None
+        if self.listing:  # read here, on the driver: with the options it would go to every task
+            with open(self.listing, encoding="utf-8") as f:
+                only, routes = json.load(f)
+        paths = discover(self.path, self.recursive) if only is None else only
+        if routes is not None:
+            paths = [p for p in paths if p in routes]
+        parts = pack(paths, self.target, self.cores) or [ArchivePart([])]
+        if routes is not None:
+            for part in parts:
+                part.routes = {p: frozenset(map(tuple, routes[p])) for p, _, _ in part.shares}
+        return parts
 
     def read(self, partition: ArchivePart) -> Iterator[pa.RecordBatch]:
         for path, k, n in partition.shares:
-            yield from batches(path, read_archive(path, self.read_options, (k, n), self.routes[path] if self.routes is not None else None))
+            yield from batches(path, read_archive(path, self.read_options, (k, n), partition.routes[path] if partition.routes is not None else None))
 
 
 class ArchiveSource(DataSource):
-    """format("recordscan_archives"): options path, read (ReadOptions as JSON), recursive, archives, routes, partitionBytes, cores."""
+    """format("recordscan_archives"): options path, read (ReadOptions as JSON), recursive, listing (a file of the driver: archives and routes), partitionBytes, cores."""
 
     @classmethod
     def name(cls) -> str:
@@ -258,6 +270,15 @@ class ArchiveSource(DataSource):
         return ArchiveReader(dict(self.options))
 
 
+def _listing(archives: list[str] | None, routes: dict[str, list[tuple[int, ...]]] | None) -> str:
+    """A file that names archives and routes for the planning of a scan; it stays as long as this process, as a frame may be planned again."""
+    at, path = tempfile.mkstemp(prefix="recordscan-", suffix=".json")
+    with open(at, "w", encoding="utf-8") as f:
+        json.dump([archives, routes], f)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
+    return path
+
+
 def is_local(path: str) -> bool:
     return "://" not in path and not path.startswith("file:")
 
@@ -272,10 +293,8 @@ def read_tagged(spark: SparkSession, path: str, options: ReadOptions | None = No
     if is_local(path):
         spark.dataSource.register(ArchiveSource)
         reader = spark.read.format("recordscan_archives").option("path", path).option("read", options.to_json()).option("recursive", str(recursive).lower()).option("cores", spark.sparkContext.defaultParallelism)
-        if archives is not None:
-            reader = reader.option("archives", json.dumps(archives))
-        if routes is not None:
-            reader = reader.option("routes", json.dumps({a: [list(r) for r in rs] for a, rs in routes.items()}))
+        if archives is not None or routes is not None:
+            reader = reader.option("listing", _listing(archives, routes))
         return reader.load()
     import io
 
