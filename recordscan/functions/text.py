@@ -62,16 +62,17 @@ def normalized(text: Column, case_sensitive: bool = False, exact: bool = False)
         ascii_ = F.octet_length(text) == F.length(text)
         return F.coalesce(folded(F.when(~ascii_, text)), normalized(text, case_sensitive))
     low = text if case_sensitive else F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ё"), F.lit("е"))
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " "))
+    # a run at once, and the commonest letters first: the class is looked at for each character of each text
+    return F.trim(F.regexp_replace(low, r"[^a-z0-9\p{L}\p{N}]+", " "))
 
 
 def tokens(normal: Column) -> Column:
     """Tokens of a normalised text, in order, repeats included."""
-    return F.filter(F.split(normal, " "), lambda x: x != "")
+    return F.array_remove(F.split(normal, " "), "")
 
 
 def phone_digits(text: Column) -> Column:
-    d = F.regexp_replace(text, r"\P{Nd}", "")
+    d = F.regexp_replace(text, r"\P{Nd}+", "")
     return F.when((F.length(d) == 11) & d.startswith("8"), F.concat(F.lit("7"), F.substring(d, 2, 10))).otherwise(d)
 
 
