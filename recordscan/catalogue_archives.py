@@ -23,11 +23,13 @@ from .operators import provenance
 from .options import SafetyLimits, SearchOptions
 from .plans import index as ix
 from .sources.archives import ReadOptions, inspect, members, read_tagged, records_of, stats_of, validated
-from .sources.tables import read_table
+from .sources.tables import lean, read_table
 from .streaming.ingest import match_stream
 
 #: Documents of an archive, customers of an archive; a folder has as many archives as the table asks for.
 DOCS, CUSTOMERS = 100, 250
+#: Documents that a task holds twice, as texts and as archives.
+NESTED = 100
 #: Some documents are one word over and over and shrink more, or are longer, than archives of strangers may.
 LAX = SafetyLimits(max_compression_ratio=1e6, max_member_bytes=2 << 30)
 
@@ -80,6 +82,7 @@ def _write(groups: DataFrame, folder: str) -> None:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     number = F.floor(F.col("doc_id") / DOCS)
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select(number.alias("number"), F.format_string("docs-%06d.zip", number).alias("archive"), F.col("doc_id").alias("place"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
@@ -133,6 +136,13 @@ def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records_of(read_tagged(spark, document_archives(spark, sf_dir), _READ)).select("member", "line", "text")
 
 
+def _nested(member: str, content: bytes) -> bytes:
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(member, bytes(content))
+    return b.getvalue()
+
+
 @query(_ROUND_TRIP)
 def nested_zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in archives inside archives, a file at a time."""
@@ -142,13 +152,9 @@ def nested_zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         def nest(frames):
             for f in frames:
-                inner = []
-                for member, content in zip(f["member"], f["content"]):
-                    b = io.BytesIO()
-                    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
-                        z.writestr(member, bytes(content))
-                    inner.append(b.getvalue())
-                yield f.assign(content=inner, member=f["member"].str.replace(".txt", ".zip"))
+                for i in range(0, len(f), NESTED):
+                    part = f.iloc[i : i + NESTED]
+                    yield part.assign(content=[_nested(m, c) for m, c in zip(part["member"], part["content"])], member=part["member"].str.replace(".txt", ".zip"))
 
         docs = _documents(spark, sf_dir)
         _write(docs.mapInPandas(nest, docs.schema), folder)

@@ -11,21 +11,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import read_table
+from ..sources.tables import BATCH_BYTES, BATCH_ROWS, lean, read_table  # noqa: F401  operators take them from here
 
 
 #: Files of a settled frame for each core of the cluster.
 FILES = 3
-#: Bytes and rows of an Arrow batch: whole texts travel in them, and a batch exists in the JVM and in Python at once.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
-
-
-def lean(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, in sessions that leave Spark's defaults as they are."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows, "10000") == "10000":
-        spark.conf.set(rows, str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def give_back() -> None:
