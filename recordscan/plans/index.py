@@ -143,17 +143,21 @@ _POSTINGS = "kind string, term string, relative string, route array<int>, line l
 _SORTED = ["term", "kind", "relative", "route", "line"]
 #: Kinds of rows that are postings; a generation also holds what its reading had to tell (stat, issue), as JSON in place of a term.
 _IS_POSTING = "kind IN ('term', 'digits')"
+#: What entries other than terms start with while they are told apart by that: no term has such a character.
+_DIGITS, _STAT, _ISSUE = "\x01", "\x02", "\x03"
 
 
 def posting_rows(tagged: DataFrame, exact: bool = True) -> DataFrame:
     """records' places with (kind, term): each token once, and the digits of records with enough of them; counts and issues of archives. No shuffle."""
-    told = F.when(F.col("kind") == "stat", F.to_json(F.struct("records"))).when(F.col("kind") == "issue", F.to_json(F.struct("member", "message", "issue")))
-    base = tagged.select("kind", "archive", "route", "line", normalized(F.col("text"), False, exact).alias("n"), phone_digits(F.col("text")).alias("d"), told.alias("told"))
-    of = lambda kind, term: F.struct(kind.alias("kind"), term.alias("term"))
-    words = F.transform(F.array_distinct(tokens(F.col("n"))), lambda t: of(F.lit("term"), t))
-    digits = F.when(F.length("d") >= DIGITS, F.array(of(F.lit("digits"), F.col("d")))).otherwise(F.array().cast("array<struct<kind:string,term:string>>"))
-    found = F.when(F.col("kind") == "record", F.concat(words, digits)).otherwise(F.array(of(F.col("kind"), F.col("told"))))
-    return base.select("archive", "route", "line", F.explode(found).alias("t")).select("t.kind", "t.term", "archive", "route", "line")
+    told = F.when(F.col("kind") == "stat", F.concat(F.lit(_STAT), F.to_json(F.struct("records")))).when(F.col("kind") == "issue", F.concat(F.lit(_ISSUE), F.to_json(F.struct("member", "message", "issue"))))
+    base = tagged.select("archive", "route", "line", normalized(F.col("text"), False, exact).alias("n"), phone_digits(F.col("text")).alias("d"), told.alias("told"))
+    none = F.array().cast("array<string>")
+    digits = F.when(F.length("d") >= DIGITS, F.array(F.concat(F.lit(_DIGITS), F.col("d")))).otherwise(none)
+    found = F.when(F.col("told").isNull(), F.concat(F.array_distinct(tokens(F.col("n"))), digits)).otherwise(F.array("told"))
+    rows = base.select("archive", "route", "line", F.explode(found).alias("t"))
+    mark = F.substring("t", 1, 1)
+    kind = F.when(mark == _DIGITS, "digits").when(mark == _STAT, "stat").when(mark == _ISSUE, "issue").otherwise("term")
+    return rows.select(kind.alias("kind"), F.when(mark.isin(_DIGITS, _STAT, _ISSUE), F.expr("substring(t, 2)")).otherwise(F.col("t")).alias("term"), "archive", "route", "line")
 
 
 def postings_from(records: DataFrame, exact: bool = True) -> DataFrame:

@@ -212,7 +212,7 @@ def pack(paths: list[str], target: int = PARTITION_BYTES, cores: int = 1) -> lis
     """Partitions of about `target` bytes, fewer where that leaves cores idle: small archives together, large ones in shares."""
     parts: list[ArchivePart] = []
     total = sum(os.path.getsize(p) for p in paths if os.path.exists(p))
-    target = min(target, max(LEAST_BYTES, -(-total // (2 * cores))))
+    target = min(target, max(LEAST_BYTES, -(-total // (4 * cores))))
     held: list[tuple[str, int, int]] = []
     size = 0
     for p in paths:

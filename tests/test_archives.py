@@ -298,3 +298,24 @@ def test_streams_of_archives(spark, corpus, tmp_path):
     at = ix.default_path(str(corpus))
     index_stream(spark, str(corpus), at, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert ix.status(spark, str(corpus)).state == "READY"
+
+
+def test_index_is_built_without_a_shuffle_of_postings_and_keeps_counts_and_issues(spark, tmp_path, monkeypatch):
+    make_zip(tmp_path / "a.zip", {"t.txt": "one two one\n\n...\n+7 900 123-45-67", "bad.docx": b"no zip"})
+    make_zip(tmp_path / "b.zip", {"t.txt": "one"})
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.repartitionByRange", None)  # samples postings to the driver
+    status, issues = ix.build_or_update(spark, str(tmp_path))
+    assert (status.state, status.archives, status.members, status.records, status.postings, status.terms) == ("READY", 3, 2, 5, 9, 8)
+    assert sorted((os.path.basename(i.message.split(": ")[0]), i.member, i.kind) for i in issues) == [("a.zip", "bad.docx", "member"), ("c.zip", None, "archive")]
+    assert sorted((r["kind"], r["term"]) for r in ix.postings(spark, ix.default_path(str(tmp_path))).collect() if r["relative"] == "a.zip") == [("digits", "79001234567"), *(("term", t) for t in ("123", "45", "67", "7", "900", "one", "two"))]
+
+
+def test_routes_travel_with_their_partition(tmp_path):
+    from recordscan.sources.archives import ArchiveReader, _listing
+
+    paths = [str(make_zip(tmp_path / f"{i}.zip", {"a.txt": os.urandom(600).hex(), "b.txt": "b"})) for i in range(4)]
+    reader = ArchiveReader({"path": str(tmp_path), "listing": _listing(paths, {p: [(1,)] for p in paths[:3]}), "partitionbytes": "700"})
+    parts = reader.partitions()
+    assert [sorted(p.routes) for p in parts] == [[p] for p in paths[:3]]
+    assert not any(p in repr(vars(reader)) for p in paths)
