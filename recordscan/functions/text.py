@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 PHONE = r"\+?\d(?:[\d(). -]*\d)?"
 #: Fixed value: digits that make such a run a number.
 PHONE_DIGITS = 7
+#: Runs of what str.isalnum says yes to.
+_RUNS = re.compile(r"[^\W_]+")
 
 
 def normalize_text(value: str, case_sensitive: bool = False) -> str:
@@ -22,7 +24,7 @@ def normalize_text(value: str, case_sensitive: bool = False) -> str:
     value = unicodedata.normalize("NFKC", value)
     if not case_sensitive:
         value = value.casefold().replace("ё", "е")
-    return " ".join("".join(c if c.isalnum() else " " for c in value).split())
+    return " ".join(_RUNS.findall(value))
 
 
 def token_list(value: str, case_sensitive: bool = False) -> list[str]:

@@ -22,17 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import digits_of, normalize_text, normalized, phone_digits, token_list, tokens
+from ..functions.text import digits_of, normalize_text, normalized, token_list, tokens
 from ..options import SafetyLimits, SearchOptions
-from ..sources.archives import Issue, ReadOptions, discover, read_tagged
+from ..sources.archives import Issue, ReadOptions, discover, pack
+from .postings import DIGITS, decimals, write_part
 
-VERSION = 1
+VERSION = 2
 #: Archives, and bytes of them, whose postings are written, and counted as done, together.
 BATCH, BATCH_BYTES = 8192, 4 << 30
 #: Terms that a lookup names one by one; more are joined.
 LOOKUP_TERMS = 5000
-#: Digits that a record needs for its digits to be looked up.
-DIGITS = 7
+#: Bytes of text that a task of a build reads, at most.
+TASK_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -141,23 +142,6 @@ def archives_table(spark: SparkSession, index: str, manifest: Manifest) -> DataF
 _POSTINGS = "kind string, term string, relative string, route array<int>, line long"
 #: Rows of a term lie together, and its members and lines in order: Parquet stores their repeats once.
 _SORTED = ["term", "kind", "relative", "route", "line"]
-#: Kinds of rows that are postings; a generation also holds what its reading had to tell (stat, issue), as JSON in place of a term.
-_IS_POSTING = "kind IN ('term', 'digits')"
-#: What entries other than terms start with while they are told apart by that: no term has such a character.
-_DIGITS, _STAT, _ISSUE = "\x01", "\x02", "\x03"
-
-
-def posting_rows(tagged: DataFrame, exact: bool = True) -> DataFrame:
-    """records' places with (kind, term): each token once, and the digits of records with enough of them; counts and issues of archives. No shuffle."""
-    told = F.when(F.col("kind") == "stat", F.concat(F.lit(_STAT), F.to_json(F.struct("records")))).when(F.col("kind") == "issue", F.concat(F.lit(_ISSUE), F.to_json(F.struct("member", "message", "issue"))))
-    base = tagged.select("archive", "route", "line", normalized(F.col("text"), False, exact).alias("n"), phone_digits(F.col("text")).alias("d"), told.alias("told"))
-    none = F.array().cast("array<string>")
-    digits = F.when(F.length("d") >= DIGITS, F.array(F.concat(F.lit(_DIGITS), F.col("d")))).otherwise(none)
-    found = F.when(F.col("told").isNull(), F.concat(F.array_distinct(tokens(F.col("n"))), digits)).otherwise(F.array("told"))
-    rows = base.select("archive", "route", "line", F.explode(found).alias("t"))
-    mark = F.substring("t", 1, 1)
-    kind = F.when(mark == _DIGITS, "digits").when(mark == _STAT, "stat").when(mark == _ISSUE, "issue").otherwise("term")
-    return rows.select(kind.alias("kind"), F.when(mark.isin(_DIGITS, _STAT, _ISSUE), F.expr("substring(t, 2)")).otherwise(F.col("t")).alias("term"), "archive", "route", "line")
 
 
 def postings_from(records: DataFrame, exact: bool = True) -> DataFrame:
@@ -167,11 +151,9 @@ def postings_from(records: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _mark(df: DataFrame) -> DataFrame:
-    """members, records (where its reading is still told), postings and a checksum of each archive's postings, whatever their order."""
-    posting = F.expr(_IS_POSTING)
-    one = F.when(posting, F.xxhash64("kind", "term", "route", "line"))
-    records = F.when(F.col("kind") == "stat", F.get_json_object("term", "$.records").cast("long"))
-    return df.groupBy("relative").agg(F.countDistinct("route").alias("members"), F.count_if(posting).alias("postings"), F.bit_xor(one).alias("checksum"), F.sum(records).alias("records"))
+    """Number and checksum of each archive's postings, whatever their order; a build takes the same in its tasks."""
+    one = F.xxhash64(F.crc32(F.concat("kind", F.lit(":"), "term").cast("binary")), "route", "line")
+    return df.groupBy("relative").agg(F.count(F.lit(1)).alias("postings"), F.bit_xor(one).alias("checksum"))
 
 
 def postings(spark: SparkSession, index: str, live: DataFrame | None = None) -> DataFrame:
@@ -181,14 +163,14 @@ def postings(spark: SparkSession, index: str, live: DataFrame | None = None) ->
     folder = os.path.join(index, "postings")
     if not os.path.isdir(folder):
         return spark.createDataFrame([], _POSTINGS)
-    found = spark.read.schema(_POSTINGS + ", generation int").parquet(folder).filter(_IS_POSTING)
+    found = spark.read.schema(_POSTINGS + ", generation int").parquet(folder)
     return found.join(live.select("relative", "generation"), ["relative", "generation"], "left_semi").drop("generation")
 
 
 def build_or_update(
-    spark: SparkSession, root: str, index: str | None = None, limits: SafetyLimits | None = None, rebuild: bool = False, cancelled: Callable[[], bool] | None = None, progress: Callable[[int, int], None] | None = None, batch: int = BATCH
+    spark: SparkSession, root: str, index: str | None = None, limits: SafetyLimits | None = None, rebuild: bool = False, cancelled: Callable[[], bool] | None = None, progress: Callable[[int, int], None] | None = None, batch: int = BATCH, terms: bool = True
 ) -> tuple[IndexStatus, list[Issue]]:
-    """Bring the index up to date: archives that are new or changed are read, removed ones forgotten, others left alone."""
+    """Bring the index up to date: archives that are new or changed are read, removed ones forgotten, others left alone. terms: count the distinct ones for the status."""
     index, limits = index or default_path(root), limits or SafetyLimits()
     config = _config(limits)
     try:
@@ -201,7 +183,7 @@ def build_or_update(
     on_disk = fingerprints(spark, root).persist()
     known = archives_table(spark, index, manifest)
     gone = known.join(on_disk.select("relative"), "relative", "left_anti").select("relative")
-    todo = [tuple(r) for r in on_disk.join(known, ["relative", "fingerprint"], "left_anti").select("relative", "archive", "size").orderBy("relative").collect()]  # a row for each archive
+    todo = [tuple(r) for r in on_disk.join(known, ["relative", "fingerprint"], "left_anti").select("relative", "archive", "size", "fingerprint", "declared").orderBy("relative").collect()]  # a row for each archive
     manifest = _commit(index, replace(manifest, state="BUILDING"))
     if not gone.isEmpty():
         rows = gone.select("relative", *(F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in _ROW.split(", ")[1:])))
@@ -210,33 +192,38 @@ def build_or_update(
     for part in _batches(todo, batch):
         if cancelled and cancelled():
             break
-        names = spark.createDataFrame([(a, r) for r, a, _ in part], "archive string, relative string")
-        tagged = read_tagged(spark, root, ReadOptions(limits=limits), archives=[a for _, a, _ in part])
-        at = os.path.join(index, "postings", f"generation={manifest.generation + 1}")
-        # each task sorts and writes what it read, so archives are read once and nothing is shuffled; a stable sort keeps members and lines in order
-        made = posting_rows(tagged).join(F.broadcast(names), "archive").select(*_SORTED)
-        made.sortWithinPartitions("term", "kind").write.mode("overwrite").parquet(at)
-        written = spark.read.schema(_POSTINGS).parquet(at)
-        _write_terms(index, manifest.generation + 1, written.filter(_IS_POSTING))
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-        new = on_disk.join(F.broadcast(names.select("relative")), "relative", "left_semi").join(_mark(written), "relative", "left")
-        manifest = _add(index, manifest, new.select("relative", "fingerprint", "size", "declared", zero("members"), zero("records"), zero("postings"), zero("checksum")))
-        path_of = {r: a for r, a, _ in part}
-        for r in written.filter("kind = 'issue'").select("relative", "term").collect():
-            said = json.loads(r["term"])
-            issues.append(Issue(f"{path_of[r['relative']]}: {said['message']}", said.get("member"), said["issue"]))
+        told = _write_postings(spark, index, manifest.generation + 1, part, ReadOptions(limits=limits))
+        manifest = _add(index, manifest, spark.createDataFrame([(r, f, size, declared, *told[r][:4]) for r, _, size, f, declared in part], _ROW))
+        issues += [replace(i, message=f"{a}: {i.message}") for r, a, *_ in part for i in told[r][4]]
         done += len(part)
         if progress:
             progress(done, len(todo))
     if done == len(todo):
         _commit(index, replace(manifest, state="READY"))
     on_disk.unpersist()
-    return status(spark, root, index), issues
-
-
-def _batches(todo: list[tuple[str, str, int]], most: int) -> Iterator[list[tuple[str, str, int]]]:
-    """Archives (relative, archive, size) by `most` at once, fewer where they are large."""
-    held: list[tuple[str, str, int]] = []
+    return status(spark, root, index, terms), issues
+
+
+def _write_postings(spark: SparkSession, index: str, generation: int, part: list[tuple], options: ReadOptions) -> dict[str, list]:
+    """Write a batch's postings and terms, each archive read once; members, records, postings, checksum and issues by archive."""
+    folders = [os.path.join(index, what, f"generation={generation}") for what in ("postings", "terms")]
+    for folder in folders:  # what an update that stopped left there
+        clean(folder)
+        os.makedirs(folder)
+    relative_of, digits = {a: r for r, a, *_ in part}, decimals(spark)
+    parts = pack([a for _, a, *_ in part], TASK_BYTES, spark.sparkContext.defaultParallelism, {a: max(size, declared) for _, a, size, _, declared in part})
+    shares = [(i, [(relative_of[p], p, k, n) for p, k, n in x.shares]) for i, x in enumerate(parts)]
+    told: dict[str, list] = {r: [0, 0, 0, 0, []] for r, *_ in part}
+    for marks in spark.sparkContext.parallelize(shares, len(shares)).map(lambda x: write_part(*x, *folders, options, digits)).collect():  # a row for each archive
+        for r, members, records, n, checksum, issues in marks:
+            t = told[r]
+            told[r] = [t[0] + members, t[1] + records, t[2] + n, t[3] ^ checksum, t[4] + issues]
+    return told
+
+
+def _batches(todo: list[tuple], most: int) -> Iterator[list[tuple]]:
+    """Archives (relative, archive, size, ...) by `most` at once, fewer where they are large."""
+    held: list[tuple] = []
     size = 0
     for a in todo:
         if held and (len(held) >= most or size + a[2] > BATCH_BYTES):
@@ -249,7 +236,7 @@ def _batches(todo: list[tuple[str, str, int]], most: int) -> Iterator[list[tuple
 
 
 def _write_terms(index: str, generation: int, written: DataFrame) -> None:
-    """The dictionary of a generation: its distinct terms, far fewer than its postings."""
+    """The dictionary of a generation: its distinct terms, far fewer than its postings. A build's files have those of a task each."""
     written.select("kind", "term").distinct().write.mode("overwrite").parquet(os.path.join(index, "terms", f"generation={generation}"))
 
 

@@ -208,15 +208,19 @@ class ArchivePart(InputPartition):
         self.shares, self.routes = shares, routes
 
 
-def pack(paths: list[str], target: int = PARTITION_BYTES, cores: int = 1) -> list[ArchivePart]:
-    """Partitions of about `target` bytes, fewer where that leaves cores idle: small archives together, large ones in shares."""
+def pack(paths: list[str], target: int = PARTITION_BYTES, cores: int = 1, sizes: dict[str, int] | None = None) -> list[ArchivePart]:
+    """Partitions of about `target` bytes, fewer where that leaves cores idle: small archives together, large ones in shares.
+
+    sizes: what counts as an archive's bytes, if not those of its file.
+    """
     parts: list[ArchivePart] = []
-    total = sum(os.path.getsize(p) for p in paths if os.path.exists(p))
+    sizes = sizes or {p: os.path.getsize(p) if os.path.exists(p) else 0 for p in paths}
+    total = sum(sizes[p] for p in paths)
     target = min(target, max(LEAST_BYTES, -(-total // (4 * cores))))
     held: list[tuple[str, int, int]] = []
     size = 0
     for p in paths:
-        n = os.path.getsize(p) if os.path.exists(p) else 0
+        n = sizes[p]
         if n > 2 * target:
             k = -(-n // target)
             parts += [ArchivePart([(p, i, k)]) for i in range(k)]

@@ -311,6 +311,39 @@ def test_index_is_built_without_a_shuffle_of_postings_and_keeps_counts_and_issue
     assert sorted((r["kind"], r["term"]) for r in ix.postings(spark, ix.default_path(str(tmp_path))).collect() if r["relative"] == "a.zip") == [("digits", "79001234567"), *(("term", t) for t in ("123", "45", "67", "7", "900", "one", "two"))]
 
 
+def test_postings_are_made_in_the_tasks_that_read(spark, tmp_path, monkeypatch):
+    from recordscan.functions.text import digits_of, token_list
+    from recordscan.plans import postings
+    from recordscan.sources.archives import read_archive
+
+    lines = ["one Two_two one", "", "...", "8 (900) 123-45-67", "тел. ٠١٢٣٤٥٦٧", "Straße №5 Ёлка 𝟗𝟗", "x" * 40]
+    for i in range(3):
+        make_zip(tmp_path / f"{i}.zip", {"a.txt": "\n".join(lines[i:]), "e.txt": "", "n.zip": zip_bytes({"b.txt": "\n".join(lines), "c.zip": zip_bytes({"d.txt": f"deep {i}"})})})
+    own = set()
+    for p in discover(str(tmp_path)):
+        for row in read_archive(p, ReadOptions()):
+            if row[0] == "record":
+                at = (os.path.basename(p), row[3], row[4])
+                own |= {("term", t, *at) for t in token_list(row[5])} | {("digits", d, *at) for d in [digits_of(row[5])] if len(d) >= 7}
+    monkeypatch.setattr(postings, "HELD", 7)  # a task here; its files are several
+    marks = postings.write_part(0, [(os.path.basename(p), p, k, 2) for p in discover(str(tmp_path)) for k in range(2)], str(tmp_path), str(tmp_path), ReadOptions(), postings.decimals(spark))
+    assert len([f for f in os.listdir(tmp_path) if f.startswith("part-")]) > 3 and sum(m[3] for m in marks) == len(own)
+    monkeypatch.undo()
+    monkeypatch.setattr(ix, "TASK_BYTES", 1 << 10)
+    status, issues = ix.build_or_update(spark, str(tmp_path))
+    at = ix.default_path(str(tmp_path))
+    held = [(r["kind"], r["term"], r["relative"], tuple(r["route"]), r["line"]) for r in ix.postings(spark, at).collect()]
+    assert sorted(held) == sorted(own) and (status.postings, status.members, issues) == (len(own), 9, [])
+    assert status.terms == len({x[:2] for x in own})
+    assert ix.verify(spark, str(tmp_path)).state == "READY"  # Spark's checksums are those of the tasks
+    of = {r: [sum(m[i] for m in marks if m[0] == r) for i in (1, 2, 3)] for r in {m[0] for m in marks}}
+    for r in ix.archives_table(spark, at, ix.read_manifest(at)).collect():
+        x = 0
+        for m in marks:
+            x ^= m[4] if m[0] == r["relative"] else 0
+        assert [r["members"], r["records"], r["postings"]] == of[r["relative"]] and x == r["checksum"]
+
+
 def test_routes_travel_with_their_partition(tmp_path):
     from recordscan.sources.archives import ArchiveReader, _listing
 
