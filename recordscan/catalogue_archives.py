@@ -22,7 +22,7 @@ from .engine import annotate, search
 from .operators import provenance
 from .options import SafetyLimits, SearchOptions
 from .plans import index as ix
-from .sources.archives import ReadOptions, inspect, members, read_tagged, records_of, stats_of, validated
+from .sources.archives import ReadOptions, inspect, members, read_found, read_tagged, records_of, stats_of, validated
 from .sources.tables import lean, read_table
 from .streaming.ingest import match_stream
 
@@ -308,8 +308,9 @@ def verify_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = SearchOptions(("licensed under CC",), limits=LAX)
     folder = indexed_archives(spark, sf_dir)
     found = ix.candidates(spark, ix.default_path(folder), o)
-    records = _named(records_of(read_tagged(spark, folder, _READ))).withColumn("relative", F.col("archive"))
-    return annotate(records.join(found, ["relative", "route", "line"], "left_semi"), o).select("archive", "member", "line", "text")
+    found = found.withColumn("archive", F.concat(F.lit(folder + os.sep), "relative")).drop("relative")
+    records = records_of(read_found(spark, found, _READ))
+    return _named(annotate(records.join(found, ["archive", "route", "line"], "left_semi"), o)).select("archive", "member", "line", "text")
 
 
 @query(f"{_TERMS} SELECT (SELECT count(DISTINCT archive) FROM doc) AS archives, (SELECT count(DISTINCT member) FROM t) AS members, (SELECT count(*) FROM doc) AS records, (SELECT count(*) FROM t) + (SELECT count(*) FROM norm WHERE length(pd) >= 7) AS postings, (SELECT count(DISTINCT term) FROM t) + (SELECT count(DISTINCT pd) FROM norm WHERE length(pd) >= 7) AS terms, 'READY' AS state")

@@ -316,6 +316,21 @@ def read_tagged(spark: SparkSession, path: str, options: ReadOptions | None = No
     return files.mapInArrow(run, TAGGED)
 
 
+def read_found(spark: SparkSession, found: DataFrame, options: ReadOptions) -> DataFrame:
+    """Records, issues and counts of the members (archive, route) that rows name, which only executors hold; other members are not opened."""
+    from pyspark.sql import functions as F
+
+    # the number is said: rows are small, what is read for them is not
+    wanted = found.groupBy("archive").agg(F.collect_set("route").alias("routes")).repartition(4 * spark.sparkContext.defaultParallelism, "archive")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            for p, routes in zip(b.column("archive").to_pylist(), b.column("routes").to_pylist()):
+                yield from batches(p, read_archive(p, options, routes=frozenset(map(tuple, routes))))
+
+    return wanted.select("archive", "routes").mapInArrow(run, TAGGED)
+
+
 def records_of(tagged: DataFrame) -> DataFrame:
     return tagged.filter("kind = 'record'").select("archive", "member", "nested_path", "route", "line", "text", "header")
 

@@ -344,6 +344,14 @@ def test_postings_are_made_in_the_tasks_that_read(spark, tmp_path, monkeypatch):
         assert [r["members"], r["records"], r["postings"]] == of[r["relative"]] and x == r["checksum"]
 
 
+def test_only_members_that_rows_name_are_read(spark, corpus):
+    from recordscan.sources.archives import read_found
+
+    found = spark.createDataFrame([(str(corpus / "1.zip"), [2]), (str(corpus / "1.zip"), [2]), (str(corpus / "4.zip"), [0])], "archive string, route array<int>")
+    tagged = read_found(spark, found, ReadOptions())
+    assert sorted((os.path.basename(r["archive"]), r["member"], r["line"]) for r in records_of(tagged).collect()) == [("1.zip", "rare.txt", 1), ("1.zip", "rare.txt", 2), ("4.zip", "common.txt", 1), ("4.zip", "common.txt", 2)]
+
+
 def test_routes_travel_with_their_partition(tmp_path):
     from recordscan.sources.archives import ArchiveReader, _listing
 
