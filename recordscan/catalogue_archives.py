@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -308,7 +309,8 @@ def verify_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = SearchOptions(("licensed under CC",), limits=LAX)
     folder = indexed_archives(spark, sf_dir)
     found = ix.candidates(spark, ix.default_path(folder), o)
-    found = found.withColumn("archive", F.concat(F.lit(folder + os.sep), "relative")).drop("relative")
+    # kept, as it says both which members are read and which of their records count
+    found = found.select(F.concat(F.lit(folder + os.sep), "relative").alias("archive"), "route", "line").persist(StorageLevel.DISK_ONLY)
     records = records_of(read_found(spark, found, _READ))
     return _named(annotate(records.join(found, ["archive", "route", "line"], "left_semi"), o)).select("archive", "member", "line", "text")
 
